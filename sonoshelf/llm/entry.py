@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, pii, warc
+from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,5 +57,27 @@ FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN e ON d.source
 """
 
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), at)
+    return warc.read_archives(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('{_DIGITS}', 1 +
+        ((('0x' || substr(h, 1 + 5 * (i // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM d)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f
+"""
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL}
