@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, warc
+from . import byte_bpe, exact_dedup, mixing, pii, token_files, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,5 +80,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.with_checksum(token_files.read_tokens(spark, at))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL}
