@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, mixing, pii, token_files, warc
-from .common import new_path
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, token_files, warc
+from .common import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,5 +91,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(_table(spark, sf_dir, "documents")).drop("node")
+
+
+QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe, "op2_quality": op2_quality, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL}
