@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, token_files, warc
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, token_files, topk, warc
 from .common import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,5 +101,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(_table(spark, sf_dir, "documents")).drop("node")
 
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe, "op2_quality": op2_quality, "op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL}
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe, "op2_quality": op2_quality, "op10_jaccard_join": op10_jaccard_join, "op1_topk": op1_topk}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL, "op1_topk": OP1_SQL}
