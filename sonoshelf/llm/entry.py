@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, mixing, pii, quality, token_files, topk, warc
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, ngram_lm, pii, quality, token_files, topk, warc
 from .common import id_remainder, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,5 +115,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe, "op2_quality": op2_quality, "op10_jaccard_join": op10_jaccard_join, "op1_topk": op1_topk}
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op3_warc": op3_warc, "op8_pii": op8_pii, "op5_token_files": op5_token_files, "op9_byte_bpe": op9_byte_bpe, "op2_quality": op2_quality, "op10_jaccard_join": op10_jaccard_join, "op1_topk": op1_topk, "op4_ngram_lm": op4_ngram_lm}
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op3_warc": OP3_SQL, "op1_topk": OP1_SQL}
