@@ -1,25 +1,53 @@
-"""A training corpus from documents, stage by stage."""
+"""A training corpus from documents, stage by stage.
+
+Classify by quality, drop exact copies, keep one document of each group of near copies, mix the sources to their
+target weights, and encode what is left with a byte-level BPE. Each stage works on all rows that its predecessor
+kept; all but the last return the columns of documents, and a row that the mix takes twice comes twice.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoshelf.llm import exact_dedup, mixing
+from sonoshelf.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
 from sonoshelf.llm.common import stow
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each different text."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more connect."""
+    return jaccard_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix takes it."""
     return mixing.take(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix_sources)]
-#: The classifier can't be expressed in SQL.
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text as numbers and digests, with the digest of what they decode to."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+#: SQL can't express the classifier.
 ORACLE_SQL = None
 
 
