@@ -83,7 +83,7 @@ def track_offsets(tracks: DataFrame, book: str, order: str, duration: str) -> Da
 
 def chapter_at(chapters: Column, t: Column) -> Column:
     """The last chapter, by position, that starts at or before t; null after its end, unless that is 0 for open."""
-    last = F.element_at(F.filter(chapters, lambda c: c["start_sec"] <= t), -1)
+    last = F.try_element_at(F.filter(chapters, lambda c: c["start_sec"] <= t), F.lit(-1))
     within = (last["end_sec"] == 0) | (t <= last["end_sec"] + 0.001)
     return F.when((F.size(F.filter(chapters, lambda c: c["start_sec"] <= t)) > 0) & within, last)
 

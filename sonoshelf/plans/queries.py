@@ -467,13 +467,15 @@ def corrections_or_join(spark, sf):
     return findings.with_chunk(found, chunks).select("id", F.length("chunk_text").cast("long").alias("chars"))
 
 
-@query(f"""WITH {FINDINGS} SELECT id, CASE WHEN patch_state = 'accepted' AND confidence >= 0.5 THEN 'applied' WHEN patch_state = 'pending' AND confidence >= 0.9 THEN 'accepted' ELSE patch_state END AS patch_state FROM findings""")
+@query(f"""WITH {FINDINGS}, f AS (SELECT id, max(confidence) AS confidence, max(patch_state) AS patch_state FROM findings GROUP BY 1)
+SELECT id, CASE WHEN patch_state = 'accepted' AND confidence >= 0.5 THEN 'applied' WHEN patch_state = 'pending' AND confidence >= 0.9 THEN 'accepted' ELSE patch_state END AS patch_state FROM f""")
 def decisions_applied(spark, sf):
-    f = roles.findings(spark, sf)
-    asked = f.where("confidence >= 0.5").select("id", F.lit("accepted").alias("expected"), F.lit("applied").alias("state"))
-    more = f.where("confidence >= 0.9 and patch_state = 'pending'").select("id", F.lit("pending").alias("expected"), F.lit("accepted").alias("state"))
+    f = roles.findings(spark, sf).groupBy("id").agg(F.max("confidence").alias("confidence"), F.max("patch_state").alias("patch_state"))
+    applied = f.where("confidence >= 0.5 and patch_state = 'accepted'").select("id", F.lit("accepted").alias("expected"), F.lit("applied").alias("state"))
+    accepted = f.where("confidence >= 0.9 and patch_state = 'pending'").select("id", F.lit("pending").alias("expected"), F.lit("accepted").alias("state"))
     illegal = f.where("confidence < 0.5 and patch_state = 'pending'").select("id", F.lit("pending").alias("expected"), F.lit("applied").alias("state"))
-    return findings.decide(f, asked.where("true").join(f.where("patch_state = 'accepted'").select("id"), "id", "left_semi").unionByName(more).unionByName(illegal)).select("id", "patch_state")
+    late = f.where("confidence < 0.5 and patch_state = 'accepted'").select("id", F.lit("pending").alias("expected"), F.lit("accepted").alias("state"))
+    return findings.decide(f, applied.unionByName(accepted).unionByName(illegal).unionByName(late)).select("id", "patch_state")
 
 
 @query(f"""WITH {FINDINGS}, h AS (SELECT DISTINCT transcript_id, chunk_index FROM findings WHERE decided_at > TIMESTAMP '2001-01-01' OR (patch_state = 'accepted' AND confidence >= 0.9)),
