@@ -39,7 +39,7 @@ def neighbours(chunks: DataFrame, of: DataFrame, n: int, group: str, index: str)
     at = of.select(F.col(group).alias("_group"), F.col(index).alias("_index"))
     n = min(max(n, 0), 50)
     near = F.col(index).between(F.greatest(F.lit(0), F.col("_index") - n), F.col("_index") + n)
-    return chunks.join(F.broadcast(at.limit(MOST_ROWS)), (F.col(group) == F.col("_group")) & near).drop("_group", "_index")
+    return chunks.join(at, (F.col(group) == F.col("_group")) & near).drop("_group", "_index")
 
 
 def with_totals(hits: DataFrame, chunks: DataFrame, group: str) -> DataFrame:

@@ -44,19 +44,19 @@ def ann_buckets(spark, sf):
     return search.near_by_buckets(v, vector.vector_of(v, "vec_id", 0), id_col="vec_id").select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
-@query("""WITH hit AS (SELECT conv_id, turn FROM conversations WHERE turn = 1 AND conv_id % 10 = 3 ORDER BY conv_id LIMIT 1000)
+@query("""WITH hit AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' AND text ILIKE '%that%')
 SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN hit h ON c.conv_id = h.conv_id AND c.turn BETWEEN greatest(0, h.turn - 1) AND h.turn + 1""")
 def chunk_context(spark, sf):
     c = table(spark, sf, "conversations")
-    hit = c.where("turn = 1 and conv_id % 10 = 3").orderBy("conv_id")
+    hit = c.where((F.col("role") == "user") & tx.contains_wild(F.col("text"), "that"))
     return search.neighbours(c, hit, 1, "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
-@query(f"""WITH q AS (SELECT substr(text, 1, 60) AS q FROM benchmark WHERE item_id = 1), s AS (
+@query(f"""WITH q AS (SELECT text AS q FROM benchmark WHERE item_id = 1), s AS (
   SELECT conv_id, turn, {_similarity("text", "q.q")} AS s FROM conversations, q)
 SELECT conv_id, turn, round(s, 6) AS similarity FROM s WHERE s >= 0.3 ORDER BY s DESC, turn, conv_id LIMIT 20""")
 def text_topk(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id = 1").select(F.substring("text", 1, 60)).first()[0]
+    q = table(spark, sf, "benchmark").where("item_id = 1").first().text
     rows = table(spark, sf, "conversations")
     return search.by_text(rows, q, limit=20, id_col="conv_id", order="turn").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
@@ -67,11 +67,11 @@ def text_ilike_scoped(spark, sf):
     return d.where(tx.contains_wild(F.col("text"), "th%er")).orderBy("doc_id").select("doc_id", "source")
 
 
-@query(f"""WITH q AS (SELECT substr(text, 1, 40) AS q FROM benchmark WHERE item_id = 2), s AS (
+@query(f"""WITH q AS (SELECT text AS q FROM benchmark WHERE item_id = 2), s AS (
   SELECT conv_id * 100 + turn AS id, {_similarity("text", "q.q")} AS s FROM conversations, q)
 SELECT id, round(s, 6) AS similarity FROM s WHERE s >= 0.2""")
 def trigram_index_search(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id = 2").select(F.substring("text", 1, 40)).first()[0]
+    q = table(spark, sf, "benchmark").where("item_id = 2").first().text
     rows = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
     return search.by_index(search.trigram_index(rows), q, 0.2).select("id", F.round("similarity", 6).alias("similarity"))
 
@@ -355,23 +355,23 @@ def dedup_keep_best(spark, sf):
     return pipeline.keep_best(o.select(F.col("o_custkey").alias("file_path"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))).select("file_path", "status", "id")
 
 
-@query("""WITH o AS (SELECT c_custkey AS k, c_name AS title, c_mktsegment AS narrator, 'old' AS source FROM customer WHERE c_custkey % 3 > 0),
-n AS (SELECT c_custkey AS k, upper(c_name) AS title, CASE WHEN c_custkey % 2 = 0 THEN 'new' END AS narrator, 'never' AS source FROM customer WHERE c_custkey % 5 > 0)
+@query("""WITH o AS (SELECT c_custkey AS k, c_name AS title, c_mktsegment AS narrator, 'old' AS source FROM customer WHERE c_acctbal > 0),
+n AS (SELECT c_custkey AS k, upper(c_name) AS title, CASE WHEN c_custkey % 2 = 0 THEN 'new' END AS narrator, 'never' AS source FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.narrator, o.narrator) AS narrator, coalesce(o.source, n.source) AS source FROM o FULL JOIN n ON o.k = n.k""")
 def upsert_coalesce(spark, sf):
     c = table(spark, sf, "customer")
-    old = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("narrator"), F.lit("old").alias("source"))
-    new = c.where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, "new").alias("narrator"), F.lit("never").alias("source"))
+    old = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("narrator"), F.lit("old").alias("source"))
+    new = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("title"), F.when(F.col("c_custkey") % 2 == 0, "new").alias("narrator"), F.lit("never").alias("source"))
     return pipeline.upsert(old, new, ["k"], ["title"], ["narrator"])
 
 
-@query("""WITH e AS (SELECT o_orderkey AS path, o_custkey AS checksum FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS path, o_custkey * 2 AS checksum FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH e AS (SELECT o_orderkey AS path, o_custkey AS checksum FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_orderkey AS path, o_custkey * 2 AS checksum FROM orders),
 a AS (SELECT * FROM n WHERE path NOT IN (SELECT path FROM e) AND checksum NOT IN (SELECT checksum FROM e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY path) AS k FROM a) SELECT path, checksum FROM r WHERE k = 1""")
 def insert_if_absent(spark, sf):
     o = table(spark, sf, "orders")
-    old = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("checksum"))
-    new = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") * 2).alias("checksum"))
+    old = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("checksum"))
+    new = o.select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") * 2).alias("checksum"))
     return pipeline.insert_if_absent(old, new, ["path", "checksum"])
 
 
@@ -617,3 +617,63 @@ def throughput_by_hour(spark, sf):
 def longest_per_book(spark, sf):
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     return table(spark, sf, "documents").withColumn("place", F.row_number().over(w)).where("place <= 3").select("doc_id", "source", "place")
+
+
+# ---- status and metadata
+
+
+@query(f"""WITH {JOBS}, e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_discount >= 0.08),
+f AS (SELECT status, e.id IS NOT NULL AS e, c.id IS NOT NULL AS c FROM jobs j LEFT JOIN e ON e.id = j.id LEFT JOIN c ON c.id = j.id)
+SELECT count(*) AS "all", round(count(*) FILTER (WHERE status = 'done' AND c) / count(*), 6) AS coverage, count(*) FILTER (WHERE status = 'done' AND c) = count(*) AS fully_done,
+  CASE WHEN count(*) FILTER (WHERE status = 'claimed') > 0 THEN 'transcribing' ELSE 'other' END AS activity FROM f""")
+def pipeline_lifecycle(spark, sf):
+    from sonoshelf.operators.status import lifecycle
+
+    return lifecycle(pipeline_buckets(spark, sf)).select("all", F.round("coverage", 6).alias("coverage"), "fully_done", "activity")
+
+
+@query(f"""WITH {JOBS}, {METRICS}, b AS (SELECT count(*) AS backlog FROM jobs WHERE id NOT IN (SELECT job_id FROM metrics)), l AS (SELECT max(finished_at) AS last FROM metrics)
+SELECT backlog, last, backlog >= 10 AND epoch_us(TIMESTAMP '2030-01-01') - epoch_us(last) > 600000000 AS stalled FROM b, l""")
+def stall_detection(spark, sf):
+    from sonoshelf.operators.status import stalled
+
+    m = roles.metrics(spark, sf)
+    left = pipeline.backlog(roles.jobs(spark, sf), m.select(F.col("job_id").alias("id")), "id")
+    return stalled(left, m.select(F.col("finished_at").alias("created_at")), F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+@query()
+def bias_terms(spark, sf):
+    from sonoshelf.functions.bias import bias_terms as of
+
+    b = roles.books(spark, sf)
+    return b.select("book_dir", of(F.col("author"), F.lit(None).cast("string"), F.col("series"), F.col("title")).alias("terms"))
+
+
+@query(f"""WITH {ROLLUP}, f AS (SELECT book_dir, sum(CASE WHEN r.l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n FROM jobs j JOIN lineitem r ON r.l_orderkey = j.id GROUP BY 1)
+SELECT book_dir, total, done, coalesce(n, 0) AS findings, count(*) OVER () AS matching FROM rollup LEFT JOIN f USING (book_dir) WHERE coalesce(n, 0) > 0 ORDER BY findings DESC, book_dir LIMIT 50""")
+def library_page_by_findings(spark, sf):
+    j = roles.jobs(spark, sf)
+    found = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    by = j.join(found, "id").groupBy(tx.book_dir(F.col("file_path")).alias("book_dir")).agg(F.sum("n").alias("findings"))
+    rows = library.book_rollup(j, roles.metrics(spark, sf)).select("book_dir", "total", "done").join(by, "book_dir")
+    page = rows.orderBy(F.desc("findings"), "book_dir").limit(50)
+    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("matching"))))
+
+
+@query(f"""WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 1), h AS (SELECT vec_id, label, {COS} AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 10)
+SELECT vec_id, trunc(s * 100) AS percent, d.source AS book, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM h LEFT JOIN documents d ON d.doc_id = h.vec_id""".replace("\\\\", "\\"))
+def search_enriched(spark, sf):
+    v = table(spark, sf, "embeddings")
+    hits = search.similar(v, vector.vector_of(v, "vec_id", 1), id_col="vec_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
+    context = docs.join(F.broadcast(hits.select("vec_id")), "vec_id", "left_semi")
+    out = hits.join(context, "vec_id", "left").withColumn("percent", (F.col("similarity") * 100).cast("int").cast("double"))
+    return out.select("vec_id", "percent", F.col("source").alias("book"), tx.word_count(F.col("text")).alias("words"))
+
+
+@query("""WITH p AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn)[2:4] AS page, count(*) AS segments FROM conversations GROUP BY 1),
+u AS (SELECT conv_id, segments, unnest(page) AS s FROM p) SELECT conv_id, segments, s.turn AS turn, s.role AS role FROM u""")
+def transcript_page(spark, sf):
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("s"), F.count("*").alias("segments"))
+    return t.select("conv_id", "segments", F.inline(library.page_of(F.col("s"), 1, 3)))
