@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,37 @@ def text_or_empty(column: str = "text") -> Column:
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+class Recent(dict):
+    """A cache of at most about twice ``most`` entries: when it is full, only what is asked for again stays."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't held. All of keys stay held until the next call, if the caller adds those."""
+        new = keys.difference(self)
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = keys
+        held = [k for k in new if k in self.older]
+        for k in held:
+            self[k] = self.older[k]
+        return list(new.difference(held))
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of some batches at a time, as many as have so many characters."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids.append(batch.column("doc_id"))
+        texts += batch.column("text").to_pylist()
+        size += batch.column("text").nbytes
+        if size >= chars:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts

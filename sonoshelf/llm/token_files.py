@@ -13,6 +13,7 @@ each have their own place, ordered by text; an empty table gives empty files; ex
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -25,22 +26,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import BROADCAST_ROWS, Recent, small_batches, text_batches, text_or_empty
 
 END_ID = 1
-#: The last of the characters whose lower case and composition depend on nothing else.
-LATIN = "\xff"
 CACHED_WORDS = 300_000
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 2000
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
+def _is_latin(text: str) -> bool:
+    """Whether the lower case and composition of each character depend on nothing else."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """The ids of white-space separated words, each encoded once while the cache holds it, by its letters, digits and
     other runs, which the vocabulary encodes separately."""
 
     def __init__(self, tokenizer_path: str):
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -48,11 +58,11 @@ class WordEncoder:
         self.runs = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.space = re.compile("[^\\S\x1c-\x1f]+")
-        self.known: dict[str, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Recent(CACHED_WORDS)
+        self.known_runs: dict[str, bytes] = Recent(CACHED_WORDS)
 
     def words(self, text: str) -> list[str]:
-        if text and max(text) <= LATIN:
+        if text.isascii() or _is_latin(text):
             text = text.lower()  # for these characters, the same as the vocabulary's own lower case
         if self.odd_space.search(text):  # white space for Python, but not for the vocabulary
             return [w for w in self.space.split(text) if w]
@@ -60,15 +70,13 @@ class WordEncoder:
 
     def _runs_of(self, word: str) -> list[str]:
         """The runs of a word if none can change by what stands beside it, else the word."""
-        if word.isalpha() or not (word.isascii() or max(word) <= LATIN) or "'" in word:
+        if word.isalpha() or not (word.isascii() or _is_latin(word)) or "'" in word:
             return [word]
         return [word[:-1], word[-1]] if word[:-1].isalpha() else self.runs.findall(word)
 
     def learn(self, words: list[str]) -> None:
         split = list(map(self._runs_of, words))
-        if len(self.known_runs) > CACHED_WORDS:
-            self.known_runs.clear()
-        new = list(set(chain.from_iterable(split)) - self.known_runs.keys())
+        new = self.known_runs.missing(set(chain.from_iterable(split)))
         for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known_runs[r] = array("i", e.ids).tobytes()
         get = self.known_runs.__getitem__
@@ -77,12 +85,9 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers, with the end id."""
         words = [self.words(t) for t in texts]
-        new = list(set(chain.from_iterable(words)) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set(chain.from_iterable(words)))
-        for k in range(0, len(new), 10_000):
-            self.learn(new[k : k + 10_000])
+        new = self.known.missing(set(chain.from_iterable(words)))
+        for k in range(0, len(new), 50_000):
+            self.learn(new[k : k + 50_000])
         get, end = self.known.__getitem__, array("i", [END_ID]).tobytes()
         return [b"".join(map(get, w)) + end for w in words]
 
@@ -96,13 +101,13 @@ def _word_encoder(tokenizer_path: str) -> WordEncoder:
 def _encoder(tokenizer_path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = _word_encoder(tokenizer_path), 0
-        for batch in batches:
-            ids = encoder.encode(batch.column("text").to_pylist())
+        for doc_ids, texts in text_batches(batches):
+            ids = encoder.encode(texts)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             values = np.frombuffer(b"".join(ids), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start + offsets[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "local_start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + offsets[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "local_start", "n_tokens", "ids"])
             start += int(offsets[-1])
 
     return encode
@@ -127,7 +132,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     bases = sums.select(F.col("file").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(bases, F.col("file") == F.col("of")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases) if len(rows.inputFiles()) <= BROADCAST_ROWS else bases, F.col("file") == F.col("of")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def with_checksum(tokens: DataFrame) -> DataFrame:
