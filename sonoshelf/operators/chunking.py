@@ -31,9 +31,13 @@ def char_chunks(text: Column, size: int) -> Column:
 
 def word_chunks(text: Column, size: int) -> Column:
     """Pieces of size words joined by single spaces; none of an empty text."""
-    w = words(text)
-    n = F.ceil(F.size(w) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def pieces(w: Column) -> Column:
+        n = F.ceil(F.size(w) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    # the words are bound as a lambda's argument, so they are split once and not for each piece
+    return F.transform(F.array(words(text)), pieces)[0]
 
 
 def simple_tokens(text: str) -> list[str]:

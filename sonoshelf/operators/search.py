@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoshelf.functions.text import TRIGRAM_THRESHOLD, contains_wild, trigram_similarity, trigrams, word_count
+from sonoshelf.functions.text import TRIGRAM_THRESHOLD, contains_wild, trigrams, word_count
 
 from .vector import cosine_to
 
@@ -27,10 +27,27 @@ def similar(chunks: DataFrame, query: list[float], *, limit: int | None = None,
     return rows.orderBy(F.desc("similarity"), id_col).limit(clamp_limit(limit))
 
 
+def query_trigrams(spark: SparkSession, query: str) -> list[str]:
+    """The trigrams of a query, once and not for each row."""
+    return spark.range(1).select(trigrams(F.lit(query)).alias("t")).first().t
+
+
+def similarity_to(text: Column, asked: list[str]) -> Column:
+    """Trigram similarity of a text to the query with these trigrams."""
+    if not asked:
+        return F.lit(0.0)
+
+    def similarity(x: Column) -> Column:
+        both = F.size(F.array_intersect(x, F.array(*map(F.lit, asked))))
+        return both / (F.size(x) + len(asked) - both)
+
+    return F.transform(F.array(trigrams(text)), similarity)[0]  # binds the text's trigrams, so they are made once
+
+
 def by_text(chunks: DataFrame, query: str, *, limit: int | None = None, scope: Column | None = None, id_col: str = "id", order: str = "chunk_index", text: str = "text") -> DataFrame:
     """The rows that are like the query by trigrams or hold it, most similar first. Wildcards in the query work."""
     rows = chunks if scope is None else chunks.where(scope)
-    rows = rows.withColumn("similarity", trigram_similarity(F.col(text), F.lit(query)))
+    rows = rows.withColumn("similarity", similarity_to(F.col(text), query_trigrams(rows.sparkSession, query)))
     return rows.where((F.col("similarity") >= TRIGRAM_THRESHOLD) | contains_wild(F.col(text), query)).orderBy(F.desc("similarity"), order, id_col).limit(clamp_limit(limit))
 
 
@@ -56,8 +73,7 @@ def trigram_index(chunks: DataFrame, id_col: str = "id", text: str = "text") ->
 
 def by_index(index: DataFrame, query: str, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
     """(id, similarity) of the texts in a trigram index that are like the query, reading its trigrams' rows only."""
-    spark = index.sparkSession
-    asked = spark.range(1).select(trigrams(F.lit(query)).alias("t")).first().t
+    asked = query_trigrams(index.sparkSession, query)
     if not asked:
         return index.select("id", F.lit(0.0).alias("similarity")).where("false")
     shared = index.where(F.col("trigram").isin(asked)).groupBy("id").agg(F.count("*").alias("both"), F.first("n").alias("n"))
