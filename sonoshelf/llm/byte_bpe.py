@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,30 +23,28 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_or_empty
+from .common import Recent, small_batches, text_batches, text_or_empty
 
 LONG_PIECE = 256
-CACHED = 200_000
+CACHED = 300_000
 MEMORY = "300MB"
 
-#: Steps 0, 1, ... of each piece; the last step of a piece is its encoding.
+#: Rows of pieces whose merges go on, round by round, and of those that are done.
 ENCODE = """
-WITH RECURSIVE state(piece, step, pos, token) AS (
-    SELECT piece, 0, pos, token FROM start_rows
+WITH RECURSIVE state(piece, pos, token, done) AS (
+    SELECT piece, pos, token, false FROM start_rows
   UNION ALL (
-    WITH pairs AS (
-        SELECT piece, step, pos, token, lead(token) OVER w AS right_token, lag(pos) OVER w AS left_pos
-        FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-    ranked AS (
-        SELECT p.piece, p.pos, m.rank, m.merged FROM pairs p JOIN merges m ON p.token = m.left_token AND p.right_token = m.right_token),
-    best AS (
-        SELECT piece, arg_min(pos, (rank::BIGINT << 32) + pos) AS at, arg_min(merged, (rank::BIGINT << 32) + pos) AS merged FROM ranked GROUP BY piece)
-    SELECT p.piece, p.step + 1, p.pos, CASE WHEN p.pos = b.at THEN b.merged ELSE p.token END
-    FROM pairs p JOIN best b ON p.piece = b.piece WHERE p.left_pos IS DISTINCT FROM b.at))
-SELECT piece, list(token ORDER BY pos) AS ids FROM state
-WHERE (piece, step) IN (SELECT (piece, max(step)) FROM state GROUP BY piece) GROUP BY piece
+    WITH pairs AS MATERIALIZED (
+        SELECT piece, pos, token, lead(token) OVER w AS right_token, lead(pos) OVER w AS right_pos
+        FROM state WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+    best AS (  -- rank, position and the position to its right in one number: positions are below 1024
+        SELECT piece, min((m.rank::BIGINT << 20) + (p.pos << 10) + p.right_pos) AS low
+        FROM pairs p JOIN merges m ON p.token = m.left_token AND p.right_token = m.right_token GROUP BY piece)
+    SELECT p.piece, p.pos, CASE WHEN p.pos = (b.low >> 10) & 1023 THEN (b.low >> 20)::INTEGER ELSE p.token END, b.low IS NULL
+    FROM pairs p LEFT JOIN best b ON p.piece = b.piece WHERE p.pos IS DISTINCT FROM b.low & 1023))
 """
-DECODE = "SELECT r.piece, string_agg(v.hexed, '' ORDER BY r.pos) AS hexed FROM token_rows r JOIN vocab v ON r.token = v.token GROUP BY r.piece"
+#: A piece's ids and, by the vocabulary, its bytes: "id:hex,id:hex" in the order of the tokens.
+DECODE = "SELECT r.piece, string_agg(v.told, ',' ORDER BY r.pos) AS told FROM {rows} r JOIN vocab v ON r.token = v.token GROUP BY r.piece"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,45 +84,51 @@ class PieceCoder:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = zip(*pairs, strict=True)
         self._table("merge_rows", left_token=pa.array(left, pa.int32()), right_token=pa.array(right, pa.int32()), rank=pa.array(rank, pa.int32()))
-        self.db.execute("CREATE TABLE merges AS SELECT left_token, right_token, rank, rank AS merged FROM merge_rows")
-        self._table("vocab_rows", token=pa.array(list(self.ranks.values()), pa.int32()), hexed=pa.array([t.hex() for t in self.ranks]))
+        self.db.execute("CREATE TABLE merges AS FROM merge_rows")
+        self._table("vocab_rows", token=pa.array(list(self.ranks.values()), pa.int32()), told=pa.array([f"{r}:{t.hex()}" for t, r in self.ranks.items()]))
         self.db.execute("CREATE TABLE vocab AS FROM vocab_rows")
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.id_of = re.compile("(?:^|,)[0-9]+:")
+        self.hex_of = re.compile(":[0-9a-f]*")
 
     def _table(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list = [[self.ranks[p]] if p in self.ranks else heap_merge(p, self.ranks) if len(p) > LONG_PIECE else None for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None]
-        if todo:
-            single = [self.ranks[bytes([b])] for b in range(256)]
-            self._table(
-                "start_rows",
-                piece=pa.array([i for i in todo for _ in pieces[i]], pa.int32()),
-                pos=pa.array(list(chain.from_iterable(range(len(pieces[i])) for i in todo)), pa.int32()),
-                token=pa.array([single[b] for i in todo for b in pieces[i]], pa.int32()),
-            )
-            got = self.db.sql(ENCODE).to_arrow_table()
-            for i, ids in zip(got["piece"].to_pylist(), got["ids"].to_pylist(), strict=True):
-                out[i] = ids
+    def _rows(self, name: str, lists: list[list[int]]) -> None:
+        self._table(
+            name,
+            piece=pa.array([k for k, x in enumerate(lists) for _ in x], pa.int32()),
+            pos=pa.array(list(chain.from_iterable(map(range, map(len, lists)))), pa.int32()),
+            token=pa.array(list(chain.from_iterable(lists)), pa.int32()),
+        )
+
+    def _told(self, query: str, n: int) -> list[tuple[str, bytes]]:
+        got, out = self.db.sql(query).to_arrow_table(), [("", b"")] * n
+        for k, told in zip(got["piece"].to_pylist(), got["told"].to_pylist(), strict=True):
+            out[k] = self.hex_of.sub("", told), bytes.fromhex(self.id_of.sub("", told))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
-        self._table(
-            "token_rows",
-            piece=pa.array([k for k, x in enumerate(ids) for _ in x], pa.int32()),
-            pos=pa.array(list(chain.from_iterable(range(len(x)) for x in ids)), pa.int32()),
-            token=pa.array(list(chain.from_iterable(ids)), pa.int32()),
-        )
-        got = self.db.sql(DECODE).to_arrow_table()
-        found = dict(zip(got["piece"].to_pylist(), got["hexed"].to_pylist(), strict=True))
-        return [bytes.fromhex(found.get(k, "")) for k in range(len(ids))]
+        self._rows("token_rows", ids)
+        return [raw for _, raw in self._told(DECODE.format(rows="token_rows"), len(ids))]
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """The number of ids, the ids joined by commas and the bytes they decode to, of each piece."""
+        known = [[self.ranks[p]] if p in self.ranks else heap_merge(p, self.ranks) if len(p) > LONG_PIECE else None for p in pieces]
+        todo = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
+        self._rows("start_rows", [list(map(self.single.__getitem__, p)) for p in todo])
+        self._rows("token_rows", [ids for ids in known if ids is not None])
+        merged = iter(self._told(ENCODE + DECODE.format(rows="(FROM state WHERE done)"), len(todo)))
+        whole = iter(self._told(DECODE.format(rows="token_rows"), len(pieces) - len(todo)))
+        told = [next(merged if ids is None else whole) for ids in known]
+        return [(ids.count(",") + 1, ids, raw) for ids, raw in told]
 
 
 class TextCoder:
     """Texts by chunks, which start at a space between two characters that aren't white space or at the text's start.
 
-    No piece of the pattern reaches over such a space, so a chunk's ids are the same in every text.
+    No piece of the pattern reaches over such a space, so a chunk's ids are the same in every text. Most texts have
+    no other spaces, and splitting at each gives their chunks.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -131,41 +136,51 @@ class TextCoder:
 
         self.pieces, self.coder = regex.compile(pattern), PieceCoder(ranks_path)
         self.cuts = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
-        self.uneven = regex.compile(r"\s[^\S ]|[^\S ]\s|  |^\s|\s$")
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.merged: dict[str, list[int]] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.uneven.search(text):
-            return [c for c in self.cuts.split(text) if c]
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(chunks)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            split = [self.pieces.findall(c) for c in part]
-            distinct = set(chain.from_iterable(split))
-            if len(self.merged) + len(distinct) > CACHED:
-                self.merged.clear()
-            missing = list(distinct - self.merged.keys())
+        self.known: dict[str, tuple[int, str, bytes]] = Recent(CACHED)
+        self.merged: dict[str, tuple[int, str, bytes]] = Recent(CACHED)
+
+    def _pieces_of(self, chunk: str) -> list[str]:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[:-1].isalpha() and word[-1] in ".,!?;:":
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces.findall(chunk)
+
+    def learn(self, keys: set[str]) -> None:
+        """Keep the ids of chunks. A key without a space stands for itself after a space, and " " + chunk for a chunk
+        as it is; where the former is no chunk of its own, for it begins or ends with white space, None is kept."""
+        new = self.known.missing(keys)
+        for k in range(0, len(new), 50_000):
+            part = new[k : k + 50_000]
+            chunks = [c[1:] if c[:1] == " " else None if not c or c[0].isspace() or c[-1].isspace() else " " + c for c in part]
+            split = [c and self._pieces_of(c) for c in chunks]
+            missing = self.merged.missing(set(chain.from_iterable(filter(None, split))))
             self.merged.update(zip(missing, self.coder.encode([p.encode() for p in missing]), strict=True))
-            ids = [list(chain.from_iterable(map(self.merged.__getitem__, s))) for s in split]
-            for c, x, raw in zip(part, ids, self.coder.decode(ids), strict=True):
-                self.known[c] = (len(x), ",".join(map(str, x)), raw)
-
-    def texts(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """The number of ids, the ids and the decoded bytes of each chunk of each text."""
-        split = [self.chunks(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
+            get = self.merged.__getitem__
+            for c, pieces in zip(part, split, strict=True):
+                if not pieces:
+                    self.known[c] = None
+                elif len(pieces) == 1:
+                    self.known[c] = get(pieces[0])
+                else:
+                    n, ids, raw = zip(*map(get, pieces), strict=True)
+                    self.known[c] = sum(n), ",".join(ids), b"".join(raw)
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[tuple, tuple, tuple]]:
+        """The numbers of ids, the ids and the decoded bytes of the chunks of each text."""
+        split = [t.split(" ") for t in texts]
         for s in split:
-            yield list(map(self.known.__getitem__, s))
+            s[0] = " " + s[0] if s[0] else s.pop(1) if len(s) > 1 and s[1] else ""
+        self.learn(set(chain.from_iterable(split)))
+        get = self.known.__getitem__
+        parts = [list(map(get, s)) if t else [] for t, s in zip(texts, split, strict=True)]
+        uneven = {k: [" " + c for c in self.cuts.split(texts[k]) if c] for k, s in enumerate(split) if None in parts[k] or (len(s) > 1 and s[0][-1:].isspace())}
+        self.learn(set(chain.from_iterable(uneven.values())))
+        for k, keys in uneven.items():
+            parts[k] = list(map(get, keys))
+        for p in parts:
+            yield tuple(zip(*p, strict=True)) or ((), (), ())
 
 
 @lru_cache(1)
@@ -179,9 +194,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _text_coder(ranks_path, pattern)
-        for batch in batches:
-            ids = [[int(i) for x in parts for i in x[1].split(",")] for parts in coder.texts(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for doc_ids, texts in text_batches(batches):
+            ids = [[int(i) for x in told for i in x.split(",")] for _, told, _ in coder.texts(texts)]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -205,13 +220,13 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _text_coder(ranks_path, pattern)
-        for batch in batches:
+        for doc_ids, texts in text_batches(batches):
             n, ids, raw = [], [], []
-            for parts in coder.texts(batch.column("text").to_pylist()):
-                n.append(sum(x[0] for x in parts))
-                ids.append(hashlib.sha256(",".join([x[1] for x in parts]).encode()).hexdigest())
-                raw.append(hashlib.sha256(b"".join([x[2] for x in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for count, told, parts in coder.texts(texts):
+                n.append(sum(count))
+                ids.append(hashlib.sha256(",".join(told).encode()).hexdigest())
+                raw.append(hashlib.sha256(b"".join(parts)).hexdigest())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
