@@ -37,3 +37,12 @@ def stalled(backlog: DataFrame, embedded: DataFrame, as_of, least: int = 10, min
     last = embedded.agg(F.max("created_at").alias("last"))
     quiet = F.col("last").isNull() | (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) > minutes * 60_000_000)
     return backlog.agg(F.count("*").alias("backlog")).crossJoin(last).select("backlog", "last", ((F.col("backlog") >= least) & quiet).alias("stalled"))
+
+
+def gauges(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, log: DataFrame) -> DataFrame:
+    """(metric, label, value): what a monitor reads, as rows: jobs by status, backlog, coverage, events by host."""
+    status = jobs.groupBy("status").agg(F.count("*").cast("double").alias("value")).select(F.lit("jobs").alias("metric"), F.col("status").alias("label"), "value")
+    left = transcripts.join(chunks, "id", "left_anti").agg(F.count("*").cast("double").alias("value")).select(F.lit("backlog"), F.lit(""), "value")
+    done = transcripts.join(chunks.select("id").distinct().withColumn("_c", F.lit(1)), "id", "left").agg(F.coalesce(F.avg(F.coalesce("_c", F.lit(0))), F.lit(0.0)).alias("value"))
+    hosts = log.groupBy("runner_host").agg(F.count("*").cast("double").alias("value")).select(F.lit("events"), "runner_host", "value")
+    return status.union(left).union(done.select(F.lit("coverage"), F.lit(""), "value")).union(hosts)

@@ -677,3 +677,32 @@ u AS (SELECT conv_id, segments, unnest(page) AS s FROM p) SELECT conv_id, segmen
 def transcript_page(spark, sf):
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("s"), F.count("*").alias("segments"))
     return t.select("conv_id", "segments", F.inline(library.page_of(F.col("s"), 1, 3)))
+
+
+@query("""WITH c AS (SELECT conv_id AS transcript_id, turn::INTEGER AS chunk_index, text FROM conversations),
+f AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_discount * 10, 1) AS confidence, CASE WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'pending' END AS patch_state, l_orderkey % 97 AS transcript_id, (l_linenumber - 1)::INTEGER AS chunk_index, l_quantity AS start_sec,
+  CASE l_returnflag WHEN 'A' THEN 'and' WHEN 'R' THEN 'thher' ELSE 'the' END AS span, ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS id FROM lineitem),
+p AS (SELECT * FROM f WHERE confidence >= 0.6 AND patch_state = 'pending' ORDER BY confidence DESC, transcript_id, start_sec, id LIMIT 200),
+j AS (SELECT p.*, c.text, CASE WHEN c.text IS NULL THEN NULL ELSE (length(c.text) - length(replace(c.text, span, ''))) // length(span) END AS n FROM p LEFT JOIN c USING (transcript_id, chunk_index))
+SELECT id, confidence, patch_state, CASE WHEN n = 1 THEN (strpos(text, span) - 1)::INTEGER END AS start,
+  CASE WHEN text IS NULL THEN 'no chunk' WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'not found' ELSE 'ambiguous' END AS status,
+  CASE WHEN n = 1 THEN substr(text, greatest(strpos(text, span) - 1 - 220, 0) + 1, least(length(text), strpos(text, span) - 1 + length(span) + 220) - greatest(strpos(text, span) - 1 - 220, 0)) ELSE substr(text, 1, 600) END AS context FROM j""")
+def corrections_page(spark, sf):
+    from sonoshelf.operators.corrections import corrections
+
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("transcript_id"), F.col("turn").cast("int").alias("chunk_index"), "text")
+    span = F.when(F.col("l_returnflag") == "A", "and").when(F.col("l_returnflag") == "R", "thher").otherwise("the")
+    f = roles.findings(spark, sf).select("id", "confidence", "patch_state", (F.col("transcript_id") % 97).alias("transcript_id"), (F.col("chunk_index") - 1).alias("chunk_index"), "start_sec", F.col("issue_type").alias("l_returnflag"))
+    f = f.select("*", span.alias("original_text"), F.lit(None).cast("long").alias("chunk_id"), F.lit(None).cast("int").alias("anchor_offset"))
+    return corrections(f, c, states=["pending"], floor=findings.FLOOR, limit=200).select("id", "confidence", "patch_state", "start", "status", "context")
+
+
+@query(f"""WITH {JOBS}, {EVENTS}, e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem)
+SELECT 'jobs' AS metric, status AS label, count(*)::DOUBLE AS value FROM jobs GROUP BY 2 UNION ALL SELECT 'backlog', '', count(*)::DOUBLE FROM jobs WHERE id NOT IN (SELECT id FROM e)
+UNION ALL SELECT 'coverage', '', round(avg(CASE WHEN id IN (SELECT id FROM e) THEN 1 ELSE 0 END), 6) FROM jobs UNION ALL SELECT 'events', runner_host, count(*)::DOUBLE FROM log GROUP BY 2""")
+def monitor_gauges(spark, sf):
+    from sonoshelf.operators.status import gauges
+
+    j = roles.jobs(spark, sf)
+    rows = gauges(j, j, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")), roles.pipeline_events(spark, sf))
+    return rows.withColumn("value", F.round("value", 6))
