@@ -17,13 +17,12 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent, small_batches, text_batches, text_or_empty
+from .common import Recent, held_by_worker, no_cycle_search, small_batches, text_batches, text_or_empty
 
 LONG_PIECE = 256
 CACHED = 300_000
@@ -169,6 +168,10 @@ class TextCoder:
 
     def texts(self, texts: list[str]) -> Iterator[tuple[tuple, tuple, tuple]]:
         """The numbers of ids, the ids and the decoded bytes of the chunks of each text."""
+        for p in self._parts(texts):
+            yield tuple(zip(*p, strict=True)) or ((), (), ())
+
+    def _parts(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         split = [t.split(" ") for t in texts]
         for s in split:
             s[0] = " " + s[0] if s[0] else s.pop(1) if len(s) > 1 and s[1] else ""
@@ -179,14 +182,12 @@ class TextCoder:
         self.learn(set(chain.from_iterable(uneven.values())))
         for k, keys in uneven.items():
             parts[k] = list(map(get, keys))
-        for p in parts:
-            yield tuple(zip(*p, strict=True)) or ((), (), ())
+        return parts
 
 
-@lru_cache(1)
 def _text_coder(ranks_path: str, pattern: str) -> TextCoder:
     """One for all tasks of a worker process, so that its cache goes on."""
-    return TextCoder(ranks_path, pattern)
+    return held_by_worker(("byte_bpe", ranks_path, pattern), lambda: TextCoder(ranks_path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -222,10 +223,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         coder = _text_coder(ranks_path, pattern)
         for doc_ids, texts in text_batches(batches):
             n, ids, raw = [], [], []
-            for count, told, parts in coder.texts(texts):
-                n.append(sum(count))
-                ids.append(hashlib.sha256(",".join(told).encode()).hexdigest())
-                raw.append(hashlib.sha256(b"".join(parts)).hexdigest())
+            with no_cycle_search():
+                for count, told, parts in coder.texts(texts):
+                    n.append(sum(count))
+                    ids.append(hashlib.sha256(",".join(told).encode()).hexdigest())
+                    raw.append(hashlib.sha256(b"".join(parts)).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)

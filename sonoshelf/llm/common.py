@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,3 +97,36 @@ def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> I
             ids, texts, size = [], [], 0
     if ids:
         yield pa.concat_arrays(ids), texts
+
+
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Python's search for cycles is off meanwhile: it would go over large caches, which hold none, again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What make gives, kept for the later tasks of a worker process until a task asks for something else: workers
+    live on from one operation to the next, and what they hold would add up."""
+    if key not in _HELD:
+        release_held()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release_held() -> None:
+    """Let go of what an earlier operation holds in this worker process, and give the memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, small_batches, stow, text_or_empty, unused
+from .common import BROADCAST_ROWS, release_held, small_batches, stow, text_or_empty, unused
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -52,6 +52,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the sorted distinct shingle hashes of text k are hashes[offsets[k]:offsets[k + 1]]."""
     import xxhash
 
+    release_held()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.empty(int(sizes.sum()), object)

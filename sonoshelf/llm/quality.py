@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_batches, text_or_empty
+from .common import held_by_worker, id_remainder, small_batches, text_or_empty
 
 PLACES_BITS = 18
 PLACES = 1 << PLACES_BITS
+CACHED_WORDS = 200_000
 SAMPLE_ROWS = 6000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-5, 1e-4, 3
 SCALE = 8.0
@@ -38,7 +39,6 @@ THRESHOLD = 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(200_000)
 def _hashes(word: bytes) -> tuple[int, int]:
     """Hashes of a word as written and of its form."""
     w = word.decode("utf-8", "replace")
@@ -60,7 +60,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat[at : at + len(w)] = w
         at += len(w)
     codes, distinct = pd.factorize(flat)
-    table = np.array([_hashes(w) for w in distinct], np.uint64).reshape(-1, 2)
+    hashes = held_by_worker(("quality",), lambda: lru_cache(CACHED_WORDS)(_hashes))
+    table = np.array([hashes(w) for w in distinct], np.uint64).reshape(-1, 2)
     word, form = table[codes, 0], table[codes, 1]
     first = np.zeros(len(flat), bool)
     first[(ends - sizes)[sizes > 0]] = True
@@ -80,11 +81,13 @@ def _sigmoid(x):
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the places, with the bias last, by FTRL-proximal in the order of the rows."""
     z, n, w = np.zeros(PLACES + 1), np.zeros(PLACES + 1), np.zeros(PLACES + 1)
-    places, offsets = features(texts)
     rows = []
-    for k in range(len(texts)):
-        i, c = np.unique(places[offsets[k] : offsets[k + 1]], return_counts=True)
-        rows.append((np.append(i, PLACES), np.append(SCALE * c / max(1, c.sum()), 1.0)))
+    for low in range(0, len(texts), 250):
+        part = texts[low : low + 250]
+        places, offsets = features(part)
+        for k in range(len(part)):
+            i, c = np.unique(places[offsets[k] : offsets[k + 1]], return_counts=True)
+            rows.append((np.append(i, PLACES).astype(np.int32), np.append(SCALE * c / max(1, c.sum()), 1.0)))
     for _ in range(epochs):
         for (i, x), y in zip(rows, labels, strict=True):
             zi, ni = z[i], n[i]

@@ -18,7 +18,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Recent, small_batches, text_batches, text_or_empty
+from .common import BROADCAST_ROWS, Recent, held_by_worker, small_batches, text_batches, text_or_empty
 
 END_ID = 1
 CACHED_WORDS = 300_000
@@ -92,10 +91,9 @@ class WordEncoder:
         return [b"".join(map(get, w)) + end for w in words]
 
 
-@lru_cache(1)
 def _word_encoder(tokenizer_path: str) -> WordEncoder:
     """One for all tasks of a worker process, so that its cache goes on."""
-    return WordEncoder(tokenizer_path)
+    return held_by_worker(("token_files", tokenizer_path), lambda: WordEncoder(tokenizer_path))
 
 
 def _encoder(tokenizer_path: str):
