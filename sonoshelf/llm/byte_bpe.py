@@ -25,22 +25,26 @@ from pyspark.sql import DataFrame
 from .common import Recent, held_by_worker, no_cycle_search, small_batches, text_batches, text_or_empty
 
 LONG_PIECE = 256
-CACHED = 300_000
+CACHED = 250_000
 MEMORY = "300MB"
 
-#: Rows of pieces whose merges go on, round by round, and of those that are done.
+#: Rows of pieces whose merges go on, round by round, and of those that are done. Each row knows the token to its
+#: right; rank, position and the position to the right are one number, as positions are below 1024.
 ENCODE = """
-WITH RECURSIVE state(piece, pos, token, done) AS (
-    SELECT piece, pos, token, false FROM start_rows
+WITH RECURSIVE state(piece, pos, token, right_pos, right_token, done) AS (
+    SELECT piece, pos, token, lead(pos) OVER w, lead(token) OVER w, false FROM start_rows WINDOW w AS (PARTITION BY piece ORDER BY pos)
   UNION ALL (
-    WITH pairs AS MATERIALIZED (
-        SELECT piece, pos, token, lead(token) OVER w AS right_token, lead(pos) OVER w AS right_pos
-        FROM state WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-    best AS (  -- rank, position and the position to its right in one number: positions are below 1024
-        SELECT piece, min((m.rank::BIGINT << 20) + (p.pos << 10) + p.right_pos) AS low
-        FROM pairs p JOIN merges m ON p.token = m.left_token AND p.right_token = m.right_token GROUP BY piece)
-    SELECT p.piece, p.pos, CASE WHEN p.pos = (b.low >> 10) & 1023 THEN (b.low >> 20)::INTEGER ELSE p.token END, b.low IS NULL
-    FROM pairs p LEFT JOIN best b ON p.piece = b.piece WHERE p.pos IS DISTINCT FROM b.low & 1023))
+    WITH live AS MATERIALIZED (SELECT piece, pos, token, right_pos, right_token FROM state WHERE NOT done),
+    best AS MATERIALIZED (
+        SELECT l.piece, min((m.rank::BIGINT << 20) + (l.pos << 10) + l.right_pos) AS low
+        FROM live l JOIN merges m ON l.token = m.left_token AND l.right_token = m.right_token GROUP BY l.piece),
+    merged AS (
+        SELECT b.piece, (b.low >> 20)::INTEGER AS token, (b.low >> 10) & 1023 AS pos, b.low & 1023 AS gone, r.right_pos, r.right_token
+        FROM best b JOIN live r ON b.piece = r.piece AND r.pos = b.low & 1023)
+    SELECT l.piece, l.pos, CASE WHEN l.pos = m.pos THEN m.token ELSE l.token END,
+           CASE WHEN l.pos = m.pos THEN m.right_pos ELSE l.right_pos END,
+           CASE WHEN l.pos = m.pos THEN m.right_token WHEN l.right_pos = m.pos THEN m.token ELSE l.right_token END, m.pos IS NULL
+    FROM live l LEFT JOIN merged m ON l.piece = m.piece WHERE l.pos IS DISTINCT FROM m.gone))
 """
 #: A piece's ids and, by the vocabulary, its bytes: "id:hex,id:hex" in the order of the tokens.
 DECODE = "SELECT r.piece, string_agg(v.told, ',' ORDER BY r.pos) AS told FROM {rows} r JOIN vocab v ON r.token = v.token GROUP BY r.piece"
@@ -111,16 +115,15 @@ class PieceCoder:
         self._rows("token_rows", ids)
         return [raw for _, raw in self._told(DECODE.format(rows="token_rows"), len(ids))]
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """The number of ids, the ids joined by commas and the bytes they decode to, of each piece."""
+    def encode(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
+        """The ids joined by commas and the bytes they decode to, of each piece."""
         known = [[self.ranks[p]] if p in self.ranks else heap_merge(p, self.ranks) if len(p) > LONG_PIECE else None for p in pieces]
         todo = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
         self._rows("start_rows", [list(map(self.single.__getitem__, p)) for p in todo])
         self._rows("token_rows", [ids for ids in known if ids is not None])
         merged = iter(self._told(ENCODE + DECODE.format(rows="(FROM state WHERE done)"), len(todo)))
         whole = iter(self._told(DECODE.format(rows="token_rows"), len(pieces) - len(todo)))
-        told = [next(merged if ids is None else whole) for ids in known]
-        return [(ids.count(",") + 1, ids, raw) for ids, raw in told]
+        return [next(merged if ids is None else whole) for ids in known]
 
 
 class TextCoder:
@@ -135,8 +138,8 @@ class TextCoder:
 
         self.pieces, self.coder = regex.compile(pattern), PieceCoder(ranks_path)
         self.cuts = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
-        self.known: dict[str, tuple[int, str, bytes]] = Recent(CACHED)
-        self.merged: dict[str, tuple[int, str, bytes]] = Recent(CACHED)
+        self.known: dict[str, tuple[str, bytes]] = Recent(CACHED)
+        self.merged: dict[str, tuple[str, bytes]] = Recent(CACHED)
 
     def _pieces_of(self, chunk: str) -> list[str]:
         word = chunk[1:] if chunk[:1] == " " else chunk
@@ -163,26 +166,27 @@ class TextCoder:
                 elif len(pieces) == 1:
                     self.known[c] = get(pieces[0])
                 else:
-                    n, ids, raw = zip(*map(get, pieces), strict=True)
-                    self.known[c] = sum(n), ",".join(ids), b"".join(raw)
+                    ids, raw = zip(*map(get, pieces), strict=True)
+                    self.known[c] = ",".join(ids), b"".join(raw)
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[tuple, tuple, tuple]]:
-        """The numbers of ids, the ids and the decoded bytes of the chunks of each text."""
-        for p in self._parts(texts):
-            yield tuple(zip(*p, strict=True)) or ((), (), ())
-
-    def _parts(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+    def texts(self, texts: list[str]) -> Iterator[tuple[tuple, tuple]]:
+        """The ids of the chunks of each text, joined by commas, and the bytes they decode to."""
         split = [t.split(" ") for t in texts]
         for s in split:
             s[0] = " " + s[0] if s[0] else s.pop(1) if len(s) > 1 and s[1] else ""
-        self.learn(set(chain.from_iterable(split)))
+        keys = set(chain.from_iterable(split))
+        self.learn(keys)
         get = self.known.__getitem__
-        parts = [list(map(get, s)) if t else [] for t, s in zip(texts, split, strict=True)]
-        uneven = {k: [" " + c for c in self.cuts.split(texts[k]) if c] for k, s in enumerate(split) if None in parts[k] or (len(s) > 1 and s[0][-1:].isspace())}
-        self.learn(set(chain.from_iterable(uneven.values())))
-        for k, keys in uneven.items():
-            parts[k] = list(map(get, keys))
-        return parts
+        uneven = {k for k in keys if get(k) is None}
+        at = [k for k, s in enumerate(split) if texts[k] and ((len(s) > 1 and s[0][-1:].isspace()) or not uneven.isdisjoint(s))] if uneven or any(s[0][-1:].isspace() for s in split) else []
+        parts = [list(map(get, s)) for s in split]
+        cut = {k: [" " + c for c in self.cuts.split(texts[k]) if c] for k in at}
+        if cut:
+            self.learn(set(chain.from_iterable(cut.values())))
+        for k, p in enumerate(parts):
+            if k in cut:
+                p = list(map(get, cut[k]))
+            yield tuple(zip(*p, strict=True)) if texts[k] else ((), ())
 
 
 def _text_coder(ranks_path: str, pattern: str) -> TextCoder:
@@ -196,7 +200,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _text_coder(ranks_path, pattern)
         for doc_ids, texts in text_batches(batches):
-            ids = [[int(i) for x in told for i in x.split(",")] for _, told, _ in coder.texts(texts)]
+            ids = [[int(i) for x in told for i in x.split(",")] for told, _ in coder.texts(texts)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
@@ -224,9 +228,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for doc_ids, texts in text_batches(batches):
             n, ids, raw = [], [], []
             with no_cycle_search():
-                for count, told, parts in coder.texts(texts):
-                    n.append(sum(count))
-                    ids.append(hashlib.sha256(",".join(told).encode()).hexdigest())
+                for told, parts in coder.texts(texts):
+                    joined = ",".join(told).encode()
+                    n.append(joined.count(b",") + 1 if joined else 0)
+                    ids.append(hashlib.sha256(joined).hexdigest())
                     raw.append(hashlib.sha256(b"".join(parts)).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -85,7 +85,7 @@ class Recent(dict):
         return list(new.difference(held))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 5_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts of some batches at a time, as many as have so many characters."""
     ids, texts, size = [], [], 0
     for batch in batches:
