@@ -75,6 +75,17 @@ def test_recall_of_bucket_search(spark):
     assert hit / 200 >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_registered_bucket_search(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    hit = 0
+    for i in range(0, 100, 10):
+        q = vector.vector_of(v, "vec_id", i)
+        exact = {r.vec_id for r in search.similar(v, q, id_col="vec_id").collect()}
+        hit += len(exact & {r.vec_id for r in search.near_by_buckets(v, q, id_col="vec_id").collect()})
+    assert hit / 100 >= 0.9
+
+
 def test_snippets(spark):
     long = "alpha " * 50 + "needle " + "omega " * 50
     got = one(spark, long, lambda c: tx.snippet(c, "NEEDLE", 80))
