@@ -82,7 +82,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_path(spark, "tokens")
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"))
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
     return token_files.with_checksum(token_files.read_tokens(spark, at))
 
 

@@ -5,7 +5,10 @@ rows carry the number of ids before them in that file. A document's start is tha
 before, so readers need no sort: they read stripes in parallel, and a lookup by id skips stripes by their index.
 
 Encoding is per word: the vocabulary's rules never look across white space, so the ids of a text are those of its
-words, and each task encodes a word once (its cache is bounded).
+words, and each task encodes a word once (its cache is bounded). With ``added_tokens``, as the registered query has it,
+the file's added tokens (<|endoftext|>, <|startoftext|>) get their own ids wherever they stand in the text as written,
+as in the library with the file as loaded: the text is cut at them before anything else, also inside a word. Without,
+they are encoded like other text.
 
 Defined results: a null text counts as empty and has the end id only; null ids come first; rows that repeat an id
 each have their own place, ordered by text; an empty table gives empty files; extra columns are not written.
@@ -46,14 +49,23 @@ class WordEncoder:
     """The ids of white-space separated words, each encoded once while the cache holds it, by its letters, digits and
     other runs, which the vocabulary encodes separately."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, added_tokens: bool = False):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # in what lies between the added tokens, lower case must not make another one
         self.tokenizer.encode_special_tokens = True
+        self.added: dict[str, bytes] = {}
+        if added_tokens:
+            for i, t in self.tokenizer.get_added_tokens_decoder().items():
+                if not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip:
+                    raise ValueError(f"added token {t.content!r} isn't matched as written")
+                self.added[t.content] = array("i", [i]).tobytes()
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.runs = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.space = re.compile("[^\\S\x1c-\x1f]+")
@@ -83,22 +95,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers, with the end id."""
+        if not self.cut:
+            return [x + array("i", [END_ID]).tobytes() for x in self._encode_pieces(texts)]
+        pieces = [self.cut.split(t) for t in texts]  # at odd places, added tokens
+        encoded = iter(self._encode_pieces([x for p in pieces for x in p[::2]]))
+        added, end = self.added, array("i", [END_ID]).tobytes()
+        return [b"".join([added[x] if k % 2 else next(encoded) for k, x in enumerate(p)]) + end for p in pieces]
+
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         new = self.known.missing(set(chain.from_iterable(words)))
         for k in range(0, len(new), 50_000):
             self.learn(new[k : k + 50_000])
-        get, end = self.known.__getitem__, array("i", [END_ID]).tobytes()
-        return [b"".join(map(get, w)) + end for w in words]
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
-def _word_encoder(tokenizer_path: str) -> WordEncoder:
+def _word_encoder(tokenizer_path: str, added_tokens: bool) -> WordEncoder:
     """One for all tasks of a worker process, so that its cache goes on."""
-    return held_by_worker(("token_files", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+    return held_by_worker(("token_files", tokenizer_path, added_tokens), lambda: WordEncoder(tokenizer_path, added_tokens))
 
 
-def _encoder(tokenizer_path: str):
+def _encoder(tokenizer_path: str, added_tokens: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = _word_encoder(tokenizer_path), 0
+        encoder, start = _word_encoder(tokenizer_path, added_tokens), 0
         for doc_ids, texts in text_batches(batches):
             ids = encoder.encode(texts)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -111,13 +131,13 @@ def _encoder(tokenizer_path: str):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | None = None, added_tokens: bool = False) -> None:
     """Encode docs (doc_id, text) into ORC files of path, in ascending order of doc_id across and within files."""
     spark = docs.sparkSession
     small_batches(spark)
     files = files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = dealt.mapInArrow(_encoder(tokenizer_path), FILE_SCHEMA)
+    out = dealt.mapInArrow(_encoder(tokenizer_path, added_tokens), FILE_SCHEMA)
     (
         out.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_STRIDE))
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)

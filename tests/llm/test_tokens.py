@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sonoshelf.llm import byte_bpe, token_files
+from sonoshelf.llm import byte_bpe, entry, token_files
 from sonoshelf.llm.common import new_path
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,20 @@ def test_token_files_hold_the_ids_in_order_of_id(spark, docs):
         start += len(ids)
 
 
+def test_op5_has_the_ids_of_the_file_as_loaded(spark, tmp_path):
+    texts = TEXTS + [
+        "a <|endoftext|> z", "x<|startoftext|>y", "<|endoftext|><|endoftext|>'s <|ENDOFTEXT|> <|ENDOFTEXT|>'s", "<|EndOfText|>é世", "é<|endoftext|>\u0301 <|endoftext",
+        "<|<|endoftext|>|> \x1c<|endoftext|>\x1f", "<|endoftext|>", "ΑΣ<|endoftext|>ΑΣ it'<|startoftext|>ll",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t, got, start = Tokenizer.from_file(WORDS), {r.doc_id: r for r in entry.op5_token_files(spark, str(tmp_path)).collect()}, 0
+    assert t.encode(texts[len(TEXTS)], add_special_tokens=False).ids == [320, 49407, 345]
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(array("I", ids).tobytes())), text
+        start += len(ids)
+
+
 def test_a_filter_on_the_id_reaches_the_orc_reader(spark, docs):
     at = new_path(spark, "tokens")
     token_files.write_tokens(docs, at, WORDS, files=2)
