@@ -60,9 +60,8 @@ def neighbours(chunks: DataFrame, of: DataFrame, n: int, group: str, index: str)
 
 
 def with_totals(hits: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
-    """hits with total_chunks, the number of chunks of each one's transcript; only those of the hits are counted."""
-    of = hits.select(group).distinct()
-    counts = chunks.join(F.broadcast(of), group, "left_semi").groupBy(group).agg(F.count("*").alias("total_chunks"))
+    """hits with total_chunks, the number of chunks of each one's transcript; chunks are counted before they are joined."""
+    counts = chunks.groupBy(group).agg(F.count("*").alias("total_chunks"))
     return hits.join(counts, group, "left")
 
 

@@ -55,6 +55,13 @@ def test_trigrams_and_search(spark):
     assert df.where(tx.contains_exact(F.col("text"), "100%")).count() == 1 and df.where(F.col("text").ilike("%" + tx.like_escape("0%") + "%")).count() == 1
 
 
+def test_totals_have_no_broadcast_of_unknown_size(spark):
+    c = spark.createDataFrame([(1, 0, "the"), (1, 1, "x"), (2, 0, "y"), (3, 0, "the"), (None, 0, "the"), (None, 1, "z")], "conv_id long, turn int, text string")
+    out = search.with_totals(c.where("text = 'the'"), c, "conv_id")
+    assert sorted(((r.conv_id, r.total_chunks) for r in out.collect()), key=repr) == [(1, 2), (3, 1), (None, None)]
+    assert "strategy=broadcast" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [1.0]), (6, None)], "id long, embedding array<float>")
     got = [(r.id, round(r.similarity, 4)) for r in search.similar(df, [1.0, 0.0]).collect()]
