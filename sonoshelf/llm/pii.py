@@ -1,5 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
+Nearby words are those from 40 characters before a match to 40 after it, the match and other matches among them.
+
 All of it is Column functions. A kind's matches and the text between them come from one pattern, so the positions
 are running sums of lengths in code points. The patterns are possessive and start only where no earlier start could
 match, which finds the same leftmost matches without going over a long run of digits or letters again and again.
@@ -34,6 +36,8 @@ KINDS = {
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 BASE_SCORE, CONTEXT, CONTEXT_STEP = 0.6, 40, 0.2
+#: Texts are cut to pieces of so many code points, so that what is near a match is found without reading up to there.
+PIECE = 1000
 
 
 def _digits(m: Column) -> Column:
@@ -67,21 +71,32 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _near(gap: Column, words: str) -> Column:
-    """Whether one of the words stands in the last characters of the text before a match."""
-    return F.lower(F.right(gap, F.lit(CONTEXT))).rlike("(?:^|[^a-z])(?:" + words.replace(" ", "|") + ")(?:$|[^a-z])")
+def _around(start: Column, end: Column) -> Column:
+    """The text from CONTEXT characters before start to as many after end."""
+    first, last = F.greatest(start - CONTEXT, F.lit(0)), end + CONTEXT
+    piece = F.floor(first / PIECE).cast("int")
+    pieces = F.array_join(F.slice("_pieces", piece + 1, F.floor(last / PIECE).cast("int") - piece + 1), "")
+    return F.substring(pieces, first - piece * PIECE + 1, last - first)
+
+
+def _near(around: Column, words: str) -> Column:
+    """Whether one of the words stands in the text around a match."""
+    return F.lower(around).rlike("(?:^|[^a-z])(?:" + words.replace(" ", "|") + ")(?:$|[^a-z])")
 
 
 def _checked(kind: str, rank: int, up: str, down: str) -> Column:
     """The matches of a kind that pass its check, with positions and scores."""
-    ends, gaps = F.col(f"_at_{kind}.ends"), F.col(f"_at_{kind}.gaps")
+    ends = F.col(f"_at_{kind}")
 
     def span(m: Column, i: Column) -> Column:
-        gap = F.get(gaps, i)
-        score = F.lit(BASE_SCORE) + F.when(_near(gap, up), 2 * CONTEXT_STEP).otherwise(0.0) - F.when(_near(gap, down), CONTEXT_STEP).otherwise(0.0)
-        return F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), m.alias("value"), score.alias("score"))
+        return F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), m.alias("value"))
+
+    def scored(x: Column) -> Column:
+        around = _around(x["start"], x["end"])
+        score = F.lit(BASE_SCORE) + F.when(_near(around, up), 2 * CONTEXT_STEP).otherwise(0.0) - F.when(_near(around, down), CONTEXT_STEP).otherwise(0.0)
+        return F.struct(*[x[c].alias(c) for c in ("start", "rank", "kind", "end", "value")], score.alias("score"))
 
-    return F.filter(F.transform(F.col(f"_{kind}"), span), lambda x: _valid(kind, x["value"]))
+    return F.transform(F.filter(F.transform(F.col(f"_{kind}"), span), lambda x: _valid(kind, x["value"])), scored)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +118,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.array(F.lit(0)),
             lambda a, x: F.array_append(a, F.element_at(a, -1) + x["g"] + x["m"]),
         )
-        spans.append(F.when(F.size(found) > 0, F.struct(gaps.alias("gaps"), F.slice(ends, 2, F.size(found)).alias("ends"))).alias(f"_at_{kind}"))
-    step = step.select("*", *spans)
+        spans.append(F.when(F.size(found) > 0, F.slice(ends, 2, F.size(found))).alias(f"_at_{kind}"))
+    some = F.greatest(*[F.size(f"_{kind}") for kind in KINDS]) > 0
+    step = step.select("*", *spans, F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).alias("_pieces"))
     found = []
     for rank, (kind, (_, _, up, down)) in enumerate(KINDS.items()):
         none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>")

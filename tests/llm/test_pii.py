@@ -74,5 +74,21 @@ def test_context_moves_the_score(spark):
     assert s[1] > s[2] > s[3]
 
 
+def test_context_is_what_stands_around_a_match(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 50, raising=False)
+    texts = [
+        "call +1 234 567 8901, +1 234 567 8902", "+1 234 567 8901 is my phone", "call " + "x" * 36 + "+1 234 567 8901", "é世𝄞\n" * 40 + "tel +1 234 567 8901 " + "y " * 60 + "call",
+        "+1 234 567 8901" + "," * 38 + " mobile", "x@y.z\n" * 40 + "noreply", "+12345678901" + " " * 60 + "call",
+    ]
+    for i, r in enumerate(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()):
+        assert r.findings
+        for x in r.findings:
+            around = texts[i][max(0, x.start - 40) : x.end + 40].lower()
+            up, down = (bool(re.search("(?:^|[^a-z])(?:" + w.replace(" ", "|") + ")(?:$|[^a-z])", around)) for w in pii.KINDS[x.kind][2:])
+            assert x.score == pytest.approx(0.6 + 0.4 * up - 0.2 * down), (texts[i], x)
+        if i < 2:
+            assert all(x.score > 0.9 for x in r.findings)
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
