@@ -5,7 +5,7 @@ samples. In each run all classes start in one bucket; a bucket samples one of th
 splits by the values there. A bucket of at most ``BUCKET`` classes is compared by brute force; larger ones split
 again, and what is still large after ``DEPTH`` splits is compared block by block, each pair of blocks in a group of
 its own. A pair at the threshold survives a split with probability 0.8, so runs are repeated until the chance of
-finding it is the target recall. Signatures that agree well enough link classes to candidate components (as spanning
+finding it, with the cut on the signatures counted too, is the target recall. Signatures that agree well enough link classes to candidate components (as spanning
 forests, never as all pairs), and in these the exact similarities are computed from the shingles themselves.
 
 Results, one row per document: class_id (smallest doc_id with the same shingles), n_links (number of other classes
@@ -182,9 +182,19 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "node")
 
 
+def recall_after(runs: int) -> float:
+    """The chance that a pair at the threshold is a candidate after so many runs. They all read the same places, so it
+    is the mean over the number of places that agree, of which too few to pass CANDIDATE find nothing."""
+    agree = lambda a: math.comb(PLACES, a) * THRESHOLD**a * (1 - THRESHOLD) ** (PLACES - a)
+    return sum(agree(a) * (1 - (1 - (a / PLACES) ** DEPTH) ** runs) for a in range(PLACES + 1) if a >= CANDIDATE * PLACES)
+
+
 def runs_needed(recall: float = TARGET_RECALL) -> int:
-    """Runs after which a pair at the threshold has met in a bucket with the chance recall."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - THRESHOLD**DEPTH))
+    """Runs after which a pair at the threshold is a candidate with the chance recall."""
+    runs = next((r for r in range(1, 101) if recall_after(r) >= recall), None)
+    if runs is None:
+        raise ValueError(f"{PLACES} places and a cut of {CANDIDATE} can't give a recall of {recall}")
+    return runs
 
 
 def buckets(classes: DataFrame, runs: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sonoshelf.llm import jaccard_join
@@ -72,6 +73,17 @@ def test_nulls_repeated_rows_and_an_empty_table(spark):
     assert jaccard_join.join_similar(docs.limit(0)).collect() == []
 
 
+def test_runs_give_the_target_recall_with_shared_places_and_the_cut():
+    r = np.random.default_rng(3)
+    agree = r.binomial(jaccard_join.PLACES, 0.8, 1_000_000)
+    found = 1 - (1 - (agree / jaccard_join.PLACES) ** jaccard_join.DEPTH) ** jaccard_join.runs_needed()
+    share = np.where(agree >= jaccard_join.CANDIDATE * jaccard_join.PLACES, found, 0).mean()
+    assert share >= 1 - 1.2 * (1 - jaccard_join.TARGET_RECALL)
+    assert jaccard_join.recall_after(jaccard_join.runs_needed()) >= jaccard_join.TARGET_RECALL > jaccard_join.recall_after(jaccard_join.runs_needed() - 1)
+    with pytest.raises(ValueError):
+        jaccard_join.runs_needed(0.9999999)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
