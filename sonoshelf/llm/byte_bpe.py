@@ -1,10 +1,14 @@
-"""Byte-level BPE: a recursive DuckDB query in each partition merges the pieces of texts; ordered aggregation decodes.
+"""Byte-level BPE: recursive DuckDB queries in each partition merge the pieces of texts; ordered aggregation decodes.
 
-Spark deals out the texts. In a task, texts are split into pieces and each different piece is merged once, while a
-bounded cache holds it: token-position rows join the merge table, every piece contracts its leftmost pair of lowest
-rank, and the recursion goes on until no piece has a pair that merges. A piece that is itself a token is that token.
-Pieces of over ``LONG_PIECE`` bytes take as many rounds as they have merges, so they go to an exact merge with a
-heap instead, which takes n log n steps.
+Spark deals out the texts. In a task, texts are cut to pieces and each different piece of a batch is merged once, while
+a small cache of the commonest goes on: token-position rows join the merge table, every piece contracts its leftmost
+pair of lowest rank, and the recursion goes on until no piece has a pair that merges. A piece that is itself a token is
+that token. Decoding takes nothing but the ids: their position rows join the vocabulary, and an ordered aggregation
+puts the bytes of each window of positions together.
+
+The recursion takes a round for each merge of its longest piece and keeps the rows of all rounds, so its work grows
+with the square of a piece's length. Pieces of over ``LONG_PIECE`` bytes, which no natural word has, go to an exact
+merge with a heap instead, which takes n log n steps; README has the figures.
 
 Defined results: a null text counts as empty, without ids; special tokens are ordinary text; extra columns are
 ignored; rows are independent, so repeated rows repeat their result; an empty table gives an empty result.
@@ -15,17 +19,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Recent, held_by_worker, no_cycle_search, small_batches, text_batches, text_or_empty
+from .chunk_ids import KnownIds, as_lists, take_lists, text_arrays
+from .common import bound_batches, held_by_worker, text_or_empty
 
 LONG_PIECE = 256
-CACHED = 250_000
+#: Chunks and pieces kept from batch to batch, some 30 bytes each.
+KNOWN_CHUNKS, KNOWN_PIECES = 300_000, 800_000
+#: Text bytes a batch, rows of all rounds of a recursion, and tokens a decoding query.
+TEXT_BYTES, ROUND_ROWS, DECODED_ROWS = 12_000_000, 4_000_000, 1_000_000
+#: Positions an aggregation puts in order together.
+WINDOW_BITS = 12
 MEMORY = "300MB"
 
 #: Rows of pieces whose merges go on, round by round, and of those that are done. Each row knows the token to its
@@ -45,9 +57,13 @@ WITH RECURSIVE state(piece, pos, token, right_pos, right_token, done) AS (
            CASE WHEN l.pos = m.pos THEN m.right_pos ELSE l.right_pos END,
            CASE WHEN l.pos = m.pos THEN m.right_token WHEN l.right_pos = m.pos THEN m.token ELSE l.right_token END, m.pos IS NULL
     FROM live l LEFT JOIN merged m ON l.piece = m.piece WHERE l.pos IS DISTINCT FROM m.gone))
+SELECT piece, list(token ORDER BY pos) AS ids FROM state WHERE done GROUP BY piece ORDER BY piece
+"""
+#: The bytes of the ids in each window of positions, in order.
+DECODE = """
+SELECT r.pos >> {bits} AS part, list(v.raw ORDER BY r.pos) AS raw
+FROM token_rows r JOIN vocab v ON r.token = v.token GROUP BY part ORDER BY part
 """
-#: A piece's ids and, by the vocabulary, its bytes: "id:hex,id:hex" in the order of the tokens.
-DECODE = "SELECT r.piece, string_agg(v.told, ',' ORDER BY r.pos) AS told FROM {rows} r JOIN vocab v ON r.token = v.token GROUP BY r.piece"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,60 +93,75 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceCoder:
-    """Encodes and decodes pieces in a DuckDB database of its own, in memory."""
+    """Encodes pieces and decodes ids in a DuckDB database of its own, in memory and without files."""
 
     def __init__(self, ranks_path: str):
         import duckdb
 
         self.ranks = read_ranks(ranks_path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = zip(*pairs, strict=True)
         self._table("merge_rows", left_token=pa.array(left, pa.int32()), right_token=pa.array(right, pa.int32()), rank=pa.array(rank, pa.int32()))
         self.db.execute("CREATE TABLE merges AS FROM merge_rows")
-        self._table("vocab_rows", token=pa.array(list(self.ranks.values()), pa.int32()), told=pa.array([f"{r}:{t.hex()}" for t, r in self.ranks.items()]))
+        tokens = pa.array(list(self.ranks.values()), pa.int32())
+        self._table("vocab_rows", token=tokens, raw=pa.array(list(self.ranks), pa.binary()))
         self.db.execute("CREATE TABLE vocab AS FROM vocab_rows")
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.id_of = re.compile("(?:^|,)[0-9]+:")
-        self.hex_of = re.compile(":[0-9a-f]*")
+        self.db.unregister("merge_rows")
+        self.db.unregister("vocab_rows")
+        size = max(self.ranks.values()) + 1
+        self.byte_token, self.told, self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32), pa.array(map(str, range(size))), np.zeros(size, np.int64)
+        for raw, r in self.ranks.items():
+            self.bytes_of[r] = len(raw)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
 
-    def _rows(self, name: str, lists: list[list[int]]) -> None:
-        self._table(
-            name,
-            piece=pa.array([k for k, x in enumerate(lists) for _ in x], pa.int32()),
-            pos=pa.array(list(chain.from_iterable(map(range, map(len, lists)))), pa.int32()),
-            token=pa.array(list(chain.from_iterable(lists)), pa.int32()),
-        )
-
-    def _told(self, query: str, n: int) -> list[tuple[str, bytes]]:
-        got, out = self.db.sql(query).to_arrow_table(), [("", b"")] * n
-        for k, told in zip(got["piece"].to_pylist(), got["told"].to_pylist(), strict=True):
-            out[k] = self.hex_of.sub("", told), bytes.fromhex(self.id_of.sub("", told))
-        return out
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        self._rows("token_rows", ids)
-        return [raw for _, raw in self._told(DECODE.format(rows="token_rows"), len(ids))]
-
-    def encode(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
-        """The ids joined by commas and the bytes they decode to, of each piece."""
-        known = [[self.ranks[p]] if p in self.ranks else heap_merge(p, self.ranks) if len(p) > LONG_PIECE else None for p in pieces]
-        todo = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
-        self._rows("start_rows", [list(map(self.single.__getitem__, p)) for p in todo])
-        self._rows("token_rows", [ids for ids in known if ids is not None])
-        merged = iter(self._told(ENCODE + DECODE.format(rows="(FROM state WHERE done)"), len(todo)))
-        whole = iter(self._told(DECODE.format(rows="token_rows"), len(pieces) - len(todo)))
-        return [next(merged if ids is None else whole) for ids in known]
+    def _merged(self, pieces: list[bytes]) -> pa.ListArray:
+        sizes = np.array([len(p) for p in pieces])
+        first = np.cumsum(sizes) - sizes
+        pos = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        tokens = self.byte_token[np.frombuffer(b"".join(pieces), np.uint8)]
+        self._table("start_rows", piece=pa.array(np.repeat(np.arange(len(pieces)), sizes), pa.int32()), pos=pa.array(pos, pa.int32()), token=pa.array(tokens))
+        return self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks().cast(pa.list_(pa.int32()))
+
+    def encode(self, pieces: list[bytes]) -> pa.ListArray:
+        """The ids of each piece; none is empty."""
+        whole, long, todo = [], [], []
+        for k, p in enumerate(pieces):
+            (whole if p in self.ranks else long if len(p) > LONG_PIECE else todo).append(k)
+        todo.sort(key=lambda k: len(pieces[k]))  # a recursion ends when its longest piece is done
+        made = [pa.array([[self.ranks[pieces[k]]] for k in whole], pa.list_(pa.int32())), pa.array([heap_merge(pieces[k], self.ranks) for k in long], pa.list_(pa.int32()))]
+        rounds = np.cumsum([len(pieces[k]) ** 2 // 2 for k in todo]) // ROUND_ROWS
+        for part in np.split(np.array(todo, int), np.flatnonzero(np.diff(rounds)) + 1) if todo else ():
+            made.append(self._merged([pieces[k] for k in part]))
+        back = np.empty(len(pieces), np.int64)
+        back[np.array(whole + long + todo, int)] = np.arange(len(pieces))
+        return pa.concat_arrays(made).take(pa.array(back))
+
+    def decode(self, lists: pa.ListArray) -> pa.LargeBinaryArray:
+        """The bytes of each list of ids."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        parts = []
+        for low in range(0, len(ids), DECODED_ROWS):
+            part = ids[low : low + DECODED_ROWS]
+            self._table("token_rows", pos=pa.array(np.arange(len(part)), pa.int32()), token=pa.array(part, pa.int32()))
+            for raw in self.db.sql(DECODE.format(bits=WINDOW_BITS)).to_arrow_table()["raw"].chunks:
+                flat = raw.flatten()
+                first, last = (flat.offset, flat.offset + len(flat))
+                at = np.frombuffer(flat.buffers()[1], np.int32)[[first, last]]
+                parts.append(flat.buffers()[2].slice(int(at[0]), int(at[1] - at[0])))
+        ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])]
+        raw = pa.py_buffer(b"".join(parts))
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), raw])
 
 
 class TextCoder:
     """Texts by chunks, which start at a space between two characters that aren't white space or at the text's start.
 
     No piece of the pattern reaches over such a space, so a chunk's ids are the same in every text. Most texts have
-    no other spaces, and splitting at each gives their chunks.
+    no other spaces, and splitting at each gives their chunks. A key without a space before it stands for the chunk of
+    a space and itself, and a space and a chunk for that chunk.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -138,8 +169,8 @@ class TextCoder:
 
         self.pieces, self.coder = regex.compile(pattern), PieceCoder(ranks_path)
         self.cuts = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
-        self.known: dict[str, tuple[str, bytes]] = Recent(CACHED)
-        self.merged: dict[str, tuple[str, bytes]] = Recent(CACHED)
+        self.known = KnownIds(self._learn, KNOWN_CHUNKS)
+        self.merged = KnownIds(lambda pieces: self.coder.encode([p.encode() for p in pieces]), KNOWN_PIECES)
 
     def _pieces_of(self, chunk: str) -> list[str]:
         word = chunk[1:] if chunk[:1] == " " else chunk
@@ -149,44 +180,46 @@ class TextCoder:
             return [chunk[:-1], chunk[-1]]
         return self.pieces.findall(chunk)
 
-    def learn(self, keys: set[str]) -> None:
-        """Keep the ids of chunks. A key without a space stands for itself after a space, and " " + chunk for a chunk
-        as it is; where the former is no chunk of its own, for it begins or ends with white space, None is kept."""
-        new = self.known.missing(keys)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            chunks = [c[1:] if c[:1] == " " else None if not c or c[0].isspace() or c[-1].isspace() else " " + c for c in part]
-            split = [c and self._pieces_of(c) for c in chunks]
-            missing = self.merged.missing(set(chain.from_iterable(filter(None, split))))
-            self.merged.update(zip(missing, self.coder.encode([p.encode() for p in missing]), strict=True))
-            get = self.merged.__getitem__
-            for c, pieces in zip(part, split, strict=True):
-                if not pieces:
-                    self.known[c] = None
-                elif len(pieces) == 1:
-                    self.known[c] = get(pieces[0])
-                else:
-                    ids, raw = zip(*map(get, pieces), strict=True)
-                    self.known[c] = ",".join(ids), b"".join(raw)
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[tuple, tuple]]:
-        """The ids of the chunks of each text, joined by commas, and the bytes they decode to."""
-        split = [t.split(" ") for t in texts]
-        for s in split:
-            s[0] = " " + s[0] if s[0] else s.pop(1) if len(s) > 1 and s[1] else ""
-        keys = set(chain.from_iterable(split))
-        self.learn(keys)
-        get = self.known.__getitem__
-        uneven = {k for k in keys if get(k) is None}
-        at = [k for k, s in enumerate(split) if texts[k] and ((len(s) > 1 and s[0][-1:].isspace()) or not uneven.isdisjoint(s))] if uneven or any(s[0][-1:].isspace() for s in split) else []
-        parts = [list(map(get, s)) for s in split]
-        cut = {k: [" " + c for c in self.cuts.split(texts[k]) if c] for k in at}
-        if cut:
-            self.learn(set(chain.from_iterable(cut.values())))
-        for k, p in enumerate(parts):
-            if k in cut:
-                p = list(map(get, cut[k]))
-            yield tuple(zip(*p, strict=True)) if texts[k] else ((), ())
+    def _learn(self, keys: list[str]) -> pa.ListArray:
+        """The ids of the chunks of these keys."""
+        split = [self._pieces_of(k[1:] if k[:1] == " " else " " + k) for k in keys]
+        if not split:
+            return self.known.ids.slice(0, 0)
+        codes, pieces = pd.factorize(np.array(list(chain.from_iterable(split)), object))
+        ids, sizes = self.merged.in_order(pa.array(pieces, pa.string()), codes)
+        return as_lists(ids, np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split])])
+
+    @staticmethod
+    def _spaced(keys: pa.Array, place: int) -> np.ndarray:
+        """Whether the first or last character of each key is white space, or none."""
+        end = pc.utf8_slice_codeunits(keys, place, place + 1 or None).dictionary_encode()
+        return np.array([not c or c.isspace() for c in end.dictionary.to_pylist()], bool)[end.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text; none is null."""
+        if not len(texts):
+            return self.known.ids.slice(0, 0)
+        split = pc.split_pattern(texts, " ")
+        sizes = split.value_lengths().to_numpy().astype(np.int64)
+        first, values = np.cumsum(sizes) - sizes, split.flatten()
+        coded = values.dictionary_encode()
+        heads = pc.binary_join_element_wise("", values.take(pa.array(first)), " ").dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[first] = len(coded.dictionary) + heads.indices.to_numpy()
+        keys = pa.concat_arrays([coded.dictionary, heads.dictionary])
+        odd = self._spaced(keys, -1)
+        odd[: len(coded.dictionary)] |= self._spaced(coded.dictionary, 0)
+        uneven = np.logical_or.reduceat(odd[codes], first)
+        if uneven.any():
+            cut = [[" " + c for c in self.cuts.split(t) if c] for t in texts.filter(pa.array(uneven)).to_pylist()]
+            other = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+            even = codes[~np.repeat(uneven, sizes)]
+            sizes[uneven] = [len(c) for c in cut]
+            codes, at = np.empty(sizes.sum(), np.int64), np.repeat(uneven, sizes)
+            codes[~at], codes[at] = even, len(keys) + other.indices.to_numpy()
+            keys = pa.concat_arrays([keys, other.dictionary])
+        ids, lengths = self.known.in_order(keys, codes)
+        return as_lists(ids, np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)])
 
 
 def _text_coder(ranks_path: str, pattern: str) -> TextCoder:
@@ -199,41 +232,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _text_coder(ranks_path, pattern)
-        for doc_ids, texts in text_batches(batches):
-            ids = [[int(i) for x in told for i in x.split(",")] for told, _ in coder.texts(texts)]
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for doc_ids, texts in text_arrays(batches, TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([doc_ids, coder.encode(texts)], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, raw) of tokens (doc_id, ids), the decoded bytes."""
+    """(doc_id, raw) of tokens (doc_id, ids), the decoded bytes; null ids give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(ranks_path)
         for batch in batches:
-            raw = coder.decode([x or [] for x in batch.column("ids").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "raw"])
+            raw = coder.decode(pc.fill_null(batch.column("ids"), pa.scalar([], pa.list_(pa.int32()))) if batch.column("ids").null_count else batch.column("ids"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw.cast(pa.binary())], ["doc_id", "raw"])
 
-    small_batches(tokens.sparkSession)
+    bound_batches(tokens.sparkSession)
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode each text in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, and decode the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _text_coder(ranks_path, pattern)
-        for doc_ids, texts in text_batches(batches):
-            n, ids, raw = [], [], []
-            with no_cycle_search():
-                for told, parts in coder.texts(texts):
-                    joined = ",".join(told).encode()
-                    n.append(joined.count(b",") + 1 if joined else 0)
-                    ids.append(hashlib.sha256(joined).hexdigest())
-                    raw.append(hashlib.sha256(b"".join(parts)).hexdigest())
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    small_batches(docs.sparkSession)
+        for doc_ids, texts in text_arrays(batches, TEXT_BYTES):
+            ids = coder.encode(texts)
+            told = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, coder.coder.told.take(ids.values)), ",")
+            digests = [pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in column]) for column in (told, coder.coder.decode(ids))]
+            yield pa.RecordBatch.from_arrays([doc_ids, ids.value_lengths().cast(pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,32 +16,64 @@ from pyspark.sql import functions as F
 
 #: Lookups of at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of an Arrow batch, or one row if that has more.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a new local one."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a new local one, as in tests; on
+    a cluster that is an error, since its machines don't share local folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+_SCOPES: list[list[str]] = []
 
 
-def stow(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is removed at the end; tables that outlive the block are stowed with ``outlives``."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for at in paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def new_path(spark: SparkSession, tag: str, outlives: bool = False) -> str:
+    """A path in the shared folder that nothing else uses. It belongs to the innermost temporary block, or where it
+    outlives that, to the next."""
+    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > outlives:
+        _SCOPES[-1 - outlives].append(at)
+    return at
+
+
+def stow(df: DataFrame, tag: str, outlives: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts the lineage durably."""
-    spark, at = df.sparkSession, new_path(df.sparkSession, tag)
+    spark, at = df.sparkSession, new_path(df.sparkSession, tag, outlives)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for tables that hold some very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for tables that hold some very long texts. It is the same bound for every
+    operation, so plans that run later aren't affected by which was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
@@ -65,52 +97,6 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-class Recent(dict):
-    """A cache of at most about twice ``most`` entries: when it is full, only what is asked for again stays."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def missing(self, keys: set) -> list:
-        """The keys that aren't held. All of keys stay held until the next call, if the caller adds those."""
-        new = keys.difference(self)
-        if len(self) + len(new) > self.most:
-            self.older = dict(self)
-            self.clear()
-            new = keys
-        held = [k for k in new if k in self.older]
-        for k in held:
-            self[k] = self.older[k]
-        return list(new.difference(held))
-
-
-def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 5_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts of some batches at a time, as many as have so many characters."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        ids.append(batch.column("doc_id"))
-        texts += batch.column("text").to_pylist()
-        size += batch.column("text").nbytes
-        if size >= chars:
-            yield pa.concat_arrays(ids), texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield pa.concat_arrays(ids), texts
-
-
-@contextmanager
-def no_cycle_search() -> Iterator[None]:
-    """Python's search for cycles is off meanwhile: it would go over large caches, which hold none, again and again."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
 _HELD: dict[tuple, object] = {}
 
 

@@ -4,11 +4,10 @@ Documents are dealt into ranges of ascending id and sorted; each range is encode
 rows carry the number of ids before them in that file. A document's start is that plus the sizes of the files
 before, so readers need no sort: they read stripes in parallel, and a lookup by id skips stripes by their index.
 
-Encoding is per word: the vocabulary's rules never look across white space, so the ids of a text are those of its
-words, and each task encodes a word once (its cache is bounded). With ``added_tokens``, as the registered query has it,
-the file's added tokens (<|endoftext|>, <|startoftext|>) get their own ids wherever they stand in the text as written,
-as in the library with the file as loaded: the text is cut at them before anything else, also inside a word. Without,
-they are encoded like other text.
+Encoding is by strings between spaces: the vocabulary's rules never look across white space, so the ids of a text are
+those of its words, and each different word of a batch is encoded once. The file's added tokens (<|endoftext|>,
+<|startoftext|>) get their own ids wherever they stand in the text as written, as in the library with the file as
+loaded: a string is cut at them before anything else, also inside a word.
 
 Defined results: a null text counts as empty and has the end id only; null ids come first; rows that repeat an id
 each have their own place, ordered by text; an empty table gives empty files; extra columns are not written.
@@ -19,19 +18,22 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Recent, held_by_worker, small_batches, text_batches, text_or_empty
+from .chunk_ids import KnownIds, as_lists, text_arrays
+from .common import BROADCAST_ROWS, bound_batches, held_by_worker, text_or_empty
 
 END_ID = 1
-CACHED_WORDS = 300_000
+#: Strings kept from batch to batch, text bytes a batch, and text bytes a file.
+KNOWN_CHUNKS, KNOWN_RUNS, TEXT_BYTES, FILE_BYTES = 600_000, 600_000, 12_000_000, 256 << 20
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 2000
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -45,11 +47,11 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-class WordEncoder:
-    """The ids of white-space separated words, each encoded once while the cache holds it, by its letters, digits and
-    other runs, which the vocabulary encodes separately."""
+class ChunkEncoder:
+    """The ids of strings without spaces, by the runs of letters, digits and other characters that the vocabulary
+    encodes separately, and of texts."""
 
-    def __init__(self, tokenizer_path: str, added_tokens: bool = False):
+    def __init__(self, tokenizer_path: str):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -58,86 +60,91 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         # in what lies between the added tokens, lower case must not make another one
         self.tokenizer.encode_special_tokens = True
-        self.added: dict[str, bytes] = {}
-        if added_tokens:
-            for i, t in self.tokenizer.get_added_tokens_decoder().items():
-                if not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip:
-                    raise ValueError(f"added token {t.content!r} isn't matched as written")
-                self.added[t.content] = array("i", [i]).tobytes()
+        self.added: dict[str, int] = {}
+        for i, t in self.tokenizer.get_added_tokens_decoder().items():
+            if not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip:
+                raise ValueError(f"added token {t.content!r} isn't matched as written")
+            self.added[t.content] = i
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.runs = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.space = re.compile("[^\\S\x1c-\x1f]+")
-        self.known: dict[str, bytes] = Recent(CACHED_WORDS)
-        self.known_runs: dict[str, bytes] = Recent(CACHED_WORDS)
-
-    def words(self, text: str) -> list[str]:
-        if text.isascii() or _is_latin(text):
+        self.known = KnownIds(self._learn, KNOWN_CHUNKS)
+        self.known_runs = KnownIds(self._encode_runs, KNOWN_RUNS)
+
+    def _encode_runs(self, runs: list[str]) -> pa.ListArray:
+        """The ids of runs; an added token stands for itself."""
+        ids = [[self.added[r]] if r in self.added else None for r in runs] if self.added else [None] * len(runs)
+        told = iter(self.tokenizer.encode_batch_fast([r for r, i in zip(runs, ids, strict=True) if i is None], add_special_tokens=False))
+        return pa.array([next(told).ids if i is None else i for i in ids], pa.list_(pa.int32()))
+
+    def _runs_of(self, text: str) -> list[str]:
+        """The runs of a string between added tokens, or its words where a run could change by what stands beside it."""
+        latin = text.isascii() or _is_latin(text)
+        if latin:
             text = text.lower()  # for these characters, the same as the vocabulary's own lower case
-        if self.odd_space.search(text):  # white space for Python, but not for the vocabulary
-            return [w for w in self.space.split(text) if w]
-        return text.split()
-
-    def _runs_of(self, word: str) -> list[str]:
-        """The runs of a word if none can change by what stands beside it, else the word."""
-        if word.isalpha() or not (word.isascii() or _is_latin(word)) or "'" in word:
-            return [word]
-        return [word[:-1], word[-1]] if word[:-1].isalpha() else self.runs.findall(word)
-
-    def learn(self, words: list[str]) -> None:
-        split = list(map(self._runs_of, words))
-        new = self.known_runs.missing(set(chain.from_iterable(split)))
-        for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known_runs[r] = array("i", e.ids).tobytes()
-        get = self.known_runs.__getitem__
-        self.known.update(zip(words, [b"".join(map(get, x)) for x in split], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as native 32-bit integers, with the end id."""
-        if not self.cut:
-            return [x + array("i", [END_ID]).tobytes() for x in self._encode_pieces(texts)]
-        pieces = [self.cut.split(t) for t in texts]  # at odd places, added tokens
-        encoded = iter(self._encode_pieces([x for p in pieces for x in p[::2]]))
-        added, end = self.added, array("i", [END_ID]).tobytes()
-        return [b"".join([added[x] if k % 2 else next(encoded) for k, x in enumerate(p)]) + end for p in pieces]
-
-    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        new = self.known.missing(set(chain.from_iterable(words)))
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-
-def _word_encoder(tokenizer_path: str, added_tokens: bool) -> WordEncoder:
-    """One for all tasks of a worker process, so that its cache goes on."""
-    return held_by_worker(("token_files", tokenizer_path, added_tokens), lambda: WordEncoder(tokenizer_path, added_tokens))
-
-
-def _encoder(tokenizer_path: str, added_tokens: bool):
+            if text.isalpha():
+                return [text]
+            if text[:-1].isalpha() and not text[-1].isspace():
+                return [text[:-1], text[-1]]
+        odd = self.odd_space.search(text)  # white space for Python, but not for the vocabulary
+        out: list[str] = []
+        for word in [w for w in self.space.split(text) if w] if odd else text.split():
+            if word.isalpha() or not latin or "'" in word:
+                out.append(word)
+            else:
+                out += self.runs.findall(word)
+        return out
+
+    def _learn(self, chunks: list[str]) -> pa.ListArray:
+        split = []
+        for c in chunks:
+            if "<" in c and self.cut and self.cut.search(c):
+                parts = self.cut.split(c)  # at odd places, added tokens
+                split.append([x for k, p in enumerate(parts) for x in ([p] if k % 2 else self._runs_of(p))])
+            else:
+                split.append(self._runs_of(c))
+        codes, runs = pd.factorize(np.array(list(chain.from_iterable(split)), object))
+        ids, sizes = self.known_runs.in_order(pa.array(runs, pa.string()), codes)
+        return as_lists(ids, np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for s in split])]) if split else self.known.ids.slice(0, 0)
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, with the end id; none is null."""
+        if not len(texts):
+            return self.known.ids.slice(0, 0)
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        last = np.cumsum(split.value_lengths().to_numpy().astype(np.int64)) - 1
+        ids, sizes = self.known.in_order(coded.dictionary, coded.indices.to_numpy())
+        ends = np.cumsum(sizes)[last]
+        return as_lists(np.insert(ids, ends, END_ID), ends + np.arange(1, len(texts) + 1))
+
+
+def _encoder(tokenizer_path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = _word_encoder(tokenizer_path, added_tokens), 0
-        for doc_ids, texts in text_batches(batches):
+        # one for all tasks of a worker process, so that its cache goes on
+        encoder, start = held_by_worker(("token_files", tokenizer_path), lambda: ChunkEncoder(tokenizer_path)), 0
+        for doc_ids, texts in text_arrays(batches, TEXT_BYTES):
             ids = encoder.encode(texts)
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            values = np.frombuffer(b"".join(ids), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + offsets[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "local_start", "n_tokens", "ids"])
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), ids], ["doc_id", "local_start", "n_tokens", "ids"])
             start += int(offsets[-1])
 
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | None = None, added_tokens: bool = False) -> None:
-    """Encode docs (doc_id, text) into ORC files of path, in ascending order of doc_id across and within files."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | None = None) -> None:
+    """Encode docs (doc_id, text) into ORC files of path, in ascending order of doc_id across and within files.
+
+    There are as many files as the text has FILE_BYTES, and no fewer than tasks run at a time."""
     spark = docs.sparkSession
-    small_batches(spark)
-    files = files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = dealt.mapInArrow(_encoder(tokenizer_path, added_tokens), FILE_SCHEMA)
+    bound_batches(spark)
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    if not files:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    out = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(tokenizer_path), FILE_SCHEMA)
     (
         out.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_STRIDE))
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
@@ -147,8 +154,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | N
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files of path; start counts the ids of all documents before."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    # a file's number is that of its task; as text it doesn't sort from 100,000 files on
+    number = F.regexp_extract("file", "^part-([0-9]+)", 1).cast("long")
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("number", number)
+    before = F.sum("total").over(Window.orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     bases = sums.select(F.col("file").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))
     return rows.join(F.broadcast(bases) if len(rows.inputFiles()) <= BROADCAST_ROWS else bases, F.col("file") == F.col("of")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 

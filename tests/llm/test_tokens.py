@@ -1,8 +1,12 @@
 import hashlib
+import random
 import zlib
 from array import array
+from pathlib import Path
+from urllib.parse import urlparse
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -45,12 +49,48 @@ def test_long_pieces_take_the_heap_and_agree_with_recursion():
     coder = byte_bpe.PieceCoder(RANKS)
     pieces = [b"abracadabra" * 9, b" thonreoution", b"\xff\xfe\x00", b"zzzzzzzz"]
     want = [byte_bpe.heap_merge(p, coder.ranks) for p in pieces]
-    assert coder.encode(pieces) == [(",".join(map(str, x)), p) for x, p in zip(want, pieces, strict=True)]
+    assert coder.encode(pieces).to_pylist() == want
+    assert coder.decode(coder.encode(pieces)).to_pylist() == pieces
+    assert coder.encode([b"abcabd" * 90]).to_pylist() == [byte_bpe.heap_merge(b"abcabd" * 90, coder.ranks)]
+
+
+def random_texts(alphabet, n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_chunks_of_random_texts_are_encoded_as_by_the_library():
+    texts = random_texts("   \n\tab'sé世1.,\x1c\x85T", 5000, 3)
+    coder = byte_bpe.TextCoder(RANKS, P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.coder.ranks, special_tokens={})
+    for part in (texts[:1000], texts[1000:], texts):  # with nothing, something and all known
+        ids = coder.encode(pa.array(part))
+        assert ids.to_pylist() == [e.encode_ordinary(t) for t in part]
+        assert coder.coder.decode(ids).to_pylist() == [t.encode() for t in part]
+
+
+def test_random_texts_have_the_ids_of_the_file_as_loaded():
+    texts = random_texts(["  ", " ", "\n", "ab", "'s", "é", "É", "Σ", "İ", "世", "1", ".", "\x1c", "\x85", "<|endoftext|>", "<|", "|>", "<|EndOfText|>", "\u0301"], 5000, 4)
+    encoder, t = token_files.ChunkEncoder(WORDS), Tokenizer.from_file(WORDS)
+    for part in (texts[:1000], texts[1000:], texts):
+        assert encoder.encode(pa.array(part)).to_pylist() == [t.encode(x, add_special_tokens=False).ids + [1] for x in part]
+
+
+def test_files_are_put_in_order_by_number(spark):
+    at = new_path(spark, "tokens")
+    rows = spark.createDataFrame([(1, 0, 2, [5, 1])], token_files.FILE_SCHEMA)
+    for n in (99_999, 100_000):
+        rows.withColumn("doc_id", F.lit(n).cast("long")).coalesce(1).write.orc(f"{at}-{n}")
+    folder = Path(urlparse(at).path)
+    folder.mkdir()
+    for n in (99_999, 100_000):
+        (found,) = Path(f"{folder}-{n}").glob("part-*.orc")
+        found.rename(folder / f"part-{n:05d}-x.orc")
+    assert sorted((r.doc_id, r.start) for r in token_files.read_tokens(spark, at).collect()) == [(99_999, 0), (100_000, 2)]
 
 
 def test_token_files_hold_the_ids_in_order_of_id(spark, docs):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     at = new_path(spark, "tokens")
     token_files.write_tokens(docs, at, WORDS, files=3)
     got = {r.doc_id: r for r in token_files.with_checksum(token_files.read_tokens(spark, at)).collect()}
