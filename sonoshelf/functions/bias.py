@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Common words that are no names although titles capitalise them.
-COMMON = """a an and are as at be but by for from had has have he her his how i if in into is it its me my no not of on or our
-she so than that the their them then there these they this to up was we were what when where which who why will with you your
-book chapter part volume vol series edition unabridged audiobook novel story tales saga""".split()
+# Common words that are no names although titles capitalise them, and what separates words.
+COMMON = """a an the in on at to of for by up as or if it its is be do no and but nor yet so i me my we us our he him his she her they
+them their you your am are was were has have had does did will would could should may might must can get got this that these those
+not all one two new also just then than with from into what who how when where why""".split()
+SEPARATORS = r"[\s\-/\\()\[\]:,.'\"]+"
 
 
-def terms(text: Column) -> Column:
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+
+
+def proper_nouns(found: Column) -> Column:
     """Words of three characters or more with a capital first letter that aren't common."""
-    words = F.transform(F.split(text, r"[^\p{L}\p{Nd}']+"), lambda w: F.regexp_replace(w, r"'s$|^'+|'+$", ""))
-    return F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(COMMON))
+    return F.filter(found, lambda w: (F.length(w) >= 3) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(COMMON))
+
+
+def named(text: Column) -> Column:
+    """A name's proper nouns and then all its words as a phrase, if there is a proper noun among several words."""
+    return F.transform(F.array(words(text)), lambda w: F.when(
+        (F.size(proper_nouns(w)) > 0) & (F.size(w) > 1), F.concat(proper_nouns(w), F.array(F.array_join(w, " "))),
+    ).otherwise(proper_nouns(w)))[0]
 
 
 def first_seen(values: Column) -> Column:
@@ -23,8 +34,5 @@ def first_seen(values: Column) -> Column:
 
 
 def bias_terms(author: Column, narrator: Column, series: Column, title: Column) -> Column:
-    """Whole names of author, narrator and series, then their proper nouns and the title's; null if there are none."""
-    phrases = F.filter(F.array(F.trim(author), F.trim(narrator), F.trim(series)), lambda x: F.coalesce(x, F.lit("")) != "")
-    nouns = F.flatten(F.array(*[terms(F.coalesce(c, F.lit(""))) for c in (author, narrator, series, title)]))
-    found = first_seen(F.concat(phrases, nouns))
-    return F.when(F.size(found) > 0, found)
+    """Author, narrator and series, each by its proper nouns and as a phrase, then the title's proper nouns."""
+    return first_seen(F.concat(named(author), named(narrator), named(series), proper_nouns(words(title))))

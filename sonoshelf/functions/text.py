@@ -71,6 +71,7 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "))
 
 
+# The two forms of a catalogue number.
 def asin(text: Column) -> Column:
     """The catalogue number in square brackets, upper case; null if there is none."""
     return F.nullif(F.regexp_extract(F.upper(text), r"\[((?:B0[0-9A-Z]{8})|(?:[0-9]{6,}))\]", 1), F.lit(""))
@@ -80,18 +81,22 @@ def without_asin(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?i)\s*\[((?:B0[0-9A-Z]{8})|(?:[0-9]{6,}))\]", ""))
 
 
+# What a number at the end of a track's name may follow.
+TRAILING_TRACK = r"(?i)[\s_]*[-–—]?[\s_]*(?:track|part|chapter|chp|pt|disc|cd|vol|volume)?[\s_]*[0-9]+\s*\z"
+
+
 def title_from_path(path: Column) -> Column:
-    """A file's name without its extension and a track, part or chapter number at its end."""
-    stem = F.regexp_replace(basename(path), r"\.[^.]*$", "")
-    bare = F.regexp_replace(stem, r"(?i)[\s_-]*(?:track|part|chapter|ch|pt)?[\s_-]*[0-9]+$", "")
-    return F.trim(F.regexp_replace(bare, r"^[\s-]+|[\s-]+$", ""))
+    """A file's name without its extension and a track, part or disc number at its end; with it if nothing else is left."""
+    stem = F.regexp_replace(basename(path), r"(?s)(?<=.)\.[^.]*\z", "")
+    bare = F.regexp_replace(F.trim(F.regexp_replace(stem, TRAILING_TRACK, "")), r"[ \-–—_]+\z", "")
+    return F.when(bare == "", F.trim(stem)).otherwise(bare)
 
 
 def author_and_title(path: Column, roots: list[str]) -> Column:
     """Author and title from the first two components under the longest root, else the last two directories."""
     picked = F.lit(None).cast("array<string>")
     for root in sorted(roots, key=len):
-        rest = F.split(F.substring(path, len(root) + 2, 10_000), "/")
+        rest = F.split(F.substr(path, F.lit(len(root.rstrip("/")) + 2)), "/")
         picked = F.when(path.startswith(root.rstrip("/") + "/") & (F.size(rest) >= 3), F.slice(rest, 1, 2)).otherwise(picked)
     parts = F.split(book_dir(path), "/")
     last = F.when(F.size(parts) >= 2, F.slice(parts, -2, 2)).otherwise(F.array(F.lit(""), F.element_at(parts, -1)))

@@ -69,21 +69,22 @@ def chunk_id(transcript: pd.Series, index: pd.Series) -> pd.Series:
 
 
 def clean_words(found: list[dict]) -> list[dict]:
-    """Words in order of time; a word that the one before already covers goes."""
+    """Words in order of time; a repeat of the word before that starts before that one's end goes."""
     out: list[dict] = []
     for w in sorted(found, key=lambda w: (w["start"], w["end"])):
-        if out and w["word"].strip().lower() == out[-1]["word"].strip().lower() and w["start"] < out[-1]["end"]:
+        if out and w["word"] == out[-1]["word"] and w["start"] < out[-1]["end"]:
             continue
         out.append(w)
     return out
 
 
 def segments_of(found: list[dict]) -> list[dict]:
-    """Segments cut at gaps over 0.6 s, at another speaker, and before they reach 30 s or 80 words."""
+    """Segments cut at gaps over 0.6 s, at another speaker where both are known, and once they have 30 s or 80 words."""
     out: list[list[dict]] = []
     for w in clean_words(found):
         cur = out[-1] if out else None
-        if cur and w["start"] - cur[-1]["end"] <= GAP_S and w["speaker"] == cur[-1]["speaker"] and w["end"] - cur[0]["start"] <= MOST_S and len(cur) < MOST_WORDS:
+        other = cur and w["speaker"] is not None and cur[-1]["speaker"] is not None and w["speaker"] != cur[-1]["speaker"]
+        if cur and not other and w["start"] - cur[-1]["end"] <= GAP_S and cur[-1]["end"] - cur[0]["start"] < MOST_S and len(cur) < MOST_WORDS:
             cur.append(w)
         else:
             out.append([w])
@@ -136,9 +137,27 @@ def chunk_rows(transcripts: DataFrame, size: int = TOKENS) -> DataFrame:
     return c.withColumn("id", chunk_id(F.col("transcript_id").cast("string"), "chunk_index"))
 
 
+SEAM_S = 0.25
+
+
+def advancing(rows: list[dict]) -> list[dict]:
+    """Entries that start after the last one kept and don't repeat one that was kept within SEAM_S seconds of starts."""
+    kept: list[dict] = []
+    for r in rows:
+        if kept and r["start"] <= kept[-1]["start"]:
+            continue
+        near = (k for k in reversed(kept) if r["start"] - k["start"] <= SEAM_S)
+        if not any(k["word"] == r["word"] for k in near):
+            kept.append(r)
+    return kept
+
+
 def stitch(windows: DataFrame, length: float = 600.0, overlap: float = 15.0) -> DataFrame:
-    """(file, words) of overlapping windows (file, window, words): each keeps what starts in its core, times move to the
-    file's, ends aren't before starts, and at a joint a word must go forward and not say the same within 0.25 s."""
+    """(file, word, start, end) of overlapping windows (file, window, words): each keeps what starts in its core, times
+    move to the file's, ends aren't before starts, and entries must go forward and not repeat a near one.
+
+    An entry over SEAM_S seconds after all before it is kept whatever they are, so only runs of nearer entries are
+    folded, each on its own; the entries that stand alone don't leave the JVM."""
     step, half = length - overlap, overlap / 2
     top = F.max("window").over(Window.partitionBy("file"))
     w = windows.withColumn("last", top).select("file", "window", "last", F.posexplode("words").alias("pos", "w"))
@@ -146,16 +165,17 @@ def stitch(windows: DataFrame, length: float = 600.0, overlap: float = 15.0) ->
     w = w.where((F.col("w.start") >= low) & (F.col("w.start") < high))
     start = F.col("w.start") + F.col("window") * step
     w = w.select("file", "window", "pos", F.col("w.word").alias("word"), start.alias("start"), F.greatest(start, F.col("w.end") + F.col("window") * step).alias("end"))
+    order = Window.partitionBy("file").orderBy("window", "pos")
+    before = F.max("start").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    w = w.withColumn("alone", F.coalesce(F.col("start") > before + SEAM_S, F.lit(True)))
+    w = w.withColumn("run", F.sum(F.col("alone").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("more", F.count("*").over(Window.partitionBy("file", "run")) > 1)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for r in rows.sort_values(["window", "pos"]).to_dict("records"):
-            if kept and (r["start"] <= kept[-1]["start"] or (r["word"] == kept[-1]["word"] and r["start"] - kept[-1]["end"] <= 0.25)):
-                continue
-            kept.append(r)
+        kept = advancing(rows.sort_values(["window", "pos"]).to_dict("records"))
         return pd.DataFrame(kept, columns=rows.columns)[["file", "word", "start", "end"]]
 
-    return w.groupBy("file").applyInPandas(join, "file string, word string, start double, end double")
+    folded = w.where("more").drop("alone", "more").groupBy("file", "run").applyInPandas(join, "file string, word string, start double, end double")
+    return w.where("not more").select(F.col("file").cast("string").alias("file"), "word", "start", "end").unionByName(folded)
 
 
 def gap_sessions(rows: DataFrame, by: str, start: str, end: str, gap_s: float, order: str) -> DataFrame:

@@ -12,19 +12,26 @@ from .findings import TRANSITIONS, with_chunk
 DEFAULT_LIMIT, MOST = 50, 200
 
 
-def occurrences(text: Column, span: Column) -> Column:
-    """How often a span stands in a text, one after another."""
-    cut = F.length(text) - F.length(F.replace(text, span, F.lit("")))
-    return F.when(F.length(span) > 0, F.floor(cut / F.length(span)).cast("int")).otherwise(0)
+def starts(text: Column, span: Column) -> Column:
+    """Where a span starts in a text, also within one before."""
+    last = F.length(text) - F.length(span)
+    at = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(span)) == span)
+    return F.when((F.length(span) > 0) & (last >= 0) & F.contains(text, span), at).otherwise(F.array().cast("array<int>"))
 
 
-def anchor(text: Column, span: Column, offset: Column) -> Column:
-    """(start, status): at the offset if the span is there, else where it stands if that is one place only."""
+def anchor(text: Column, span: Column, offset: Column, occurrence: Column | None = None) -> Column:
+    """(start, status): at the offset if the span is there, else at the occurrence, which counts from 0, else where it
+    stands if that is one place only."""
+    occurrence = F.lit(None).cast("int") if occurrence is None else occurrence
     there = F.coalesce(F.substring(text, offset + 1, F.length(span)) == span, F.lit(False)) & (F.length(span) > 0) & F.coalesce(offset >= 0, F.lit(False))
-    n = occurrences(text, span)
-    start = F.when(there, offset).when(n == 1, F.instr(text, span) - 1)
-    status = F.when(text.isNull(), "no chunk").when(there, "offset").when(n == 1, "unique").when(n == 0, "not found").otherwise("ambiguous")
-    return F.struct(start.cast("int").alias("start"), status.alias("status"))
+
+    def told(at: Column) -> Column:
+        nth = F.coalesce((occurrence >= 0) & (occurrence < F.size(at)), F.lit(False))
+        start = F.when(there, offset).when(nth, F.get(at, occurrence)).when(F.size(at) == 1, F.get(at, F.lit(0)))
+        status = F.when(text.isNull(), "no chunk").when(there, "offset").when(F.size(at) == 0, "not found").when(nth, "occurrence").when(F.size(at) == 1, "unique").otherwise("ambiguous")
+        return F.struct(start.cast("int").alias("start"), status.alias("status"))
+
+    return F.transform(F.array(starts(text, span)), told)[0]
 
 
 def corrections(found: DataFrame, chunks: DataFrame, *, states: list[str] | None = None, floor: float = 0.0, scope: Column | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
@@ -38,7 +45,8 @@ def corrections(found: DataFrame, chunks: DataFrame, *, states: list[str] | None
     rows = rows.where(F.col("patch_state").isin(states)) if states else rows
     rows = rows.where(scope) if scope is not None else rows
     page = rows.orderBy(F.desc("confidence"), "transcript_id", "start_sec", "id").offset(max(0, offset)).limit(min(max(1, limit), MOST))
-    out = with_chunk(page, chunks).withColumn("anchor", anchor(F.col("chunk_text"), F.col("original_text"), F.col("anchor_offset")))
+    out = with_chunk(page, chunks)
+    out = out.withColumn("anchor", anchor(F.col("chunk_text"), F.col("original_text"), F.col("anchor_offset"), F.col("anchor_occurrence") if "anchor_occurrence" in out.columns else None))
     end = F.col("anchor.start") + F.length("original_text")
     shown = F.when(F.col("anchor.start").isNotNull(), around(F.col("chunk_text"), F.col("anchor.start"), end)).otherwise(
         F.struct(F.substring("chunk_text", 1, 600).alias("context"), (F.length("chunk_text") > 600).alias("truncated"))

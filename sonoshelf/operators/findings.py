@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 #: Buckets of the summary, and the floor below which findings aren't kept.
 HIGH, MEDIUM, FLOOR, PER_CHUNK = 0.8, 0.4, 0.6, 5
-#: What a correction may become, by what it is.
+# What a correction may become, by what it is, and the kinds of issues.
 TRANSITIONS = {
-    "pending": {"accepted", "rejected"},
-    "accepted": {"applied", "stale", "rejected", "pending"},
+    "proposed": {"accepted", "rejected", "stale"},
+    "accepted": {"applied", "rejected", "stale"},
     "applied": {"reverted", "stale"},
-    "rejected": {"pending"},
-    "reverted": {"accepted", "pending"},
-    "stale": {"accepted", "rejected", "pending"},
+    "rejected": {"proposed"},
+    "reverted": {"proposed"},
+    "stale": set(),
 }
-ISSUES = ("misheard", "name", "number", "punctuation", "other")
+ISSUES = ("misheard_proper_noun", "misheard_word", "repeated_text", "number_artifact", "homophone", "dropped_word", "other")
+#: Judges' answers of more bytes than this aren't parsed.
+MOST_RESPONSE_BYTES = 10 << 20
 
 
 def can_turn(a: str, b: str) -> bool:
@@ -75,26 +77,32 @@ def with_chunk(found: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def parse_judgement(response: Column) -> Column:
-    """The findings in a judge's answer: empty spans and changes that change nothing go, confidence is held to 0..1."""
+    """The findings in a judge's answer: empty spans and changes that change nothing go, confidence is held to 0..1,
+    unknown issues are other ones, negative anchors are unknown. Null if there is no object, or too long an answer."""
     from sonoshelf.functions.text import normalised, outer_json
 
-    kind = "struct<findings:array<struct<original:string,correction:string,issue:string,confidence:double,offset:int>>>"
-    raw = F.from_json(outer_json(response), kind)["findings"]
-    fine = F.filter(raw, lambda f: (F.trim(f["original"]) != "") & (F.trim(f["correction"]) != "") & (normalised(f["original"]) != normalised(f["correction"])))
+    kind = "struct<findings:array<struct<original_text:string,issue_type:string,suggested_correction:string,confidence:double,anchor_offset:int,anchor_occurrence:int>>>"
+    answer = F.from_json(F.when(F.octet_length(response) <= MOST_RESPONSE_BYTES, F.nullif(outer_json(response), F.lit(""))), kind)
+    raw = F.when(answer.isNotNull(), F.coalesce(answer["findings"], F.array()))
+    text = lambda f, name: F.trim(F.coalesce(f[name], F.lit("")))
+    fine = F.filter(raw, lambda f: (text(f, "original_text") != "") & (text(f, "suggested_correction") != "") & (normalised(f["original_text"]) != normalised(f["suggested_correction"])))
+    issue = lambda f: F.lower(text(f, "issue_type"))
     return F.transform(fine, lambda f: F.struct(
-        F.trim(f["original"]).alias("original"), F.trim(f["correction"]).alias("correction"), F.when(f["issue"].isin(*ISSUES), f["issue"]).otherwise("other").alias("issue"),
-        F.least(F.greatest(F.coalesce(f["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.when(f["offset"] >= 0, f["offset"]).alias("offset"),
+        text(f, "original_text").alias("original_text"), F.when(issue(f).isin(*ISSUES), issue(f)).otherwise("other").alias("issue_type"), text(f, "suggested_correction").alias("suggested_correction"),
+        F.least(F.greatest(F.coalesce(f["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+        *[F.when(f[c] >= 0, f[c]).alias(c) for c in ("anchor_offset", "anchor_occurrence")],
     ))
 
 
 def decide(found: DataFrame, decisions: DataFrame) -> DataFrame:
-    """found after decisions (id, expected, state): only where the state is the expected one and may turn to the new."""
-    legal = found.sparkSession.createDataFrame([(a, b) for a, to in sorted(TRANSITIONS.items()) for b in sorted(to)], "_from string, _to string")
-    d = decisions.dropDuplicates(["id", "expected"]).select(F.col("id").alias("_of"), "expected", F.col("state").alias("_state"))
+    """found after decisions (id, expected, state, at): only where the state is the expected one and may turn to the new.
+    Of several that expect the same of a finding, the first counts, as the others don't find that state any more."""
+    legal = found.sparkSession.createDataFrame([(a, b) for a, to in sorted(TRANSITIONS.items()) for b in sorted(to)], "_from string, _to string")  # nine rows
+    first = decisions.join(F.broadcast(legal), (F.col("expected") == F.col("_from")) & (F.col("state") == F.col("_to"))).groupBy("id", "expected").agg(F.min(F.struct("at", "state")).alias("first"))
+    d = first.select(F.col("id").alias("_of"), "expected", F.col("first.state").alias("_to"))
     out = found.join(d, (F.col("id") == F.col("_of")) & (F.col("patch_state") == F.col("expected")), "left")
-    out = out.join(F.broadcast(legal), (F.col("patch_state") == F.col("_from")) & (F.col("_state") == F.col("_to")), "left")
     changed = F.col("_to").isNotNull()
-    return out.withColumn("patch_state", F.when(changed, F.col("_to")).otherwise(F.col("patch_state"))).withColumn("changed", changed).drop("_of", "expected", "_state", "_from", "_to")
+    return out.withColumn("patch_state", F.when(changed, F.col("_to")).otherwise(F.col("patch_state"))).withColumn("changed", changed).drop("_of", "expected", "_to")
 
 
 def clear_stale(chunks: DataFrame, found: DataFrame, watermark: Column) -> DataFrame:
@@ -103,3 +111,51 @@ def clear_stale(chunks: DataFrame, found: DataFrame, watermark: Column) -> DataF
     blocks = found.where((F.col("decided_at") > watermark) | (F.col("patch_state") == "accepted")).select("transcript_id", "chunk_index").distinct().withColumn("_held", F.lit(True))
     out = chunks.join(blocks, ["transcript_id", "chunk_index"], "left")
     return out.withColumn("embedding_stale", F.col("embedding_stale") & F.col("_held").isNotNull()).select(chunks.columns)
+
+
+def insert(found: DataFrame, new: DataFrame) -> DataFrame:
+    """found with new findings, which begin as proposed; columns that new lacks are null."""
+    fresh = new.select("*", F.lit("proposed").alias("patch_state")) if "patch_state" not in new.columns else new
+    return found.unionByName(fresh, allowMissingColumns=True)
+
+
+def clear(found: DataFrame, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what is left of found, the number of findings that go): those in the scope, or all."""
+    gone = F.coalesce(scope, F.lit(False)) if scope is not None else F.lit(True)
+    return found.where(~gone), found.agg(F.count_if(gone).alias("removed"))
+
+
+def overlay_of(found: DataFrame, transcripts: Column | None = None) -> DataFrame:
+    """The corrections to be replayed, accepted or applied before, by chunk and place; those without a place last."""
+    rows = found.where(F.col("patch_state").isin("accepted", "applied"))
+    rows = rows.where(transcripts) if transcripts is not None else rows
+    return rows.orderBy("transcript_id", "chunk_index", F.asc_nulls_last("anchor_offset"), "id")
+
+
+def mark_outcomes(found: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """found after a replay's outcomes (id, state, reason): applied or stale where the state may turn so; what was
+    applied before and is again stays."""
+    legal = F.lit(False)
+    for state in ("applied", "stale"):
+        legal = legal | ((F.col("_state") == state) & F.col("patch_state").isin(sources_of(state)))
+    told = outcomes.groupBy(F.col("id").alias("_of")).agg(F.max(F.struct("state", "reason")).alias("_told"))
+    out = found.join(told, F.col("id") == F.col("_of"), "left").withColumn("_state", F.col("_told.state")).withColumn("_legal", F.coalesce(legal, F.lit(False)))
+    out = out.withColumn("stale_reason", F.when(F.col("_legal") & (F.col("_state") == "stale"), F.col("_told.reason")))
+    return out.withColumn("patch_state", F.when(F.col("_legal"), F.col("_state")).otherwise(F.col("patch_state"))).drop("_of", "_told", "_state", "_legal")
+
+
+def flagged(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """chunks with embedding_stale set where a finding of theirs has changed (transcript_id, chunk_index)."""
+    changed = found.select("transcript_id", "chunk_index").distinct().withColumn("_hit", F.lit(True))
+    out = chunks.join(changed, ["transcript_id", "chunk_index"], "left")
+    return out.withColumn("embedding_stale", F.coalesce(F.col("embedding_stale"), F.lit(False)) | F.col("_hit").isNotNull()).select(chunks.columns)
+
+
+def groups(found: DataFrame, most: int = 50) -> DataFrame:
+    """Identical corrections as one row with the first places where they stand, the surest first, at most so many."""
+    key = ["original_text", F.coalesce("suggested_correction", F.lit("")).alias("suggested_correction"), "issue_type"]
+    place = Window.partitionBy("original_text", F.coalesce("suggested_correction", F.lit("")), "issue_type").orderBy(F.desc("confidence"), "id")
+    at = F.struct(F.col("_n").alias("n"), "transcript_id", "chunk_index", "start_sec")
+    rows = found.withColumn("_n", F.row_number().over(place))
+    by = rows.groupBy(*key).agg(F.count("*").alias("findings"), F.max("confidence").alias("confidence"), F.sort_array(F.collect_list(F.when(F.col("_n") <= most, at))).alias("places"))
+    return by.withColumn("places", F.transform("places", lambda x: x.dropFields("n")))

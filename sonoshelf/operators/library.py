@@ -62,7 +62,8 @@ def library_totals(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def book_tracks(jobs: DataFrame, metrics: DataFrame, directory: str) -> DataFrame:
     """The tracks of one book in order."""
-    tracks = jobs.where(book_dir(F.col("file_path")) == directory)
+    # the prefix reaches the Parquet reader, which the pattern can't
+    tracks = jobs.where(F.col("file_path").startswith(directory + "/") & (book_dir(F.col("file_path")) == directory))
     return tracks.join(metrics, F.col("id") == F.col("job_id"), "left").orderBy("file_path")
 
 
@@ -91,3 +92,17 @@ def chapter_at(chapters: Column, t: Column) -> Column:
 def page_of(segments: Column, offset: int, count: int) -> Column:
     """A page of an array."""
     return F.slice(segments, offset + 1, count)
+
+
+def by_author(books: DataFrame) -> DataFrame:
+    """(author, first, books): books (position, book_dir, title, author) by author, in the order of first sight."""
+    by = books.groupBy("author").agg(F.min("position").alias("first"), F.sort_array(F.collect_list(F.struct("position", "book_dir", "title"))).alias("b"))
+    return by.select("author", "first", F.transform("b", lambda x: x["book_dir"]).alias("books"))
+
+
+def library_sort(sort: str) -> list[Column]:
+    """Keys of a library page (book_dir, title, author, done, total, findings, last_updated) by title, progress,
+    findings or, else, the latest change."""
+    label = F.lower(F.trim(F.concat(F.coalesce("author", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))))
+    keys = {"title": [F.when(label == "", F.lower("book_dir")).otherwise(label).asc()], "progress": [(F.col("done") / F.nullif(F.col("total"), F.lit(0))).desc_nulls_last()], "findings": [F.desc("findings")]}
+    return [*keys.get(sort, []), F.col("last_updated").desc_nulls_last(), F.col("book_dir").asc()]

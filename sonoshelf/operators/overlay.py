@@ -15,22 +15,23 @@ from pyspark.sql import functions as F
 
 
 def occurrences(text: str, span: str) -> list[int]:
+    """Where a span starts in a text, also within one before."""
     out, at = [], text.find(span) if span else -1
     while at >= 0:
         out.append(at)
-        at = text.find(span, at + len(span))
+        at = text.find(span, at + 1)
     return out
 
 
 def locate(text: str, span: str, offset: int | None = None, occurrence: int | None = None) -> tuple[int | None, str]:
-    """(start, status): the offset if the span is there, else the occurrence from 1, else the only one."""
+    """(start, status): the offset if the span is there, else the occurrence from 0, else the only one."""
     if offset is not None and span and text[offset : offset + len(span)] == span and offset >= 0:
         return offset, "offset"
     at = occurrences(text, span)
     if not at:
         return None, "not found"
-    if occurrence is not None and 1 <= occurrence <= len(at):
-        return at[occurrence - 1], "occurrence"
+    if occurrence is not None and 0 <= occurrence < len(at):
+        return at[occurrence], "occurrence"
     return (at[0], "unique") if len(at) == 1 else (None, "ambiguous")
 
 
@@ -51,10 +52,10 @@ def replay(text: str, patches: list[dict]) -> tuple[str, list, dict]:
     stale, placed, digest = {}, [], text_hash(text)
     for p in sorted(patches, key=lambda p: str(p["id"])):
         at, status = locate(text, p["span"] or "", _number(p["offset"]), _number(p["occurrence"]))
-        if p["sha256"] and p["sha256"] != digest:
-            stale[p["id"]] = "text changed"
-        elif not (p["correction"] or "").strip():
+        if not (p["correction"] or "").strip():
             stale[p["id"]] = "empty correction"
+        elif p["sha256"] and p["sha256"] != digest:
+            stale[p["id"]] = "text changed"
         elif at is None:
             stale[p["id"]] = status
         else:
@@ -70,6 +71,14 @@ def replay(text: str, patches: list[dict]) -> tuple[str, list, dict]:
     return text, sorted(applied, key=str), stale
 
 
+def apply_all(text: str, patches: list[dict]) -> str:
+    """The text under all patches; an error if one of them doesn't fit."""
+    out, _, stale = replay(text, patches)
+    if stale:
+        raise ValueError(f"corrections that don't fit: {stale}")
+    return out
+
+
 RESULT = "transcript_id long, chunk_index int, text string, applied array<long>, stale map<long,string>"
 PATCH = ("id", "span", "correction", "sha256", "offset", "occurrence")
 
@@ -94,6 +103,14 @@ def corrected(chunks: DataFrame, patches: DataFrame) -> DataFrame:
     return plain.unionByName(joined.where("patches is not null").mapInPandas(run, RESULT))
 
 
+def outcomes(replayed: DataFrame, chunks: DataFrame, patches: DataFrame) -> DataFrame:
+    """(id, state, reason) of every patch: applied, stale, and stale too where its chunk is gone."""
+    applied = replayed.select(F.explode("applied").alias("id"), F.lit("applied").alias("state"), F.lit(None).cast("string").alias("reason"))
+    stale = replayed.select(F.explode("stale").alias("id", "reason")).select("id", F.lit("stale").alias("state"), "reason")
+    gone = orphans(chunks, patches).select("id", F.lit("stale").alias("state"), F.lit("chunk gone").alias("reason"))
+    return applied.unionByName(stale).unionByName(gone)
+
+
 def orphans(chunks: DataFrame, patches: DataFrame) -> DataFrame:
     """The patches of chunks that don't exist."""
     return patches.join(chunks, ["transcript_id", "chunk_index"], "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoshelf.functions.text import book_dir
+from sonoshelf.functions.text import book_dir, contains_exact
 
 STATUSES = ("pending", "claimed", "done", "failed")
 MOST_ATTEMPTS = 3
@@ -70,9 +71,20 @@ def hosts(log: DataFrame) -> DataFrame:
 
 
 def changes(log: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """The events at which value differs from the one before: consecutive repeats are dropped."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("created_at", "event_id")
-    return log.withColumn("_before", F.lag(value).over(w)).where(~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
+    """The events at which value differs from the one before: consecutive repeats are dropped.
+
+    Without by, the log is one sequence: each day is looked at by itself, and its first event is held against the last
+    one of the day before it, which are a row a day."""
+    if by:
+        w = Window.partitionBy(by).orderBy("created_at", "event_id")
+        return log.withColumn("_before", F.lag(value).over(w)).where(~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
+    days = log.withColumn("_day", F.to_date("created_at"))
+    ends = days.groupBy("_day").agg(F.max_by(F.struct(F.col(value).alias("value")), F.struct("created_at", "event_id")).alias("last"))
+    ends = ends.select("_day", F.lag("last").over(Window.orderBy("_day")).alias("_last"))
+    w = Window.partitionBy("_day").orderBy("created_at", "event_id")
+    rows = days.withColumn("_first", F.row_number().over(w) == 1).withColumn("_before", F.lag(value).over(w)).join(F.broadcast(ends), "_day")
+    rows = rows.withColumn("_before", F.when(F.col("_first"), F.col("_last.value")).otherwise(F.col("_before")))
+    return rows.where(~F.col("_before").eqNullSafe(F.col(value))).select(log.columns)
 
 
 def availability(log: DataFrame, state: str, by: str, idle: str) -> DataFrame:
@@ -84,6 +96,13 @@ def availability(log: DataFrame, state: str, by: str, idle: str) -> DataFrame:
     return log.select(by).distinct().join(gaps, by, "left").select(by, F.coalesce(F.col("on") / F.col("all"), F.lit(0.0)).alias("available"))
 
 
+def overall_availability(log: DataFrame, state: str, by: str, idle: str) -> DataFrame:
+    """One row: the idle share of all groups' time together."""
+    w = Window.partitionBy(by).orderBy("created_at", "event_id")
+    gaps = log.withColumn("gap", seconds(F.lead("created_at").over(w), F.col("created_at"))).where("gap > 0")
+    return gaps.agg(F.coalesce(F.sum(F.when(F.col(state) == idle, F.col("gap")).otherwise(0.0)) / F.sum("gap"), F.lit(0.0)).alias("available"))
+
+
 def rates(log: DataFrame, stages: dict[str, str], last: int = 50) -> DataFrame:
     """One row: the median duration of each stage over its last events."""
     w = Window.partitionBy("stage").orderBy(F.desc("created_at"), F.desc("event_id"))
@@ -148,16 +167,74 @@ def requeued(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics
     }
 
 
-def server_view(configured: DataFrame, live: DataFrame, historic: DataFrame) -> DataFrame:
-    """One row a server: configured tokens matched to hosts that contain them, live before historic, the freshest
-    first, and every host once; hosts that match none follow under their own names."""
-    seen = live.select("host", "jobs", "last_seen", F.lit("live").alias("state")).unionByName(historic.select("host", "jobs", "last_seen", F.lit("historic").alias("state")))
-    best = Window.partitionBy("host").orderBy(F.when(F.col("token").isNull(), 1).otherwise(0), F.desc(F.length("token")), "token")
-    matched = seen.join(F.broadcast(configured), F.contains(F.lower("host"), F.lower("token")), "left").withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    told = matched.withColumn("server", F.coalesce("token", "host"))
-    rows = told.groupBy("server").agg(F.sum("jobs").alias("jobs"), F.max_by("state", F.struct(F.col("state") == "live", "last_seen")).alias("state"), F.max("last_seen").alias("last_seen"))
-    unseen = configured.join(rows, F.col("token") == F.col("server"), "left_anti").select(F.col("token").alias("server"), F.lit(0).cast("long").alias("jobs"), F.lit("not seen").alias("state"), F.lit(None).cast(rows.schema["last_seen"].dataType).alias("last_seen"))
-    return rows.unionByName(unseen)
+def requeue_events(jobs: DataFrame, chosen: Column, reason: str) -> DataFrame:
+    """The audit events of setting the chosen jobs back: (job_id, stage, reason, file_path)."""
+    return jobs.where(chosen).select(F.col("id").alias("job_id"), F.lit("requeued").alias("stage"), F.lit(reason).alias("reason"), "file_path")
+
+
+def by_path(part: str) -> Column:
+    """Jobs whose path holds part, in any case; its characters stand for themselves."""
+    return contains_exact(F.col("file_path"), part)
+
+
+def by_status(status: str = "failed") -> Column:
+    return F.col("status") == status
+
+
+def by_directory(directory: str) -> Column:
+    """The tracks right in a directory."""
+    return F.col("file_path").startswith(directory + "/") & (book_dir(F.col("file_path")) == directory)
+
+
+def reembedded(chunks: DataFrame, transcripts: DataFrame, chosen: Column) -> DataFrame:
+    """chunks without those of the chosen transcripts, which thus are to be embedded again."""
+    return chunks.join(transcripts.where(chosen).select(F.col("id").alias("transcript_id")), "transcript_id", "left_anti")
+
+
+SERVER = "server string, configured boolean, live string, host string, jobs long, last_seen timestamp_ntz"
+
+
+def matched_servers(configured: list[str], live: list[tuple], hosts: list[tuple]) -> list[tuple]:
+    """Rows of SERVER. Each configured token, in turn, takes the freshest live runner (name, heartbeat) that is left and
+    holds it, and all hosts (name, jobs, finished) that are left and hold it, of which it shows the last to finish.
+    Runners that are left take, in turn, the last to finish of the hosts that are left and whose names they hold, with
+    the jobs of all those; then come the hosts that are left."""
+    runners, machines, out = list(live), list(hosts), []
+    late = lambda h: (h[2] is not None, h[2])
+    for token in configured:
+        t = token.lower()
+        mine = [r for r in runners if t and t in r[0].lower()]
+        runner = max(mine, key=lambda r: r[1]) if mine else None
+        own = [h for h in machines if t and t in h[0].lower()]
+        host = max(own, key=late) if own else None
+        if runner:
+            runners.remove(runner)
+        machines = [h for h in machines if h not in own]
+        out.append((token, True, runner and runner[0], host and host[0], sum(h[1] for h in own), runner[1] if runner else host and host[2]))
+    for name, beat in runners:
+        own = [h for h in machines if h[0] and h[0].lower() in name.lower()]
+        host = max(own, key=late) if own else None
+        if host:
+            machines.remove(host)
+        out.append((name, False, name, host and host[0], sum(h[1] for h in own), beat))
+    return out + [(h[0], False, None, h[0], h[1], h[2]) for h in machines]
+
+
+def server_view(configured: list[str], live: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One row a server of a fleet: live (name, last_seen) and hosts (name, jobs, last_seen), a row a machine each, which
+    are put together in one task since a machine that one server takes is gone for the next. Both are sorted by name."""
+    machine = F.struct("name", "kind", "jobs", "last_seen")
+    rows = live.select("name", F.lit("live").alias("kind"), F.lit(0).cast("long").alias("jobs"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    rows = rows.unionByName(hosts.select("name", F.lit("host").alias("kind"), F.col("jobs").cast("long").alias("jobs"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen")))
+
+    def run(frames):
+        for f in frames:
+            for found in f["m"]:
+                m = sorted(found, key=lambda x: x["name"])
+                served = matched_servers(configured, [(x["name"], x["last_seen"]) for x in m if x["kind"] == "live"], [(x["name"], x["jobs"], x["last_seen"]) for x in m if x["kind"] == "host"])
+                yield pd.DataFrame(served, columns=["server", "configured", "live", "host", "jobs", "last_seen"])
+
+    return rows.agg(F.collect_list(machine).alias("m")).mapInPandas(run, SERVER)
 
 
 def books_of(jobs: DataFrame) -> DataFrame:

@@ -5,30 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STAGES = ("waiting", "running", "transcribed", "evaluated", "embedded", "failed")
 
-
-def lifecycle(buckets: DataFrame) -> DataFrame:
-    """One row of buckets with all, coverage, fully_done and activity; what runs comes before what waits."""
-    total = sum((F.col(s) for s in STAGES[1:]), F.col(STAGES[0]))
-    activity = F.when(F.col("running") > 0, "transcribing").when(F.col("evaluated") > 0, "embedding").when(F.col("transcribed") > 0, "evaluating").when(F.col("waiting") > 0, "queued").otherwise("idle")
-    out = buckets.withColumn("all", total).withColumn("coverage", F.coalesce(F.col("embedded") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)))
-    return out.withColumn("fully_done", (F.col("all") > 0) & (F.col("embedded") == F.col("all"))).withColumn("activity", activity)
+def lifecycle(stats: DataFrame) -> DataFrame:
+    """stats with coverage, committed, fully_done and activity.
+
+    stats: pending, claimed, done, embed_backlog and evaluated (done jobs that were), as counts; paused and evaluates
+    (whether evaluation is part of the pipeline); phase (idle, transcribe or analyze); probed and probe_active (what the
+    GPU's arbiter says). Coverage is the evaluated share of done, -1 without evaluation. What was paused comes first,
+    then what runs, then what waits, and the gap in which all is transcribed but not yet through winds down."""
+    c = F.col
+    coverage = F.when(~c("evaluates"), -1.0).when(c("done") > 0, c("evaluated") / c("done")).otherwise(0.0)
+    out = stats.withColumn("coverage", coverage).withColumn("committed", c("phase").isin("transcribe", "analyze") | (c("probed") & c("probe_active") & (c("claimed") > 0)))
+    left = (c("pending") > 0) | (c("claimed") > 0) | (c("embed_backlog") > 0)
+    out = out.withColumn("fully_done", ~left & (~c("evaluates") | (c("coverage") >= 1)))
+    activity = (
+        F.when(c("paused"), "paused").when((c("claimed") > 0) | (c("phase") == "transcribe"), "transcribing").when(c("phase") == "analyze", "evaluating")
+        .when(c("embed_backlog") > 0, "embedding").when(c("fully_done") & ~c("committed"), "idle").when(c("evaluates") & (c("coverage") >= 0) & (c("coverage") < 1), "evaluating")
+        .otherwise("winding-down")
+    )
+    return out.withColumn("activity", activity)
 
 
 def percents(counts: list[int], floor: int = 2) -> list[int]:
-    """Whole percents of counts that sum to 100: cut, the rest dealt out in turn, none of a non-zero count below floor."""
-    total = sum(counts)
+    """Whole percents of counts that sum to 100: cut, the rest dealt out in turn among those that have some, none of a
+    count below floor, and what that adds taken from the largest."""
+    total = sum(c for c in counts if c > 0)
     if total <= 0:
         return [0] * len(counts)
-    out = [c * 100 // total for c in counts]
-    some = [i for i, c in enumerate(counts) if c > 0]
-    for k in range(100 - sum(out)):
+    out = [max(c, 0) * 100 // total for c in counts]
+    some = [i for i, p in enumerate(out) if p > 0]
+    for k in range(100 - sum(out) if some else 0):
         out[some[k % len(some)]] += 1
-    for i in some:
-        out[i] = max(out[i], floor)
-    while sum(out) > 100:
-        out[max(range(len(out)), key=lambda i: out[i])] -= 1
+    out = [max(p, floor) if c > 0 else p for c, p in zip(counts, out, strict=True)]
+    while sum(out) > 100 and (over := [i for i, p in enumerate(out) if p > floor]):
+        out[max(over, key=lambda i: out[i])] -= 1
     return out
 
 

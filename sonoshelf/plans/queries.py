@@ -319,13 +319,16 @@ def json_reason_fallback(spark, sf):
 
 @query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY created_at DESC, event_id DESC) AS n FROM log WHERE stage IN ('view', 'click', 'error')),
 m AS (SELECT quantile_cont(duration, 0.5) FILTER (WHERE stage = 'view') AS transcribe, quantile_cont(duration, 0.5) FILTER (WHERE stage = 'click') AS embed, quantile_cont(duration, 0.5) FILTER (WHERE stage = 'error') AS evaluate FROM r WHERE n <= 50),
-c AS (SELECT count(*) AS chunks FROM orders WHERE o_orderstatus = 'P')
-SELECT round(transcribe, 6) AS transcribe, round(embed, 6) AS embed, round(evaluate, 6) AS evaluate, chunks, round(chunks * (transcribe + embed + evaluate), 3) AS work, round(chunks * (transcribe + embed + evaluate) / 0.45, 3) AS calendar FROM m, c""")
+g AS (SELECT stage, epoch_us(lead(created_at) OVER (PARTITION BY runner_host ORDER BY created_at, event_id)) - epoch_us(created_at) AS gap FROM log),
+a AS (SELECT coalesce(sum(CASE WHEN stage = 'view' THEN gap ELSE 0 END) / sum(gap), 0) AS available FROM g WHERE gap > 0), c AS (SELECT count(*) AS chunks FROM orders WHERE o_orderstatus = 'P')
+SELECT round(transcribe, 6) AS transcribe, round(embed, 6) AS embed, round(evaluate, 6) AS evaluate, chunks, round(available, 6) AS available, round(chunks * (transcribe + embed + evaluate), 3) AS work,
+  round(chunks * (transcribe + embed + evaluate) / nullif(available, 0), 3) AS calendar FROM m, c, a""")
 def eta_rates_median(spark, sf):
-    r = pipeline.rates(roles.pipeline_events(spark, sf), {"transcribe": "view", "embed": "click", "evaluate": "error"})
+    log = roles.pipeline_events(spark, sf)
+    r = pipeline.rates(log, {"transcribe": "view", "embed": "click", "evaluate": "error"})
     c = roles.jobs(spark, sf).where("status = 'pending'").agg(F.count("*").alias("chunks"))
-    out = pipeline.time_left(r.crossJoin(c).withColumn("available", F.lit(0.45)))
-    return out.select(*[F.round(x, 6).alias(x) for x in ("transcribe", "embed", "evaluate")], "chunks", F.round("work", 3).alias("work"), F.round("calendar", 3).alias("calendar"))
+    out = pipeline.time_left(r.crossJoin(c).crossJoin(pipeline.overall_availability(log, "stage", "runner_host", "view")))
+    return out.select(*[F.round(x, 6).alias(x) for x in ("transcribe", "embed", "evaluate", "available")], "chunks", F.round("work", 3).alias("work"), F.round("calendar", 3).alias("calendar"))
 
 
 @query(f"""WITH {JOBS}, s AS (SELECT *, status = 'claimed' AND epoch_us(TIMESTAMP '2000-01-01 00:00:00') - epoch_us(updated_at) > 1800000000 AS stale FROM jobs)
@@ -408,13 +411,18 @@ def requeue_by_dir(spark, sf):
     return pipeline.requeued(j, t, c, m, tx.book_dir(F.col("file_path")).isin("lib/b3", "lib/b4"))["jobs"].select("id", "status", "attempts")
 
 
-@query("""WITH h AS (SELECT 'host' || user_id AS host, count(*) AS jobs, max(ts) AS last_seen FROM events GROUP BY 1), c AS (SELECT unnest(['T1', 'host2', 'gpu']) AS token),
-m AS (SELECT h.*, c.token, row_number() OVER (PARTITION BY host ORDER BY token IS NULL, length(token) DESC, token) AS n FROM h LEFT JOIN c ON contains(lower(h.host), lower(c.token)))
-SELECT coalesce(token, host) AS server, sum(jobs)::BIGINT AS jobs, 'historic' AS state, max(last_seen) AS last_seen FROM m WHERE n = 1 GROUP BY 1 UNION ALL SELECT 'gpu', 0, 'not seen', NULL""")
+@query(f"""WITH {JOBS}, {EVENTS}, tok(t) AS (VALUES ('host2'), ('T1'), ('gpu')), l AS (SELECT 'runner-' || claimed_by AS name, max(updated_at) AS last_seen FROM jobs WHERE status = 'claimed' GROUP BY 1),
+h AS (SELECT 'host' || (substr(runner_host, 5)::BIGINT % 12) AS name, count(*) AS jobs, max(created_at) AS last_seen FROM log GROUP BY 1),
+ht AS (SELECT h.*, t FROM h JOIN tok ON contains(lower(h.name), lower(t))), lt AS (SELECT l.*, t FROM l JOIN tok ON contains(lower(l.name), lower(t))),
+c AS (SELECT t AS server, true AS configured, (SELECT arg_max(name, last_seen) FROM lt WHERE lt.t = tok.t) AS live, (SELECT arg_max(name, last_seen) FROM ht WHERE ht.t = tok.t) AS host,
+  coalesce((SELECT sum(jobs) FROM ht WHERE ht.t = tok.t), 0)::BIGINT AS jobs, coalesce((SELECT max(last_seen) FROM lt WHERE lt.t = tok.t), (SELECT max(last_seen) FROM ht WHERE ht.t = tok.t)) AS last_seen FROM tok),
+hl AS (SELECT * FROM h WHERE name NOT IN (SELECT name FROM ht)), ll AS (SELECT * FROM l WHERE name NOT IN (SELECT name FROM lt)),
+u AS (SELECT ll.name AS server, false AS configured, ll.name AS live, hl.name AS host, coalesce(hl.jobs, 0) AS jobs, ll.last_seen FROM ll LEFT JOIN hl ON contains(ll.name, hl.name))
+SELECT * FROM c UNION ALL SELECT * FROM u UNION ALL SELECT name, false, NULL, name, jobs, last_seen FROM hl WHERE name NOT IN (SELECT host FROM u WHERE host IS NOT NULL)""")
 def server_view(spark, sf):
-    e = roles.pipeline_events(spark, sf)
-    past = e.groupBy(F.col("runner_host").alias("host")).agg(F.count("*").alias("jobs"), F.max("created_at").alias("last_seen"))
-    return pipeline.server_view(spark.createDataFrame([("T1",), ("host2",), ("gpu",)], "token string"), past.where("false"), past)
+    live = roles.jobs(spark, sf).where("status = 'claimed'").groupBy(F.concat(F.lit("runner-"), "claimed_by").alias("name")).agg(F.max("updated_at").alias("last_seen"))
+    e = roles.pipeline_events(spark, sf).withColumn("name", F.concat(F.lit("host"), F.substr("runner_host", F.lit(5)).cast("long") % 12))
+    return pipeline.server_view(["host2", "T1", "gpu"], live, e.groupBy("name").agg(F.count("*").alias("jobs"), F.max("created_at").alias("last_seen")))
 
 
 # ---- findings
@@ -467,15 +475,16 @@ def corrections_or_join(spark, sf):
     return findings.with_chunk(found, chunks).select("id", F.length("chunk_text").cast("long").alias("chars"))
 
 
-@query(f"""WITH {FINDINGS}, f AS (SELECT id, max(confidence) AS confidence, max(patch_state) AS patch_state FROM findings GROUP BY 1)
-SELECT id, CASE WHEN patch_state = 'accepted' AND confidence >= 0.5 THEN 'applied' WHEN patch_state = 'pending' AND confidence >= 0.9 THEN 'accepted' ELSE patch_state END AS patch_state FROM f""")
+@query(f"""WITH {FINDINGS}, legal(a, b) AS (VALUES ('proposed', 'accepted'), ('proposed', 'rejected'), ('proposed', 'stale'), ('accepted', 'applied'), ('accepted', 'rejected'), ('accepted', 'stale'),
+  ('applied', 'reverted'), ('applied', 'stale'), ('rejected', 'proposed'), ('reverted', 'proposed')),
+f AS (SELECT id, max(patch_state) AS patch_state FROM findings GROUP BY 1),
+d AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'accepted' ELSE patch_state END AS expected, (['proposed', 'accepted', 'applied', 'rejected', 'reverted', 'stale'])[id // 5 % 6 + 1] AS state FROM f)
+SELECT id, CASE WHEN patch_state = expected AND EXISTS (SELECT 1 FROM legal WHERE a = d.patch_state AND b = d.state) THEN state ELSE patch_state END AS patch_state FROM d""")
 def decisions_applied(spark, sf):
-    f = roles.findings(spark, sf).groupBy("id").agg(F.max("confidence").alias("confidence"), F.max("patch_state").alias("patch_state"))
-    applied = f.where("confidence >= 0.5 and patch_state = 'accepted'").select("id", F.lit("accepted").alias("expected"), F.lit("applied").alias("state"))
-    accepted = f.where("confidence >= 0.9 and patch_state = 'pending'").select("id", F.lit("pending").alias("expected"), F.lit("accepted").alias("state"))
-    illegal = f.where("confidence < 0.5 and patch_state = 'pending'").select("id", F.lit("pending").alias("expected"), F.lit("applied").alias("state"))
-    late = f.where("confidence < 0.5 and patch_state = 'accepted'").select("id", F.lit("pending").alias("expected"), F.lit("accepted").alias("state"))
-    return findings.decide(f, applied.unionByName(accepted).unionByName(illegal).unionByName(late)).select("id", "patch_state")
+    f = roles.findings(spark, sf).groupBy("id").agg(F.max("patch_state").alias("patch_state"))
+    state = F.element_at(F.array(*map(F.lit, roles.STATES)), (F.floor(F.col("id") / 5) % 6 + 1).cast("int"))
+    d = f.select("id", F.when(F.col("id") % 5 == 0, "accepted").otherwise(F.col("patch_state")).alias("expected"), state.alias("state"), F.lit(0).alias("at"))
+    return findings.decide(f, d).select("id", "patch_state")
 
 
 @query(f"""WITH {FINDINGS}, h AS (SELECT DISTINCT transcript_id, chunk_index FROM findings WHERE decided_at > TIMESTAMP '2001-01-01' OR (patch_state = 'accepted' AND confidence >= 0.9)),
@@ -503,11 +512,20 @@ def asin_extract(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.asin(F.concat(F.lit("Book ["), inner, F.lit("]"))).alias("asin"))
 
 
-@query(r"""WITH p AS (SELECT p_partkey, 'lib/x/' || p_name || ' - Part ' || p_size || '.mp3' AS path FROM part)
-SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', ''), '(?i)[\s_-]*(?:track|part|chapter|ch|pt)?[\s_-]*[0-9]+$', ''), '^[\s-]+|[\s-]+$', '', 'g')) AS title FROM p""")
+_SUFFIX = (" - Part {0}", " CD{0}", " – Disc {0}", "_vol {0}", " Volume {0}", " chp{0}", " — {0}", "")
+
+
+@query(r"""WITH p AS (SELECT p_partkey, 'lib/x/' || CASE WHEN p_partkey % 11 = 0 THEN lpad((p_partkey % 90)::VARCHAR, 2, '0') ELSE p_name || replace(([' - Part {0}', ' CD{0}', ' – Disc {0}', '_vol {0}', ' Volume {0}', ' chp{0}', ' — {0}', ''])[p_partkey % 8 + 1], '{0}', p_size::VARCHAR) END || '.mp3' AS path FROM part),
+b AS (SELECT p_partkey, regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') AS base FROM p),
+t AS (SELECT p_partkey, base, rtrim(trim(regexp_replace(base, '(?i)[\s_]*[-–—]?[\s_]*(track|part|chapter|chp|pt|disc|cd|vol|volume)?[\s_]*\d+\s*$', '')), ' -–—_') AS t FROM b)
+SELECT p_partkey, CASE WHEN t = '' THEN trim(base) ELSE t END AS title FROM t""")
 def title_from_path(spark, sf):
     p = table(spark, sf, "part")
-    return p.select("p_partkey", tx.title_from_path(F.concat(F.lit("lib/x/"), "p_name", F.lit(" - Part "), "p_size", F.lit(".mp3"))).alias("title"))
+    ends = F.element_at(F.array(*map(F.lit, _SUFFIX)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    name = F.concat("p_name", F.replace(ends, F.lit("{0}"), F.col("p_size").cast("string")))
+    bare = F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0")
+    path = F.concat(F.lit("lib/x/"), F.when(F.col("p_partkey") % 11 == 0, bare).otherwise(name), F.lit(".mp3"))
+    return p.select("p_partkey", tx.title_from_path(path).alias("title"))
 
 
 @query("""SELECT page_id, contains(lower(url), 'page=2&') AS hit FROM pages""")
@@ -581,7 +599,7 @@ def window_stitch(spark, sf):
 def overlay_replay(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").cast("int").alias("chunk_index"), "text")
     w = c.select("transcript_id", "chunk_index", "text", F.posexplode(tx.words(F.col("text"))).alias("pos", "span")).where("pos % 7 = 3 and length(span) > 3")
-    p = w.select("transcript_id", "chunk_index", (F.col("transcript_id") * 100_000 + F.col("chunk_index") * 1000 + F.col("pos")).alias("id"), "span", F.upper("span").alias("correction"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("int").alias("offset"), F.lit(1).alias("occurrence"))
+    p = w.select("transcript_id", "chunk_index", (F.col("transcript_id") * 100_000 + F.col("chunk_index") * 1000 + F.col("pos")).alias("id"), "span", F.upper("span").alias("correction"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("int").alias("offset"), F.lit(0).alias("occurrence"))
     out = overlay.corrected(c, p)
     return out.select("transcript_id", "chunk_index", "text", F.size("applied").alias("applied"), F.size(F.map_keys("stale")).alias("stale"))
 
@@ -622,14 +640,31 @@ def longest_per_book(spark, sf):
 # ---- status and metadata
 
 
-@query(f"""WITH {JOBS}, e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_discount >= 0.08),
-f AS (SELECT status, e.id IS NOT NULL AS e, c.id IS NOT NULL AS c FROM jobs j LEFT JOIN e ON e.id = j.id LEFT JOIN c ON c.id = j.id)
-SELECT count(*) AS "all", round(count(*) FILTER (WHERE status = 'done' AND c) / count(*), 6) AS coverage, count(*) FILTER (WHERE status = 'done' AND c) = count(*) AS fully_done,
-  CASE WHEN count(*) FILTER (WHERE status = 'claimed') > 0 THEN 'transcribing' ELSE 'other' END AS activity FROM f""")
+@query(f"""WITH {JOBS}, e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'), k AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_discount >= 0.08),
+n AS (SELECT count(*) FILTER (WHERE status = 'pending') AS p, count(*) FILTER (WHERE status = 'claimed') AS c, count(*) FILTER (WHERE status = 'done') AS d,
+  count(*) FILTER (WHERE status = 'done' AND id NOT IN (SELECT id FROM k)) AS b, count(*) FILTER (WHERE status = 'done' AND id IN (SELECT id FROM e)) AS ev FROM jobs),
+s(scene, paused, evaluates, phase, running, waiting, behind, judged) AS (VALUES ('as is', false, true, 'idle', 1, 1, 1, 0), ('paused', true, true, 'idle', 1, 1, 1, 0), ('transcribe', false, true, 'transcribe', 0, 0, 1, 0),
+  ('analyze', false, true, 'analyze', 0, 1, 1, 0), ('embed', false, true, 'idle', 0, 1, 1, 0), ('judge', false, true, 'idle', 0, 0, 0, 0), ('wind', false, true, 'idle', 0, 1, 0, 1), ('done', false, true, 'idle', 0, 0, 0, 1), ('no judge', false, false, 'idle', 0, 0, 0, 0)),
+v AS (SELECT scene, paused, evaluates, phase, p * waiting AS pending, c * running AS claimed, d AS done, b * behind AS backlog, CASE WHEN judged = 1 THEN d ELSE ev END AS ev FROM s, n),
+w AS (SELECT *, CASE WHEN NOT evaluates THEN -1.0 WHEN done > 0 THEN ev / done ELSE 0.0 END AS coverage FROM v),
+x AS (SELECT *, pending = 0 AND claimed = 0 AND backlog = 0 AND (NOT evaluates OR coverage >= 1) AS fully_done, phase IN ('transcribe', 'analyze') AS committed FROM w)
+SELECT scene, round(coverage, 6) AS coverage, committed, fully_done, CASE WHEN paused THEN 'paused' WHEN claimed > 0 OR phase = 'transcribe' THEN 'transcribing' WHEN phase = 'analyze' THEN 'evaluating' WHEN backlog > 0 THEN 'embedding'
+  WHEN fully_done AND NOT committed THEN 'idle' WHEN evaluates AND coverage < 1 THEN 'evaluating' ELSE 'winding-down' END AS activity FROM x""")
 def pipeline_lifecycle(spark, sf):
     from sonoshelf.operators.status import lifecycle
 
-    return lifecycle(pipeline_buckets(spark, sf)).select("all", F.round("coverage", 6).alias("coverage"), "fully_done", "activity")
+    line, j = table(spark, sf, "lineitem"), roles.jobs(spark, sf)
+    b = pipeline.pipeline_buckets(j, line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), line.where("l_discount >= 0.08").select(F.col("l_orderkey").alias("id")))
+    judged = j.where("status = 'done'").join(line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), "id", "left_semi").agg(F.count("*").alias("ev"))
+    scenes = [("as is", False, True, "idle", 1, 1, 1, 0), ("paused", True, True, "idle", 1, 1, 1, 0), ("transcribe", False, True, "transcribe", 0, 0, 1, 0), ("analyze", False, True, "analyze", 0, 1, 1, 0), ("embed", False, True, "idle", 0, 1, 1, 0),
+              ("judge", False, True, "idle", 0, 0, 0, 0), ("wind", False, True, "idle", 0, 1, 0, 1), ("done", False, True, "idle", 0, 0, 0, 1), ("no judge", False, False, "idle", 0, 0, 0, 0)]
+    s = spark.createDataFrame(scenes, "scene string, paused boolean, evaluates boolean, phase string, r int, w int, b int, j int")
+    counts = b.crossJoin(judged).select(F.col("waiting").alias("n_p"), F.col("running").alias("n_c"), F.expr("transcribed + evaluated + embedded").alias("done"), F.expr("transcribed + evaluated").alias("n_b"), "ev")
+    stats = counts.crossJoin(F.broadcast(s)).select(
+        "scene", "paused", "evaluates", "phase", "done", F.expr("n_p * w").alias("pending"), F.expr("n_c * r").alias("claimed"), F.expr("n_b * b").alias("embed_backlog"),
+        F.expr("if(j = 1, done, ev)").alias("evaluated"), F.lit(False).alias("probed"), F.lit(False).alias("probe_active"),
+    )
+    return lifecycle(stats).select("scene", F.round("coverage", 6).alias("coverage"), "committed", "fully_done", "activity")
 
 
 @query(f"""WITH {JOBS}, {METRICS}, b AS (SELECT count(*) AS backlog FROM jobs WHERE id NOT IN (SELECT job_id FROM metrics)), l AS (SELECT max(finished_at) AS last FROM metrics)
@@ -642,12 +677,26 @@ def stall_detection(spark, sf):
     return stalled(left, m.select(F.col("finished_at").alias("created_at")), F.lit("2030-01-01").cast("timestamp_ntz"))
 
 
-@query()
+_WORDS = r"""list_filter(regexp_split_to_array(coalesce({0}, ''), '[\s\-/\\()\[\]:,.''"]+'), lambda w: w <> '')"""
+_NOUNS = "list_filter({0}, lambda w: length(w) >= 3 AND regexp_matches(w, '^\\p{{Lu}}') AND NOT list_contains(c.common, lower(w)))"
+
+
+def _named_sql(column: str) -> str:
+    w, n = _WORDS.format(column), _NOUNS.format(_WORDS.format(column))
+    return f"list_concat({n}, CASE WHEN len({n}) > 0 AND len({w}) > 1 THEN [array_to_string({w}, ' ')] ELSE [] END)"
+
+
+@query(f"""WITH {BOOKS}, c AS (SELECT string_split('a an the in on at to of for by up as or if it its is be do no and but nor yet so i me my we us our he him his she her they them their you your am are was were has have had does did will would could should may might must can get got this that these those not all one two new also just then than with from into what who how when where why', ' ') AS common),
+m AS (SELECT book_dir, author || ' O''Hara-Jones Jr.' AS author, CASE WHEN substr(book_dir, 6)::BIGINT % 3 = 0 THEN 'the end of Ed' END AS narrator, series, title || ': The MAN who Was (Thursday)' AS title FROM books),
+a AS (SELECT book_dir, list_concat(list_concat(list_concat({_named_sql("author")}, {_named_sql("narrator")}), {_named_sql("series")}), {_NOUNS.format(_WORDS.format("title"))}) AS x FROM m, c)
+SELECT book_dir, array_to_string(list_filter(x, lambda y, i: list_position(list_transform(x, lambda z: lower(z)), lower(y)) = i), '|') AS terms FROM a""")
 def bias_terms(spark, sf):
     from sonoshelf.functions.bias import bias_terms as of
 
     b = roles.books(spark, sf)
-    return b.select("book_dir", of(F.col("author"), F.lit(None).cast("string"), F.col("series"), F.col("title")).alias("terms"))
+    narrator = F.when(F.substr("book_dir", F.lit(6)).cast("long") % 3 == 0, "the end of Ed")
+    terms = of(F.concat("author", F.lit(" O'Hara-Jones Jr.")), narrator, F.col("series"), F.concat("title", F.lit(": The MAN who Was (Thursday)")))
+    return b.select("book_dir", F.array_join(terms, "|").alias("terms"))
 
 
 @query(f"""WITH {ROLLUP}, f AS (SELECT book_dir, sum(CASE WHEN r.l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n FROM jobs j JOIN lineitem r ON r.l_orderkey = j.id GROUP BY 1)
@@ -680,9 +729,9 @@ def transcript_page(spark, sf):
 
 
 @query("""WITH c AS (SELECT conv_id AS transcript_id, turn::INTEGER AS chunk_index, text FROM conversations),
-f AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_discount * 10, 1) AS confidence, CASE WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'pending' END AS patch_state, l_orderkey % 97 AS transcript_id, (l_linenumber - 1)::INTEGER AS chunk_index, l_quantity AS start_sec,
+f AS (SELECT l_orderkey * 10 + l_linenumber AS k, round(l_discount * 10, 1) AS confidence, (['proposed', 'accepted', 'applied', 'rejected', 'reverted', 'stale'])[l_partkey % 6 + 1] AS patch_state, l_orderkey % 97 AS transcript_id, (l_linenumber - 1)::INTEGER AS chunk_index, l_quantity AS start_sec,
   CASE l_returnflag WHEN 'A' THEN 'and' WHEN 'R' THEN 'thher' ELSE 'the' END AS span, ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS id FROM lineitem),
-p AS (SELECT * FROM f WHERE confidence >= 0.6 AND patch_state = 'pending' ORDER BY confidence DESC, transcript_id, start_sec, id LIMIT 200),
+p AS (SELECT * FROM f WHERE confidence >= 0.6 AND patch_state = 'proposed' ORDER BY confidence DESC, transcript_id, start_sec, id LIMIT 200),
 j AS (SELECT p.*, c.text, CASE WHEN c.text IS NULL THEN NULL ELSE (length(c.text) - length(replace(c.text, span, ''))) // length(span) END AS n FROM p LEFT JOIN c USING (transcript_id, chunk_index))
 SELECT id, confidence, patch_state, CASE WHEN n = 1 THEN (strpos(text, span) - 1)::INTEGER END AS start,
   CASE WHEN text IS NULL THEN 'no chunk' WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'not found' ELSE 'ambiguous' END AS status,
@@ -694,7 +743,7 @@ def corrections_page(spark, sf):
     span = F.when(F.col("l_returnflag") == "A", "and").when(F.col("l_returnflag") == "R", "thher").otherwise("the")
     f = roles.findings(spark, sf).select("id", "confidence", "patch_state", (F.col("transcript_id") % 97).alias("transcript_id"), (F.col("chunk_index") - 1).alias("chunk_index"), "start_sec", F.col("issue_type").alias("l_returnflag"))
     f = f.select("*", span.alias("original_text"), F.lit(None).cast("long").alias("chunk_id"), F.lit(None).cast("int").alias("anchor_offset"))
-    return corrections(f, c, states=["pending"], floor=findings.FLOOR, limit=200).select("id", "confidence", "patch_state", "start", "status", "context")
+    return corrections(f, c, states=["proposed"], floor=findings.FLOOR, limit=200).select("id", "confidence", "patch_state", "start", "status", "context")
 
 
 @query(f"""WITH {JOBS}, {EVENTS}, e AS (SELECT DISTINCT l_orderkey AS id FROM lineitem)

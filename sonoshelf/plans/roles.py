@@ -65,6 +65,9 @@ BOOKS = """books AS (SELECT 'lib/b' || c_custkey AS book_dir, c_name AS title, c
   CASE WHEN c_custkey % 4 > 0 THEN 'Saga ' || c_nationkey || ' #' || (c_custkey % 9 + 1) || ', World #' || c_nationkey END AS series FROM customer)"""
 
 
+STATES = ("proposed", "accepted", "applied", "rejected", "reverted", "stale")
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as findings on the chunks of a job's transcript."""
     line = table(spark, sf_dir, "lineitem")
@@ -72,13 +75,13 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("chunk_index"),
         F.col("l_quantity").alias("start_sec"), F.col("l_returnflag").alias("issue_type"), F.concat(F.lit("part"), F.col("l_partkey") % 50).alias("original_text"),
         F.concat(F.lit("supp"), F.col("l_suppkey") % 3).alias("suggested_correction"), F.round(F.col("l_discount") * 10, 1).alias("confidence"),
-        F.when(F.col("l_linestatus") == "F", "accepted").otherwise("pending").alias("patch_state"), F.col("l_shipdate").alias("decided_at"),
+        F.element_at(F.array(*map(F.lit, STATES)), (F.col("l_partkey") % 6 + 1).cast("int")).alias("patch_state"), F.col("l_shipdate").alias("decided_at"),
     )
 
 
 FINDINGS = """findings AS (SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS id, l_orderkey AS transcript_id, l_linenumber AS chunk_index, l_quantity AS start_sec,
   l_returnflag AS issue_type, 'part' || (l_partkey % 50) AS original_text, 'supp' || (l_suppkey % 3) AS suggested_correction,
-  round(l_discount * 10, 1) AS confidence, CASE WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'pending' END AS patch_state, l_shipdate AS decided_at FROM lineitem)"""
+  round(l_discount * 10, 1) AS confidence, (['proposed', 'accepted', 'applied', 'rejected', 'reverted', 'stale'])[l_partkey % 6 + 1] AS patch_state, l_shipdate AS decided_at FROM lineitem)"""
 
 
 def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,19 +19,24 @@ TEXT = "the fox ran and the fox sat"
 @pytest.mark.parametrize(
     ("how", "want"),
     [
-        ({"span": "fox", "offset": 20}, (20, "offset")), ({"span": "fox", "offset": 21, "occurrence": 1}, (4, "occurrence")), ({"span": "ran", "offset": 3}, (8, "unique")),
+        ({"span": "fox", "offset": 20}, (20, "offset")), ({"span": "fox", "offset": 21, "occurrence": 1}, (20, "occurrence")), ({"span": "fox", "occurrence": 0}, (4, "occurrence")), ({"span": "fox", "occurrence": -1}, (None, "ambiguous")), ({"span": "ran", "offset": 3}, (8, "unique")),
         ({"span": "fox"}, (None, "ambiguous")), ({"span": "cat"}, (None, "not found")), ({"span": "fox", "occurrence": 3}, (None, "ambiguous")), ({"span": ""}, (None, "not found")),
     ],
 )
 def test_locate(how, want):
     assert overlay.locate(TEXT, **how) == want
     assert overlay.locate("é世" + TEXT, "ran") == (10, "unique")
+    assert overlay.locate("aaa", "aa") == (None, "ambiguous") and overlay.locate("aaa", "aa", occurrence=1) == (1, "occurrence")
 
 
 def test_replay_changes_only_what_fits():
     assert overlay.replay(TEXT, [patch(1, "fox", "dog", TEXT, 20, 1)]) == ("the fox ran and the dog sat", [1], {})
     for p, why in [(patch(1, "fox", "x", TEXT, sha="0" * 64), "text changed"), (patch(1, "ran", " ", TEXT), "empty correction"), (patch(1, "cat", "x", TEXT), "not found"), (patch(1, "fox", "x", TEXT), "ambiguous")]:
         assert overlay.replay(TEXT, [p]) == (TEXT, [], {1: why})
+    assert overlay.replay(TEXT, [patch(1, "ran", " ", TEXT, sha="0" * 64)])[2] == {1: "empty correction"}
+    assert overlay.apply_all(TEXT, [patch(1, "ran", "hid", TEXT)]) == "the fox hid and the fox sat"
+    with pytest.raises(ValueError, match="ambiguous"):
+        overlay.apply_all(TEXT, [patch(1, "ran", "hid", TEXT), patch(2, "fox", "x", TEXT)])
 
 
 def test_replay_holds_only_neighbours_against_each_other():
@@ -72,10 +77,19 @@ def test_segments_split_at_gaps_speakers_and_limits():
     many = [word(f"w{i}", i * 0.1, i * 0.1 + 0.1) for i in range(200)]
     assert [len(s["words"]) for s in chunking.segments_of(many)] == [80, 80, 40]
     long = [word(f"w{i}", float(i), i + 0.9) for i in range(70)]
-    assert all(s["end"] - s["start"] <= 30 for s in chunking.segments_of(long))
+    assert [(s["start"], s["end"]) for s in chunking.segments_of(long)] == [(0.0, 30.9), (31.0, 61.9), (62.0, 69.9)]
+    unknown = [word("a", 0, 1, "x"), word("b", 1, 2), word("c", 2, 3, "y"), word("d", 3, 4, "x")]
+    assert [s["text"] for s in chunking.segments_of(unknown)] == ["a b c", "d"]
     again = [w for s in chunking.segments_of(many) for w in s["words"]]
     assert chunking.segments_of(again) == chunking.segments_of(many)
-    assert [w["word"] for w in chunking.clean_words([word("a", 0, 2), word("A", 1, 2), word("b", 2, 3)])] == ["a", "b"]
+    assert [w["word"] for w in chunking.clean_words([word("a", 0, 2), word("a", 1, 2), word("A", 1, 2), word("b", 2, 3), word("b", 3, 4)])] == ["a", "A", "b", "b"]
+
+
+def test_entries_advance_and_dont_repeat_near_ones():
+    at = lambda *x: [{"word": w, "start": s} for w, s in x]
+    kept = lambda *x: [(r["word"], r["start"]) for r in chunking.advancing(at(*x))]
+    assert kept(("very", 1.0), ("very", 1.3), ("good", 1.6)) == [("very", 1.0), ("very", 1.3), ("good", 1.6)]
+    assert kept(("a", 1.0), ("b", 1.1), ("a", 1.2), ("c", 1.05), ("c", 1.1), ("a", 1.26)) == [("a", 1.0), ("b", 1.1), ("a", 1.26)]
 
 
 def test_token_packing():
@@ -94,6 +108,7 @@ def test_dominant_and_ids():
 
 
 def test_state_machine():
-    assert findings.can_turn("pending", "accepted") and findings.can_turn("applied", "reverted")
-    assert not findings.can_turn("pending", "applied") and not findings.can_turn("nonsense", "accepted")
+    legal = "proposed>accepted proposed>rejected proposed>stale accepted>applied accepted>rejected accepted>stale applied>reverted applied>stale rejected>proposed reverted>proposed"
+    states = ["proposed", "accepted", "applied", "rejected", "reverted", "stale", "nonsense"]
+    assert {f"{a}>{b}" for a in states for b in states if findings.can_turn(a, b)} == set(legal.split())
     assert findings.sources_of("applied") == ["accepted"]

@@ -20,7 +20,8 @@ def one(spark, value, f, kind="string"):
         (tx.book_dir, "a/b/c.mp3", "a/b"), (tx.book_dir, "c.mp3", "c.mp3"), (tx.basename, "a/b/c.mp3", "c.mp3"), (tx.extension, "a/b.X/c.Mp3", "mp3"),
         (tx.is_audio_file, "x/a.M4B", True), (tx.is_audio_file, "x/._a.mp3", False), (tx.is_audio_file, "x/a.txt", False), (tx.word_count, "  a  b ", 2), (tx.word_count, "", 0),
         (tx.asin, "T [b0abcdefgh]", "B0ABCDEFGH"), (tx.asin, "T [1984832069]", "1984832069"), (tx.asin, "T [12]", None), (tx.without_asin, "T [B0ABCDEFGH]", "T"),
-        (tx.title_from_path, "a/My Book - Chapter 12.mp3", "My Book"), (tx.normalised, "  It's — Ünder! ", "it s ünder"), (tx.outer_json, 'x {"a": {}} y', '{"a": {}}'), (tx.outer_json, "none", ""),
+        (tx.title_from_path, "a/My Book - Chapter 12.mp3", "My Book"), (tx.title_from_path, "My Book - CD2.mp3", "My Book"), (tx.title_from_path, "a/03.mp3", "03"), (tx.title_from_path, "Saga – Disc 4.m4b", "Saga"),
+        (tx.title_from_path, "Saga_vol 4", "Saga"), (tx.title_from_path, "Saga Volume 12 .mp3", "Saga"), (tx.title_from_path, ".hidden", ".hidden"), (tx.title_from_path, "Plain.v2.mp3", "Plain.v"), (tx.normalised, "  It's — Ünder! ", "it s ünder"), (tx.outer_json, 'x {"a": {}} y', '{"a": {}}'), (tx.outer_json, "none", ""),
         (tx.sanitised, "a\tb\x00", "a b"), (tx.model_size, "qwen2.5-0.6b-x", "0.6B"), (tx.model_size, "none", None),
     ],
 )
@@ -154,9 +155,13 @@ def test_or_join_has_no_nested_loop(spark):
 
 
 def test_judgements(spark):
-    raw = "noise " + json.dumps({"findings": [{"original": " teh ", "correction": "the", "issue": "misheard", "confidence": 1.7, "offset": -3}, {"original": "Same", "correction": "same!", "issue": "x", "confidence": 0.5}, {"original": "a", "correction": "b", "issue": "weird"}]}) + " end"
+    raw = "noise " + json.dumps({"findings": [
+        {"original_text": " teh ", "suggested_correction": "the", "issue_type": " Misheard_Word", "confidence": 1.7, "anchor_offset": -3, "anchor_occurrence": 0}, {"original_text": "Same", "suggested_correction": "same!", "issue_type": "x", "confidence": 0.5},
+        {"original_text": "a", "suggested_correction": "b", "issue_type": "weird", "confidence": -1, "anchor_offset": 4}, {"original_text": "c", "suggested_correction": " "}, {"suggested_correction": "d"},
+    ]}) + " end"
     got = [tuple(x) for x in one(spark, raw, findings.parse_judgement)]
-    assert got == [("teh", "the", "misheard", 1.0, None), ("a", "b", "other", 0.0, None)]
+    assert got == [("teh", "misheard_word", "the", 1.0, None, 0), ("a", "other", "b", 0.0, 4, None)]
+    assert one(spark, '{"findings": []}', findings.parse_judgement) == [] == one(spark, "{}", findings.parse_judgement)
     assert one(spark, "no json", findings.parse_judgement) is None
 
 
@@ -170,6 +175,8 @@ def test_corrected_chunks(spark):
     got = {(r.transcript_id, r.chunk_index): (r.text, r.applied, r.stale) for r in overlay.corrected(chunks, patches).collect()}
     assert got == {(1, 0): ("the dog ran", [5], {}), (1, 1): ("plain", [], {}), (2, 0): ("fox cat", [6], {7: "text changed"})}
     assert [r.id for r in overlay.orphans(chunks, patches).collect()] == [8]
+    told = overlay.outcomes(overlay.corrected(chunks, patches), chunks, patches)
+    assert sorted(map(tuple, told.collect())) == [(5, "applied", None), (6, "applied", None), (7, "stale", "text changed"), (8, "stale", "chunk gone")]
 
 
 def test_native_chunks(spark):
@@ -183,6 +190,8 @@ def test_windows_stitch_to_one_line_of_time(spark):
     rows = [("f", 0, [("a", 1.0, 2.0), ("b", 590.0, 591.0), ("late", 594.0, 595.0)]), ("f", 1, [("early", 3.0, 4.0), ("b", 7.6, 8.0), ("c", 20.0, 19.0)])]
     df = spark.createDataFrame(rows, "file string, window int, words array<struct<word:string,start:double,end:double>>")
     got = [(r.word, r.start, r.end) for r in chunking.stitch(df).orderBy("start").collect()]
+    near = spark.createDataFrame([("f", 0, [("a", 1.0, 1.1), ("b", 1.1, 1.2), ("a", 1.2, 1.3), ("c", 9.0, 9.1)])], df.schema)
+    assert [r.word for r in chunking.stitch(near).orderBy("start").collect()] == ["a", "b", "c"]
     assert got == [("a", 1.0, 2.0), ("b", 590.0, 591.0), ("b", 592.6, 593.0), ("c", 605.0, 605.0)]
 
 
