@@ -114,5 +114,11 @@ def release_held() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give free memory back to the machine: workers live on, and beside them an executor's other tasks need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

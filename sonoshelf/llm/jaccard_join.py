@@ -1,12 +1,14 @@
 """N-gram Jaccard join by chosen paths: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
 Texts with the same set are one class, and classes are joined. A class has a MinHash signature of 64 shared-token
-samples. In each run all classes start in one bucket; a bucket samples one of the 64 places, from its own path, and
-splits by the values there. A bucket of at most ``BUCKET`` classes is compared by brute force; larger ones split
-again, and what is still large after ``DEPTH`` splits is compared block by block, each pair of blocks in a group of
-its own. A pair at the threshold survives a split with probability 0.8, so runs are repeated until the chance of
-finding it, with the cut on the signatures counted too, is the target recall. Signatures that agree well enough link classes to candidate components (as spanning
-forests, never as all pairs), and in these the exact similarities are computed from the shingles themselves.
+samples, which stand for its tokens. In each run all classes start in one bucket. A bucket samples one or two of the 64
+places, from its own path, and splits by the values there, so a class goes down a branch for each place; ``SECOND`` is
+the chance of a second branch. A bucket of at most ``BUCKET`` classes is compared by brute force; larger ones split
+again. What is still large after ``DEPTH`` splits, where texts agree nearly everywhere, is compared with one of them;
+those that don't agree with it are compared with all of the bucket, each pair of blocks in a group of its own. A pair at the threshold survives a split with probability 0.8 in each
+branch, so runs are repeated until the chance of finding it, with the cut on the signatures counted too, is the target
+recall. Signatures that agree well enough link classes to candidate components (as spanning forests, never as all
+pairs), and in these the exact similarities are computed from the shingles themselves.
 
 Results, one row per document: class_id (smallest doc_id with the same shingles), n_links (number of other classes
 with a similarity of 0.8 or more) and group_id (smallest doc_id that links lead to).
@@ -29,14 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, release_held, small_batches, stow, text_or_empty, unused
+from .common import BROADCAST_ROWS, bound_batches, release_held, stow, text_or_empty, trim, unused
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 PLACES = 64
 #: Signatures this similar are candidates: four standard deviations of the estimate below the threshold.
 CANDIDATE = 0.6
-BUCKET, DEPTH, TARGET_RECALL = 512, 2, 0.9995
+BUCKET, DEPTH, TARGET_RECALL = 512, 4, 0.9995
+#: The chance that a split samples a second place.
+SECOND = 0.25
+#: Paths with over a thousandth of the rows are looked up by broadcast; so there are a thousand at most.
+HEAVY_SHARE = 1000
 _SEED = np.random.default_rng(5)
 _FACTORS = _SEED.integers(1, 1 << 63, (PLACES, 2), np.uint64) | np.uint64(1)
 _WORD_FACTORS = _SEED.integers(1, 1 << 63, WORDS, np.uint64) | np.uint64(1)
@@ -109,8 +115,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             sig = _signatures(x, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * PLACES, pa.int32()), pa.array(sig.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(x, offsets)), pa.array(np.diff(offsets)), lists], ["doc_id", "node", "n", "sig"])
+        trim()
 
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, node long, n long, sig array<int>")
 
 
@@ -154,23 +161,11 @@ class _Forest:
             self.parent[max(i, j)] = min(i, j)
 
 
-def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same sorted group, and of different sides where there are two, distance by distance."""
-    i = np.arange(len(group))
-    for d in range(1, len(group)):
-        i = i[i + d < len(group)]
-        i = i[group[i] == group[i + d]]
-        if not len(i):
-            return
-        two = (side[i] < 0) | (side[i] != side[i + d])
-        yield i[two], i[two] + d
-
-
-def _in_blocks(members: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """members with group and side. Groups of key of at most BUCKET rows are one group with side -1; larger ones are
+def _in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """members, with the size of their group of key, with group and side. Groups of key of at most BUCKET rows are one group with side -1; larger ones are
     cut to blocks, with a group for each pair of blocks and a side for each block in it."""
     cut = F.ceil(F.col("size") / BUCKET).cast("int")
-    out = members.join(sizes, key).withColumn("blocks", cut).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+    out = members.withColumn("blocks", cut).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
     out = out.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "with"), F.greatest("block", "with")
     group = F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, low, high))
@@ -182,11 +177,20 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "node")
 
 
+def survival(agree: float, depth: int) -> float:
+    """The chance that two classes which agree in this share of the places still share a bucket after so many splits."""
+    meet = 1.0
+    for _ in range(depth):
+        apart = 1 - agree * meet
+        meet = 1 - (1 - SECOND) * apart - SECOND * apart**2
+    return meet
+
+
 def recall_after(runs: int) -> float:
-    """The chance that a pair at the threshold is a candidate after so many runs. They all read the same places, so it
-    is the mean over the number of places that agree, of which too few to pass CANDIDATE find nothing."""
+    """The chance that a pair at the threshold is a candidate after so many runs of DEPTH splits. They all read the same
+    places, so it is the mean over the number of places that agree, of which too few to pass CANDIDATE find nothing."""
     agree = lambda a: math.comb(PLACES, a) * THRESHOLD**a * (1 - THRESHOLD) ** (PLACES - a)
-    return sum(agree(a) * (1 - (1 - (a / PLACES) ** DEPTH) ** runs) for a in range(PLACES + 1) if a >= CANDIDATE * PLACES)
+    return sum(agree(a) * (1 - (1 - survival(a / PLACES, DEPTH)) ** runs) for a in range(PLACES + 1) if a >= CANDIDATE * PLACES)
 
 
 def runs_needed(recall: float = TARGET_RECALL) -> int:
@@ -197,23 +201,84 @@ def runs_needed(recall: float = TARGET_RECALL) -> int:
     return runs
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """rows (node, sig, path) a split further down: by the values at one place or two, which the path samples."""
+    place = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(PLACES))
+    step = lambda k: F.xxhash64("path", place(k), F.element_at("sig", (place(k) + 1).cast("int")))
+    second = (F.pmod(F.xxhash64("path", F.lit("second")), F.lit(1 << 20)) < int(SECOND * (1 << 20))) & (place(1) != place(2))
+    return rows.withColumn("path", F.explode(F.when(second, F.array(step(1), step(2))).otherwise(F.array(step(1)))))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """rows (n of them) with the columns of table (key, size, ...) for their key, where it has one; size is the number
+    of a key's rows. The rows of a large key stay where they are."""
+    most, (of,) = max(1, n // HEAVY_SHARE), unused(rows.columns + table.columns, "of")
+    table, match = table.withColumnRenamed(key, of), F.col(key) == F.col(of)
+    heavy = F.broadcast(table.where(F.col(size) > most))
+    rest = rows.join(F.broadcast(heavy.select(of)), match, "left_anti").join(table.where(F.col(size) <= most), match)
+    return rows.join(heavy, match).drop(of).unionByName(rest.drop(of))
+
+
 def buckets(classes: DataFrame, runs: int) -> DataFrame:
     """(node, bucket, size) of the buckets with two classes or more in which the runs end."""
-    path = F.xxhash64(F.lit("run"), F.col("run"))
-    walk = classes.select("node", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path0", path)
-    for k in range(1, DEPTH + 1):
-        place = F.pmod(F.xxhash64(f"path{k - 1}", F.lit(k)), F.lit(PLACES))
-        walk = walk.withColumn(f"path{k}", F.xxhash64(f"path{k - 1}", place, F.element_at("sig", (place + 1).cast("int"))))
-    live, ended = stow(walk.select("node", *[f"path{k}" for k in range(1, DEPTH + 1)]), "paths"), None
+    live = classes.select("node", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).select("node", "sig", F.xxhash64(F.lit("run"), "run").alias("path"))
+    ended = []
     for k in range(1, DEPTH + 1):
-        sizes = live.groupBy(f"path{k}").agg(F.count("*").alias("size")).where("size > 1")
-        sized = stow(live.join(sizes, f"path{k}"), "sized")
-        last = k == DEPTH
-        done = (sized if last else sized.where(F.col("size") <= BUCKET)).select("node", F.col(f"path{k}").alias("bucket"), "size")
-        ended = done if ended is None else ended.unionByName(done)
-        if not last:
-            live = sized.where(F.col("size") > BUCKET).drop(f"path{k}", "size")
-    return ended
+        # the signatures come again where they are needed: they are larger than all else
+        paths = stow(_split(live).select("node", "path"), "paths")
+        sizes = stow(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sized = stow(_looked_up(paths, sizes, "path", "size", paths.count()), "sized")
+        large = sizes.where(F.col("size") > BUCKET)
+        if k == DEPTH or large.isEmpty():
+            ended.append(sized)
+            break
+        ended.append(sized.where(F.col("size") <= BUCKET))
+        live = sized.where(F.col("size") > BUCKET).select("node", "path").join(classes.select("node", "sig"), "node")
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    return found.withColumnRenamed("path", "bucket")
+
+
+def _apart(group: np.ndarray, side: np.ndarray, forest: _Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same sorted group, and of different sides where there are two, distance by distance, that the
+    forest doesn't connect yet. A group that is one tree has none any more."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
+    i = np.arange(len(group))
+    for d in range(1, len(group)):
+        i = i[i + d < len(group)]
+        i = i[group[i] == group[i + d]]
+        if d & (d - 1) == 0 or d % 32 == 0:
+            roots = forest.roots()
+            i = i[(np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts))[which[i]]]
+        if not len(i):
+            return
+        two = i[(side[i] < 0) | (side[i] != side[i + d])]
+        roots = forest.roots()
+        two = two[roots[two] != roots[two + d]]
+        yield two, two + d
+
+
+def _beside_pivot(large: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, groups) of the buckets that no split made small, (node, bucket, size) each.
+
+    Where texts agree nearly everywhere they agree with any one of them too: each bucket has a pivot, and what agrees
+    with it is linked to it, in one pass. Only the others are compared with all of the bucket, block by block."""
+    n = large.count()
+    pivots = large.groupBy("bucket", "size").agg(F.min("node").alias("pivot"))
+    pivots = pivots.join(classes.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+    agree = F.size(F.filter(F.zip_with("sig", "pivot_sig", lambda a, b: a == b), lambda x: x)) >= CANDIDATE * PLACES
+    held = _looked_up(large.drop("size"), pivots, "bucket", "size", n).join(classes.select("node", "sig"), "node")
+    held = stow(held.select("node", "bucket", "size", "pivot", agree.alias("near")), "pivots")
+    edges = held.where("near and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    others = held.groupBy("bucket", "size").agg(F.count_if(~F.col("near")).alias("others")).where("others > 0")
+    left = _looked_up(held.select("node", "bucket", "near"), others, "bucket", "size", n)
+    blocks = lambda c: F.ceil(F.col(c) / BUCKET).cast("int")
+    number = lambda c: F.pmod(F.xxhash64("node", F.lit(9)), blocks(c)).cast("int")
+    one = left.where("not near").select("node", F.explode(F.transform(F.sequence(F.lit(0), blocks("size") - 1), lambda k: F.xxhash64("bucket", number("others"), k))).alias("group"), F.lit(0).alias("side"))
+    all_ = left.select("node", F.explode(F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda k: F.xxhash64("bucket", k, number("size")))).alias("group"), F.lit(1).alias("side"))
+    return edges, one.unionByName(all_)
 
 
 def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
@@ -224,20 +289,23 @@ def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
             group, side, node = (table[c].to_numpy() for c in ("group", "side", "node"))
             sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, PLACES)
             forest = _Forest(len(group))
-            for a, b in _pairs(group, side):
-                roots = forest.roots()
-                apart = roots[a] != roots[b]
-                a, b = a[apart], b[apart]
+            for a, b in _apart(group, side, forest):
                 near = (sig[a] == sig[b]).sum(1) >= CANDIDATE * PLACES
                 forest.join(a[near], b[near])
             roots = forest.roots()
             linked = roots != np.arange(len(roots))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[roots[linked]])], ["u", "v"])
-
-    met = buckets(classes, runs)
-    members = _in_blocks(met.select("node", "bucket"), met.select("bucket", "size").distinct(), "bucket")
+        trim()
+
+    met = stow(buckets(classes, runs), "met")
+    members, found = met.where(F.col("size") <= BUCKET).select("node", F.col("bucket").alias("group"), F.lit(-1).alias("side")), None
+    large = met.where(F.col("size") > BUCKET)
+    if not large.isEmpty():
+        found, more = _beside_pivot(large, classes)
+        members = members.unionByName(more)
     rows = members.join(classes.select("node", "sig"), "node").select("group", "side", "node", "sig")
-    return _sorted_groups(rows).mapInArrow(run, "u long, v long").distinct()
+    edges = _sorted_groups(rows).mapInArrow(run, "u long, v long")
+    return (edges if found is None else edges.unionByName(found)).distinct()
 
 
 def _intersections(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -268,7 +336,7 @@ def exact_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
             x, offsets = shingles(batch.column("text").to_pylist())
             same = _nodes(x, offsets) == batch.column("node").to_numpy()  # an id may stand for several texts
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), lists], ["node", "component", "hashes"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), batch.column("size"), lists], ["node", "component", "size", "hashes"]).filter(pa.array(same))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "group", 1024):
@@ -296,13 +364,14 @@ def exact_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 n.append(near.sum(1)[linked])
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([join(u), join(v), join(n)], ["u", "v", "links"])
+        trim()
 
-    wanted = reps.withColumnRenamed("doc_id", "of")
-    small = reps.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "node", "component")
-    sets = texts.mapInArrow(with_sets, "node long, component long, hashes array<long>")
     sizes = reps.groupBy("component").agg(F.count("*").alias("size"))
-    rows = _in_blocks(sets, sizes, "component").select("group", "side", "node", "hashes")
+    wanted = _looked_up(reps.withColumnRenamed("doc_id", "of"), sizes, "component", "size", reps.count())
+    small = reps.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "node", "component", "size")
+    sets = texts.mapInArrow(with_sets, "node long, component long, size long, hashes array<long>")
+    rows = _in_blocks(sets, "component").select("group", "side", "node", "hashes")
     return _sorted_groups(rows).mapInArrow(run, "u long, v long, links long")
 
 
@@ -324,17 +393,18 @@ def join_similar(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs but for those of groups whose smallest id is another one, with all their columns."""
-    (node,) = unused(docs.columns, "node")
+    node, id_gone, node_gone = unused(docs.columns, "node", "id_gone", "node_gone")
     at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField(node, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = _nodes(*shingles([t or "" for t in batch.column(at).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes)], [*batch.schema.names, node])
+        trim()
 
-    gone = join_similar(docs).where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
+    gone = join_similar(docs).where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias(id_gone), F.col("node").alias(node_gone)).distinct()
     gone = stow(gone, "gone")
     small = gone.count() <= BROADCAST_ROWS
     rows = docs.mapInArrow(run, schema)
-    kept = rows.join(F.broadcast(gone) if small else gone, (F.col(node) == F.col("_gone_node")) & F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = rows.join(F.broadcast(gone) if small else gone, (F.col(node) == F.col(node_gone)) & F.col("doc_id").eqNullSafe(F.col(id_gone)), "left_anti")
     return kept.select(docs.columns)

@@ -61,8 +61,9 @@ def test_links_and_groups_are_those_of_brute_force(spark, monkeypatch, bucket):
     docs = spark.createDataFrame([(i, t, i, 0) for i, t in rows], "doc_id long, text string, node long, size int")
     got = [(r.doc_id, r.class_id, r.n_links, r.group_id) for r in jaccard_join.join_similar(docs).collect()]
     assert sorted(got) == brute(rows)
-    kept = jaccard_join.keep_one(docs)
-    assert kept.columns == docs.columns
+    clash = docs.withColumnsRenamed({"size": "_gone"}).withColumn("_node", docs.node)
+    kept = jaccard_join.keep_one(clash)
+    assert kept.columns == clash.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({g for *_, g in got})
 
 
@@ -75,15 +76,30 @@ def test_nulls_repeated_rows_and_an_empty_table(spark):
 
 def test_runs_give_the_target_recall_with_shared_places_and_the_cut():
     r = np.random.default_rng(3)
-    agree = r.binomial(jaccard_join.PLACES, 0.8, 1_000_000)
-    found = 1 - (1 - (agree / jaccard_join.PLACES) ** jaccard_join.DEPTH) ** jaccard_join.runs_needed()
-    share = np.where(agree >= jaccard_join.CANDIDATE * jaccard_join.PLACES, found, 0).mean()
+    agree = r.binomial(jaccard_join.PLACES, 0.8, 400_000)
+    found = np.zeros(len(agree), bool)
+    for _ in range(jaccard_join.runs_needed()):
+        shared = np.ones(len(agree), int)  # buckets that hold both classes
+        for _ in range(jaccard_join.DEPTH):
+            shared = r.binomial(shared + r.binomial(shared, jaccard_join.SECOND), agree / jaccard_join.PLACES)
+        found |= shared > 0
+    share = (found & (agree >= jaccard_join.CANDIDATE * jaccard_join.PLACES)).mean()
     assert share >= 1 - 1.2 * (1 - jaccard_join.TARGET_RECALL)
     assert jaccard_join.recall_after(jaccard_join.runs_needed()) >= jaccard_join.TARGET_RECALL > jaccard_join.recall_after(jaccard_join.runs_needed() - 1)
     with pytest.raises(ValueError):
         jaccard_join.runs_needed(0.9999999)
 
 
+def test_a_large_bucket_splits_until_it_is_small(spark):
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))  # so many texts share it, in buckets that one split leaves large
+    rows = [(i, f"{passage} " + " ".join(r.choices("abcdefghij", k=40))) for i in range(1500)]
+    sketched = jaccard_join.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    met = jaccard_join.buckets(sketched.select("node", "sig"), 2)
+    assert met.agg({"size": "max"}).first()[0] <= jaccard_join.BUCKET
+    assert met.groupBy("bucket", "size").count().where("size <> count").isEmpty()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
