@@ -29,16 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .chunk_ids import KnownIds, as_lists, take_lists, text_arrays
-from .common import bound_batches, held_by_worker, text_or_empty
+from .common import bound_batches, held_by_worker, text_or_empty, trim
 
 LONG_PIECE = 256
 #: Chunks and pieces kept from batch to batch, some 30 bytes each.
-KNOWN_CHUNKS, KNOWN_PIECES = 300_000, 800_000
+KNOWN_CHUNKS, KNOWN_PIECES = 150_000, 400_000
 #: Text bytes a batch, rows of all rounds of a recursion, and tokens a decoding query.
-TEXT_BYTES, ROUND_ROWS, DECODED_ROWS = 12_000_000, 4_000_000, 1_000_000
+TEXT_BYTES, ROUND_ROWS, DECODED_ROWS = 2_000_000, 600_000, 1 << 17
 #: Positions an aggregation puts in order together.
 WINDOW_BITS = 12
-MEMORY = "300MB"
+MEMORY = "120MB"
 
 #: Rows of pieces whose merges go on, round by round, and of those that are done. Each row knows the token to its
 #: right; rank, position and the position to the right are one number, as positions are below 1024.
@@ -262,6 +262,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             told = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, coder.coder.told.take(ids.values)), ",")
             digests = [pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in column]) for column in (told, coder.coder.decode(ids))]
             yield pa.RecordBatch.from_arrays([doc_ids, ids.value_lengths().cast(pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del texts, ids, told
+            trim()
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

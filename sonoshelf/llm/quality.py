@@ -7,7 +7,8 @@ text were in no training text but their forms were. The weights follow per-coord
 and L2 terms.
 
 Training reads a bounded sample of labelled rows (``sample_rows``, the rows with the smallest hashes of their ids,
-as many of each label), a few MB however large the corpus is; scoring covers every whole text. The model has one
+as many of each label; of rows that repeat an id, the greatest text), a few MB however large the corpus is; scoring
+covers every whole text. The model has one
 weight per place, 1 MB, which bounds what is sent to the executors.
 
 Defined results: a null text counts as empty; an empty text is scored by the bias alone; rows with a null label or
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, id_remainder, small_batches, text_or_empty
+from .common import bound_batches, held_by_worker, id_remainder, text_or_empty, trim
 
 PLACES_BITS = 18
 PLACES = 1 << PLACES_BITS
@@ -113,14 +114,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     each = sample_rows // 2
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(each).unionByName(known.where("label = 0").orderBy(*order).limit(each))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), text_or_empty().alias("text"), "label")
+    # a row an id, so that ids which repeat don't make the sample larger
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    texts = texts.select(F.xxhash64("doc_id").alias("h"), "text", "label")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"h": [], "text": [], "label": []}), *frames]).sort_values(["h", "text"])
         if len(rows):
             yield pd.DataFrame({"weights": [train(list(rows["text"]), rows["label"].to_numpy(float)).astype("<f4").tobytes()]})
 
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     found = texts.repartition(1).mapInPandas(learn, "weights binary").collect()
     return np.frombuffer(bytes(found[0].weights), "<f4").astype(float) if found else np.zeros(PLACES + 1)
 
@@ -128,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
 def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score, predicted) of docs (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     sent, at = spark.sparkContext.broadcast(weights.astype(np.float32)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,5 +154,6 @@ def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             good = score([t or "" for t in batch.column(at).to_pylist()], w) >= THRESHOLD
             yield batch.filter(pa.array(good))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
