@@ -175,3 +175,25 @@ def sanitised(text: Column, most: int = 200) -> Column:
 def model_size(name: Column) -> Column:
     """The size in a model's name, such as 0.6B; null if it has none."""
     return F.nullif(F.upper(F.regexp_extract(name, r"(?i)(?:^|[-_:])([0-9]+(?:\.[0-9]+)?b)(?:$|[-_.:])", 1)), F.lit(""))
+
+
+def parsed_path(path: Column) -> Column:
+    """{author, title, chapter_index, chapter_name} of a path as it was once laid out: the author follows the directory
+    "audiobooks"; a file's name is "title - number - chapter", else the title is the directory after the author."""
+    parts, name = F.split(path, "/"), F.regexp_replace(basename(path), r"(?s)\.[^.]*\z", "")
+    at = F.array_position(parts, "audiobooks")
+    author = F.when((at > 0) & (at < F.size(parts)), F.get(parts, at.cast("int"))).otherwise("")
+    pieces = F.split(name, " - ")
+    n = F.size(pieces)
+    index = F.when(F.get(pieces, n - 2).rlike(r"^[+-]?[0-9]+\z"), F.get(pieces, n - 2).try_cast("int"))
+    bare = lambda t: F.when(F.contains(t, F.lit("[")), F.trim(F.substring_index(t, "[", 1))).otherwise(t)
+    after = F.when(author != "", F.call_function("substring_index", path, author, F.lit(-1))).otherwise(F.lit(""))
+    below = F.get(F.split(F.substr(after, F.lit(2)), "/"), F.lit(0))
+    from_dir = F.when(below == "metadata.json", "").otherwise(bare(F.coalesce(below, F.lit(""))))
+    whole, none = F.size(parts) >= 3, F.lit("")
+    return F.struct(
+        F.when(whole, author).otherwise(none).alias("author"),
+        F.when(whole & (n >= 3), bare(F.array_join(F.slice(pieces, 1, F.greatest(n - 2, F.lit(0))), " - "))).when(whole, from_dir).otherwise(none).alias("title"),
+        F.when(whole & (n >= 3), F.coalesce(index, F.lit(0))).otherwise(0).alias("chapter_index"),
+        F.when(whole & (n >= 3), F.get(pieces, n - 1)).otherwise(none).alias("chapter_name"),
+    )

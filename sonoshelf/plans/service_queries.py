@@ -385,3 +385,26 @@ def library_sorts(spark, sf):
     rows = library.book_rollup(roles.jobs(spark, sf), roles.metrics(spark, sf)).join(roles.books(spark, sf), "book_dir", "left").withColumn("findings", F.col("failed"))
     place = lambda sort: F.row_number().over(Window.orderBy(*library.library_sort(sort))).alias(f"by_{sort}")
     return rows.select("book_dir", place("title"), place("progress"), place("findings")).where("by_title <= 30 or by_progress <= 30 or by_findings <= 30")
+
+
+@query(f"""WITH {METRICS}, t AS (SELECT job_id, duration_seconds AS d, duration_seconds * 977 AS n FROM metrics)
+SELECT job_id, CASE WHEN d >= 3600 THEN printf('%dh%02dm%02ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm%02ds', d // 60, d % 60) ELSE printf('%ds', d) END AS hms,
+  CASE WHEN d >= 3600 THEN printf('%d:%02d:%02d', d // 3600, d % 3600 // 60, d % 60) ELSE printf('%02d:%02d', d // 60, d % 60) END AS clock, format('{{:,}}', d) AS number,
+  CASE WHEN n < 1000000 THEN format('{{:,}}', n) WHEN n < 999950000 THEN printf('%.1fM', n / 1e6) ELSE printf('%.1fB', n / 1e9) END AS compact,
+  CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size,
+  CASE WHEN d < 3600 THEN '<1h' WHEN d < 172800 THEN printf('~%dh', floor(d / 3600.0 + 0.5)::BIGINT) ELSE printf('~%.1f days', d / 86400.0) END AS rough FROM t""")
+def time_and_number_labels(spark, sf):
+    from sonoshelf.functions import labels
+
+    d = F.col("duration_seconds")
+    return roles.metrics(spark, sf).select(
+        "job_id", labels.hms(d.cast("double")).alias("hms"), labels.clock(d.cast("double")).alias("clock"), labels.count(d).alias("number"), labels.compact(d * 977).alias("compact"),
+        labels.size(d * 977).alias("size"), labels.rough(d.cast("double")).alias("rough"),
+    )
+
+
+@query("""SELECT p_partkey, 'A ' || p_size AS author, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END::INTEGER AS chapter_index, CASE WHEN p_partkey % 3 = 0 THEN 'ch ' || p_partkey ELSE '' END AS chapter_name FROM part""")
+def legacy_paths(spark, sf):
+    book = F.concat(F.lit("/m/audiobooks/A "), "p_size", F.lit("/"), "p_name", F.lit(" [B0X]/"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" [B0X] - "), "p_size", F.lit(" - ch "), "p_partkey", F.lit(".mp3"))).otherwise("01.mp3")
+    return table(spark, sf, "part").select("p_partkey", tx.parsed_path(F.concat(book, name)).alias("p")).select("p_partkey", "p.*")
