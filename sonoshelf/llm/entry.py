@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, jaccard_join, mixing, ngram_lm, pii, quality, token_files, topk, warc
 from .common import id_remainder, new_path
@@ -18,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", marked["copy_key"].alias("text_sha256"))
+    decided = exact_dedup.decide(_table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.col("copy_key").alias("text_sha256"))
 
 
 OP6_SQL = """
@@ -82,7 +83,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_path(spark, "tokens")
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.with_checksum(token_files.read_tokens(spark, at))
 
 
