@@ -44,8 +44,25 @@ def test_reading_stops_before_the_lists_end():
     r = np.random.default_rng(1)
     values = r.integers(-3, 4, (4000, 4))
     values[:5] = 60
-    q, i, s = topk.nra(np.array([[5, 5, 5, 5]]), np.array([-1]), values, np.arange(4000), 5)
-    assert sorted(i) == [0, 1, 2, 3, 4] and set(s) == {1200}
+    for floors in (None, np.array([1000.0])):
+        read = []
+        q, i, s = topk.nra(np.array([[5, 5, 5, 5]]), np.array([-1]), values, np.arange(4000), 5, floors, read)
+        assert sorted(i) == [0, 1, 2, 3, 4] and set(s) == {1200}
+        assert len(read) == 1 and read[0] <= 0.25
+
+
+def test_a_block_below_the_floor_is_not_read():
+    values, read = np.ones((100, 4), int), []
+    q, i, s = topk.nra(np.array([[5, 5, 5, 5]]), np.array([-1]), values, np.arange(100), 5, np.array([21.0]), read)
+    assert (list(q), list(i), s, read) == ([], [], [], [])
+    q, i, s = topk.nra(np.array([[5, 5, 5, 5]]), np.array([-1]), values, np.arange(100), 5, np.array([20.0]), read)
+    assert list(i) == [0, 1, 2, 3, 4] and s == [20] * 5
+
+
+def test_scores_beyond_a_long_stand_at_its_ends(spark):
+    rows = [(i, [float(i % 3 - 1) * 1e30, 1e30]) for i in range(0, 30)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert {(r.query_id, r.rank, r.score) for r in got} == {(q, r, (1 << 63) - 1) for q in (0, 20) for r in (1, 2, 3)}
 
 
 def test_empty_table(spark):
