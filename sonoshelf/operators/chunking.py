@@ -58,9 +58,9 @@ def token_chunks(text: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([pack_tokens(t or "", int(n)) for t, n in zip(text, size, strict=True)])
 
 
-def chunk_uuid(transcript: str, index: int) -> str:
+def chunk_uuid(transcript: str, index: int, namespace: uuid.UUID = NAMESPACE) -> str:
     """The same id for the same place of a transcript, whenever it is made."""
-    return str(uuid.uuid5(NAMESPACE, f"{transcript}/{index}"))
+    return str(uuid.uuid5(namespace, f"{transcript}/{index}"))
 
 
 @F.pandas_udf(T.StringType())

@@ -106,5 +106,5 @@ def near_by_buckets(chunks: DataFrame, query: list[float], *, bits: int = 8, fli
 def enriched(hits: DataFrame, books: DataFrame, book: str = "book_dir", text: str = "text") -> DataFrame:
     """hits with title, author, percent (cut, not rounded) and the word count of the whole text."""
     context = hits.select(book).distinct()
-    meta = books.join(F.broadcast(context), book, "left_semi")
+    meta = books.join(context, book, "left_semi")
     return hits.join(meta, book, "left").withColumn("percent", (F.col("similarity") * 100).cast("int")).withColumn("words", word_count(F.col(text)))

@@ -15,6 +15,10 @@ SCHEMAS = {
     "transcripts": f"id string, job_id string, file_path string, checksum string, language string, duration_seconds double, speaker_count int, raw_text string, model_name string, created_at timestamp, segments {SEGMENTS}",
     "chunks": "id string, transcript_id string, file_path string, chunk_index int, start_sec double, end_sec double, text string, source_text string, speaker string, embedding array<float>, embedding_stale boolean, created_at timestamp",
     "book_metadata": f"book_dir string, title string, author string, narrator string, series string, asin string, chapters {CHAPTERS}, bias_terms array<string>, source string, updated_at timestamp",
+    "run_metrics": "job_id string, audio_bytes bigint, transcribe_started_at timestamp, transcribe_finished_at timestamp, word_count bigint, char_count bigint, segment_count bigint, mean_word_confidence double, runner_host string, model_name string, caps_applied map<string,boolean>, caps_requested map<string,boolean>, caps_skipped_reason map<string,string>, embed_started_at timestamp, embed_finished_at timestamp, embed_model string, embed_chunk_count int, embed_prompt_tokens bigint, embed_total_tokens bigint, eval_finished_at timestamp, eval_findings int",
+    "findings": "id string, chunk_id string, transcript_id string, job_id string, file_path string, chunk_index int, start_sec double, end_sec double, original_text string, issue_type string, suggested_correction string, confidence double, anchor_offset int, anchor_occurrence int, chunk_text_sha256 string, patch_state string, decided_by string, decided_at timestamp, applied_at timestamp, stale_reason string, created_at timestamp",
+    "events": "id string, job_id string, stage string, status string, runner_host string, reason string, detail string, duration double, created_at timestamp",
+    "control": "id int, paused boolean, run_limit int, phase string, runner_heartbeat_at timestamp, runner_version string, desired_runner_version string, updated_at timestamp",
 }
 
 
@@ -30,6 +34,32 @@ def audio_files(spark: SparkSession, root: str, checksum: bool = False) -> DataF
     return out
 
 
+def scan_counts(spark: SparkSession, root: str) -> DataFrame:
+    """One row: the files under root that were walked, those that are audio and those skipped; hidden files, resource
+    forks among them, aren't walked. A root that isn't there is an error."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path").agg(
+        F.count("*").alias("walked"), F.count_if(is_audio_file(F.col("path"))).alias("audio"), F.count_if(~is_audio_file(F.col("path"))).alias("skipped")
+    )
+
+
+def settled(before: DataFrame, now: DataFrame) -> DataFrame:
+    """The files of now (path, length, seen) with seen, the number of looks in a row that found the same length."""
+    old = before.select(F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("seen").alias("_seen"))
+    same = F.col("_length") == F.col("length")
+    return now.join(old, F.col("path") == F.col("_path"), "left").select("path", "length", F.when(same, F.col("_seen") + 1).otherwise(1).alias("seen"))
+
+
+# The providers of metadata.
+PROVIDERS = ("path", "abs")
+
+
+def providers(setting: str) -> list[str]:
+    """The providers that a setting names, in order: one of them, or "chain:" and several; path for anything else."""
+    kind, _, rest = setting.strip().lower().partition(":")
+    names = [n.strip() for n in rest.split(",")] if kind == "chain" else [kind]
+    return list(dict.fromkeys(n for n in names if n in PROVIDERS)) or ["path"]
+
+
 def decoded(column: Column, kind: str) -> Column:
     """Nested values from JSON text; text that isn't such JSON is an error."""
     return F.from_json(column, kind, {"mode": "FAILFAST"})

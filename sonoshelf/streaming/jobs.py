@@ -68,6 +68,47 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
         raise q.exception()
 
 
+def every(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 3600):
+    """Give what is new to handle every so many seconds, as a running query; 0 or less stops once all is given."""
+    when = {"processingTime": f"{seconds} seconds"} if seconds > 0 else {"availableNow": True}
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+def gated(control: Callable[[SparkSession], DataFrame], handle: Callable[[DataFrame, int], None], phase: str | None = None) -> Callable[[DataFrame, int], None]:
+    """handle behind a gate: a batch that comes while the control row (paused, phase) is paused, or in another phase, is
+    an error, so that it isn't marked as done and comes again."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        row = control(df.sparkSession).limit(1).collect()
+        if row and (row[0].paused or (phase is not None and row[0].phase != phase)):
+            raise RuntimeError(f"batch {batch} waits: paused is {row[0].paused}, the phase {row[0].phase}")
+        handle(df, batch)
+
+    return run
+
+
+def best_effort(side: Callable[[DataFrame, int], None], told: Callable[[Exception], None] = lambda e: None) -> Callable[[DataFrame, int], None]:
+    """A side write that never fails the stream: what goes wrong is told."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        try:
+            side(df, batch)
+        except Exception as e:  # noqa: BLE001
+            told(e)
+
+    return run
+
+
+def rebuilt(decisions: DataFrame, chunks: Callable[[SparkSession], DataFrame], rebuild: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Rebuild the transcripts that new decisions (transcript_id) touch, batch by batch: rebuild gets their chunks."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        touched = df.select("transcript_id").distinct()
+        rebuild(chunks(df.sparkSession).join(touched, "transcript_id", "left_semi"), batch)
+
+    drain(decisions, run, checkpoint)
+
+
 def append_once(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that writes each batch to a folder named by its number, so a batch that comes again replaces itself."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -2,11 +2,14 @@ import base64
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from sonoshelf.llm import exact_dedup, mixing, warc
-from sonoshelf.llm.common import new_path
+from sonoshelf.llm.common import new_path, stow, temporary
 
 TEXTS = ["a", "b", "a", None, "", "A", " a", "x" * 40_000, "x" * 40_000, "c"] + ["hot"] * 40
 
@@ -31,6 +34,37 @@ def test_a_filter_too_small_changes_nothing(spark):
     assert exact_dedup.mark_copies(docs, max_blocks=1).where("group_size = 2").count() == 2000
 
 
+def test_several_filters_give_what_one_does(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 4000}") for i in range(5000)] + [(7, "text 7")], "doc_id long, text string")
+    copies = exact_dedup.Copies(docs, "doc_id", "text", "max", 1)
+    assert copies.filters == 3
+    assert copies.tested(copies.slim, F.col("h"), again=True).count() < 2200
+    for f in (exact_dedup.decide, exact_dedup.mark_copies, exact_dedup.keep_one):
+        assert sorted(map(tuple, f(docs, max_blocks=1).collect())) == sorted(map(tuple, f(docs).collect()))
+    assert exact_dedup.keep_one(docs, max_blocks=1).count() == 4000
+
+
+def test_columns_named_like_results_or_helpers_stay_as_they_are(spark):
+    schema = "doc_id long, text string, kept string, keep_id string, group_size string, copy_key string, keep_rows string, h string, _key string, _of string, id string, Block string"
+    docs = spark.createDataFrame([(i, "same" if i < 3 else str(i), *[f"{c}{i}" for c in "abcdefghij"]) for i in range(5)], schema)
+    assert sorted(map(tuple, exact_dedup.keep_one(docs).collect())) == sorted(map(tuple, docs.where("doc_id >= 2").collect()))
+    marked = exact_dedup.mark_copies(docs)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.h, r.Block) for r in marked.collect()) == [(0, 2, 3, False, "f0", "j0"), (1, 2, 3, False, "f1", "j1"), (2, 2, 3, True, "f2", "j2"), (3, 3, 1, True, "f3", "j3"), (4, 4, 1, True, "f4", "j4")]
+    assert exact_dedup.decide(docs).count() == 5
+
+
+def test_what_is_written_in_a_temporary_block_is_removed(spark):
+    df = spark.range(3)
+    with temporary(spark):
+        with temporary(spark):
+            inner, outer = stow(df, "inner"), stow(df, "outer", outlives=True)
+        assert outer.count() == 3
+        at = [Path(urlparse(x.inputFiles()[0]).path).parent for x in (outer,)]
+    assert not at[0].exists()
+    with pytest.raises(Exception, match="FILE|exist"):
+        inner.collect()
+
+
 def test_rows_without_copies_are_not_shuffled(spark, tmp_path):
     at = str(tmp_path / "docs")
     spark.range(2000).selectExpr("id as doc_id", "concat('t', id) as text").write.parquet(at)
@@ -114,6 +148,27 @@ def test_archives_give_back_every_page(spark):
     assert got[71].url == "u%0D%0AX: y"
 
 
+def test_torn_records_come_back_when_the_scans_are_split_differently(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", TRICK + str(i % 7) + "y" * (i * 37 % 900)) for i in range(80)], "page_id long, url string, html string")
+    at = new_path(spark, "warc")
+    warc.write_archives(pages.coalesce(2), at)
+    lines, calls = warc._lines, []
+
+    def other_splits(*args):
+        calls.append(1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(2000 + 1777 * len(calls)))
+        return lines(*args)
+
+    monkeypatch.setattr(warc, "_lines", other_splits)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = {r.page_id: r.payload_digest for r in warc.read_archives(spark, at).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(calls) == 2
+    assert got == {r.page_id: base64.b32encode(hashlib.sha1(r.html.encode()).digest()).decode() for r in pages.collect()}
+
+
 def test_archives_split_in_small_pieces_read_the_same(spark):
     pages = spark.createDataFrame([(i, "u", TRICK + str(i) + "y" * (i * 37 % 900)) for i in range(80)], "page_id long, url string, html string")
     at = new_path(spark, "warc")
