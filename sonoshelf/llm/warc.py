@@ -5,9 +5,12 @@ Spark writes to will do. Equal payloads are written once, as a response; the oth
 and keep its HTTP headers.
 
 Reading splits files at the magic ``WARC/1.1``, wherever it stands. Each candidate gets its offset in the file
-(from the bytes of the lines before it) and its declared successor. Candidates that follow each other are joined
+(from the bytes of the lines before it), its declared successor and the digest of its bytes. Candidates that follow each other are joined
 into runs, unless another record points between them, and pointer jumping from offset 0 over the runs keeps what a
-chain of records reaches. A magic inside a payload is never reached; its line belongs to the record before it.
+chain of records reaches. A magic inside a payload is never reached; its line belongs to the record before it. Records
+with such lines are put together by a second scan, which finds the lines by file and digest, so it doesn't matter how
+either scan was split. A file's candidates go through one task as slim rows; the writer puts ``RECORDS_A_FILE`` records
+in a file at most.
 
 Defined results: null html is an empty payload; of rows that repeat id and html, all but one are revisits; a null
 id is larger than any other and comes back null; line breaks in a URL are written as %0D and %0A; an empty table
@@ -24,6 +27,7 @@ from .exact_dedup import mark_copies
 
 MAGIC = "WARC/1.1\r\n"
 CRLF2 = "\r\n\r\n"
+RECORDS_A_FILE = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -53,7 +57,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(payload), F.lit("\r\n"), refers,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(CRLF2), block,
     )
-    pages.select(record.alias("value")).write.option("lineSep", CRLF2).text(path)
+    pages.select(record.alias("value")).write.option("lineSep", CRLF2).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
 def _field(head: Column, name: str) -> Column:
@@ -65,7 +69,7 @@ def _parsed(value: Column) -> list[Column]:
     head = F.substring_index(value, CRLF2, 1)
     head_bytes = F.octet_length(head) + 4
     length = F.expr("try_cast(regexp_extract({0}, '(?m)^Content-Length: ?([0-9]+)', 1) as bigint)".format("substring_index(value, '\\r\\n\\r\\n', 1)"))
-    block = F.substring(value.cast("binary"), head_bytes + 1, length.cast("int"))
+    block = F.substring(value.cast("binary"), head_bytes + 1, F.least(length, F.lit((1 << 31) - 1)).cast("int"))  # no value is longer
     http = F.substring_index(block.cast("string"), CRLF2, 1)
     payload = F.substring(block, F.octet_length(http) + 5, F.octet_length(block))
     page = lambda name: F.expr("try_cast(regexp_extract(substring_index(value, '\\r\\n\\r\\n', 1), '(?m)^%s: ?<urn:page:(-?[0-9]+)>', 1) as bigint)" % name)
@@ -83,14 +87,18 @@ def _parsed(value: Column) -> list[Column]:
 RESULT = ("record_type", "page_id", "refers_to", "url", "payload_bytes", "payload_digest")
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every magic in the files of path: (file, at, size, declared successor and what the record says)."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
-    said = stow(lines.select("file", "split", "line", F.octet_length("value").cast("long").alias("size"), *_parsed(F.col("value"))), "candidates")
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.unhex(F.md5(F.col("value").cast("binary"))).alias("digest"))
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every magic in the files of path: (file, at, size, digest, declared successor and what the record says)."""
+    said = _lines(spark, path).select("file", "split", "digest", F.monotonically_increasing_id().alias("line"), F.octet_length("value").cast("long").alias("size"), *_parsed(F.col("value")))
+    said = stow(said, "candidates")
     in_file = Window.partitionBy("file").orderBy("split", "line")
     start = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = said.withColumn("at", start - len(MAGIC)).where("at >= 0")
+    at = said.withColumn("at", start - len(MAGIC)).where("at >= 0").drop("split", "line")
     return at.withColumn("next", F.col("at") + len(MAGIC) + F.coalesce("declared", F.col("size")))
 
 
@@ -126,12 +134,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     n = torn.count()
     if not n:
         return whole.select(*RESULT)
-    # Records whose payload holds a magic: put their lines together again.
+    # Records whose payload holds a magic: each line up to the declared end belongs to the last such record before it.
     starts = torn.select(F.col("file").alias("of"), F.col("at").alias("start"), (F.col("at") + len(MAGIC) + F.col("declared")).alias("end"))
-    parts = found.join(F.broadcast(starts) if n <= BROADCAST_ROWS else starts, (F.col("file") == F.col("of")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("file", "split", "line", "start", "at")
-    lines = spark.read.option("lineSep", MAGIC).text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
-    lines = lines.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["file", "split", "line"])
+    started = found.join(F.broadcast(starts) if n <= BROADCAST_ROWS else starts, (F.col("file") == F.col("of")) & (F.col("at") == F.col("start")), "left")
+    so_far = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(F.col("start").isNotNull(), F.struct("start", "end")), ignorenulls=True).over(so_far)
+    parts = started.select("file", "at", "digest", "size", owner.alias("owner")).where(F.col("at") < F.col("owner.end"))
+    parts = stow(parts.select("file", "at", "digest", "size", F.col("owner.start").alias("start")), "parts")
+    wanted = parts.select("file", "digest", "size").distinct()
+    lines = _lines(spark, path).withColumn("size", F.octet_length("value").cast("long"))
+    lines = lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["file", "digest", "size"])
+    lines = lines.groupBy("file", "digest", "size").agg(F.first("value").alias("value")).join(parts, ["file", "digest", "size"])
     joined = lines.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("lines"))
     joined = joined.select(F.array_join(F.transform("lines", lambda x: x["value"]), MAGIC).alias("value"))
     return whole.select(*RESULT).unionByName(joined.select(*_parsed(F.col("value"))).select(*RESULT))
