@@ -6,8 +6,10 @@ All of it is Column functions. A kind's matches and the text between them come f
 are running sums of lengths in code points. The patterns are possessive and start only where no earlier start could
 match, which finds the same leftmost matches without going over a long run of digits or letters again and again.
 
-Kinds: email; ip (parts at most 255); card (12 to 19 digits, Luhn); phone (9 to 15 digits); and, as an addition,
-iban (15 to 34 letters and digits, remainder 1 modulo 97). A match that fails its check is dropped.
+Kinds: email; ip (parts at most 255); card (12 to 19 digits, Luhn); phone (9 to 15 digits); and, as additions, iban
+(15 to 34 letters and digits, remainder 1 modulo 97) and secret (a value of 16 or more characters, letters and digits
+both, that a text gives to a key, password or token). A match that fails its check is dropped, and so is one of an added
+kind whose score is below ``ADDED_THRESHOLD``; base kinds stay whatever their score, which comes with them.
 
 Defined results: a null text counts as empty; a text without personal data has no spans; overlapping spans of
 different kinds all stay; extra columns are ignored; rows are independent, so repeated rows repeat their result.
@@ -26,16 +28,22 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+SECRET = r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth|bearer|credential|passwd|password|secret|token)s?[\x20_]{0,2}[=:][\x20]{0,2}[\x22']?[a-z0-9+/_-]{16,}"
 #: Kind: pattern, a text that has none of this can't match, words that raise the score, words that lower it.
 KINDS = {
-    "email": (EMAIL, "@", "mail contact write address", "example noreply"),
-    "ip": (IP, None, "ip host server address login", "version release chapter"),
-    "card": (CARD, None, "card visa credit payment pay", "order isbn number part"),
-    "phone": (PHONE, "+", "phone call tel mobile fax", "version sum score"),
-    "iban": (IBAN, None, "iban bank account transfer", "serial part code"),
+    "email": (EMAIL, "@", "mail email e-mail contact write address reach send reply correo courriel", "example noreply sample test dummy"),
+    "ip": (IP, None, "ip host server address login client gateway network subnet dns", "version release chapter section build revision"),
+    "card": (CARD, None, "card visa mastercard amex credit debit payment pay paid cvv expires", "order isbn number part invoice tracking serial"),
+    "phone": (PHONE, "+", "phone call tel telephone mobile cell fax sms whatsapp dial", "version sum score ratio order"),
+    "iban": (IBAN, None, "iban bank account transfer bic swift konto compte cuenta", "serial part code model sku"),
+    "secret": (SECRET, None, "key token password passwd secret credential bearer auth login", "example sample dummy placeholder changeme checksum"),
 }
+#: What a text must hold for a match of the kind, where that isn't a digit.
+MAY = {"iban": "[A-Z]{2}[0-9]{2}", "secret": r"[=:][\x20]{0,2}[\x22']?[A-Za-z0-9+/_-]{16}"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 BASE_SCORE, CONTEXT, CONTEXT_STEP = 0.6, 40, 0.2
+#: What a match of an added kind must score: without any context it stays, with only a lowering word it goes.
+ADDED_THRESHOLD = 0.6
 #: Texts are cut to pieces of so many code points, so that what is near a match is found without reading up to there.
 PIECE = 1000
 
@@ -68,6 +76,9 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "iban":
         joined = F.regexp_replace(m, " ", "")
         return F.length(joined).between(15, 34) & (mod97(joined) == 1)
+    if kind == "secret":
+        value = F.regexp_extract(m, "[A-Za-z0-9+/_-]+$", 0)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -96,7 +107,8 @@ def _checked(kind: str, rank: int, up: str, down: str) -> Column:
         score = F.lit(BASE_SCORE) + F.when(_near(around, up), 2 * CONTEXT_STEP).otherwise(0.0) - F.when(_near(around, down), CONTEXT_STEP).otherwise(0.0)
         return F.struct(*[x[c].alias(c) for c in ("start", "rank", "kind", "end", "value")], score.alias("score"))
 
-    return F.transform(F.filter(F.transform(F.col(f"_{kind}"), span), lambda x: _valid(kind, x["value"])), scored)
+    found = F.transform(F.filter(F.transform(F.col(f"_{kind}"), span), lambda x: _valid(kind, x["value"])), scored)
+    return found if kind in BASE_KINDS else F.filter(found, lambda x: x["score"] >= ADDED_THRESHOLD)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +118,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     step = docs.select(id_col, text.alias("_text"))
     for kind, (pattern, needs, _, _) in KINDS.items():
         none = F.array().cast("array<string>")
-        may = F.contains(F.col("_text"), F.lit(needs)) if needs else F.col("_text").rlike("[0-9]")
+        may = F.contains(F.col("_text"), F.lit(needs)) if needs else F.col("_text").rlike(MAY.get(kind, "[0-9]"))
         step = step.withColumn(f"_{kind}", F.when(may, F.regexp_extract_all("_text", F.lit(pattern), 0)).otherwise(none))
     spans = []
     for kind, (pattern, *_) in KINDS.items():
@@ -134,7 +146,11 @@ def written(findings: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, the SHA-256 of the base spans, and all spans as text."""
+    """Counts of the base kinds and of all spans, the SHA-256 of the base spans, all spans as text and their scores."""
     of = lambda *kinds: F.filter("findings", lambda x: x["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select(id_col, *counts, F.sha2(written(of(*BASE_KINDS)).cast("binary"), 256).alias("base_sha256"), written(F.col("findings")).alias("spans"))
+    scores = F.array_join(F.transform("findings", lambda x: F.round(x["score"], 1).cast("string")), ",")
+    return found.select(
+        id_col, *counts, F.size("findings").cast("long").alias("n_spans"), F.sha2(written(of(*BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("findings")).alias("spans"), scores.alias("scores"),
+    )

@@ -68,6 +68,19 @@ def test_account_numbers_need_their_checksum(found):
     assert [x.value for x in found[0][9].findings if x.kind == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
 
 
+def test_added_kinds_need_a_score_and_base_kinds_dont(spark):
+    texts = [
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "API_KEY: abcdef0123456789ABCDEF.", "token = abcdefghijklmnopqrstuvwxyz", "token = 0123456789012345678",
+        "serial GB82 WEST 1234 5698 7654 32", "bank serial GB82 WEST 1234 5698 7654 32", "version 1.2.3.4", "tokenizer = a1b2c3d4e5f6a7b8c9d0",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores, r.n_spans) for r in pii.digest(pii.find(docs)).collect()}
+    assert got[0] == ("secret:0:49", "1.0", 1) and got[1][0] == "secret:0:31"
+    assert got[2] == got[3] == got[4] == got[7] == ("", "", 0)
+    assert got[5] == ("iban:12:39", "0.8", 1)
+    assert got[6] == ("ip:8:15", "0.4", 1)
+
+
 def test_context_moves_the_score(spark):
     docs = spark.createDataFrame([(1, "call +1 234 567 8901"), (2, "xx +1 234 567 8901"), (3, "sum +1 234 567 8901")], "doc_id long, text string")
     s = {r.doc_id: r.findings[0].score for r in pii.find(docs).collect()}
