@@ -200,10 +200,20 @@ def dominant_speaker(turns: DataFrame, group: str, speaker: str) -> DataFrame:
     return n.groupBy(group).agg(F.max(F.struct("n", speaker)).alias("m")).select(group, F.col(f"m.{speaker}").alias("speaker"), F.col("m.n").alias("turns"))
 
 
-def speakers_by_midpoint(found: DataFrame, turns: DataFrame, by: str) -> DataFrame:
-    """Words (by, word_id, start, end) with the speaker of the first turn (by, turn, start, end, speaker) around their
-    middle."""
-    t = turns.select(F.col(by).alias("_by"), "turn", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_speaker"))
-    mid = (F.col("start") + F.col("end")) / 2
-    hit = found.join(t, (F.col(by) == F.col("_by")) & mid.between(F.col("_s"), F.col("_e")), "left")
+#: Seconds of a bucket of the midpoint join.
+BUCKET_S = 60.0
+
+
+def speakers_by_midpoint(found: DataFrame, turns: DataFrame, by: str, bucket_s: float = BUCKET_S) -> DataFrame:
+    """(by, word_id, speaker): words (by, word_id, start, end) with the speaker of the first turn (by, turn, start, end,
+    speaker) around their middle, both ends included; null if there is none.
+
+    Time is cut into buckets; a turn stands in each bucket that it reaches into and a word in that of its middle, so they
+    meet by file and bucket, and no file's words meet all its turns. A turn without an end, or that ends before it starts,
+    holds no word; so does one with a null file."""
+    whole = turns.where(F.col(by).isNotNull() & (F.col("end") >= F.col("start")) & (F.col("end") < float("inf")) & (F.col("start") > float("-inf")))
+    span = F.sequence(F.floor(F.col("start") / bucket_s), F.floor(F.col("end") / bucket_s))
+    t = whole.select(F.col(by).alias("_by"), F.explode(span).alias("_bucket"), "turn", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("speaker").alias("_speaker"))
+    w = found.select(by, "word_id", ((F.col("start") + F.col("end")) / 2).alias("_mid")).withColumn("_at", F.floor(F.col("_mid") / bucket_s))
+    hit = w.join(t, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_bucket")) & F.col("_mid").between(F.col("_s"), F.col("_e")), "left")
     return hit.groupBy(by, "word_id").agg(F.min_by("_speaker", "turn").alias("speaker"))

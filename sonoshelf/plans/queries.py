@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sonoshelf.functions import text as tx
 from sonoshelf.operators import chunking, findings, library, overlay, pipeline, search, vector
+from sonoshelf.operators import text_index as text_index_of
+from sonoshelf.operators import vector_index as vector_index_of
+from sonoshelf.sources.scratch import new_folder
 
 from . import roles
 from .catalogue import query, table
@@ -44,6 +47,15 @@ def ann_buckets(spark, sf):
     return search.near_by_buckets(v, vector.vector_of(v, "vec_id", 0), id_col="vec_id").select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
+@query()
+def vector_index(spark, sf):
+    """The ten nearest of every fiftieth vector by a stored index of all, which a test holds against brute force."""
+    v, at = table(spark, sf, "embeddings"), new_folder(spark, "vector-index")
+    vector_index_of.build(v, at, id_col="vec_id")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index_of.Search(spark, at, asked).hits().select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
 @query("""WITH hit AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' AND text ILIKE '%that%')
 SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN hit h ON c.conv_id = h.conv_id AND c.turn BETWEEN greatest(0, h.turn - 1) AND h.turn + 1""")
 def chunk_context(spark, sf):
@@ -61,6 +73,18 @@ def text_topk(spark, sf):
     return search.by_text(rows, q, limit=20, id_col="conv_id", order="turn").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH q AS (SELECT text AS q FROM benchmark WHERE item_id = 3), s AS (
+  SELECT doc_id, source, text ILIKE '%' || q.q || '%' AS held, {_similarity("text", "q.q")} AS s FROM documents, q)
+SELECT doc_id, source, round(s, 6) AS similarity FROM s WHERE s >= 0.3 OR held ORDER BY s DESC, source, doc_id LIMIT 50""")
+def text_index(spark, sf):
+    """What the trigram scan finds, by a stored index of all documents."""
+    d, at = table(spark, sf, "documents"), new_folder(spark, "text-index")
+    q = table(spark, sf, "benchmark").where("item_id = 3").first().text
+    text_index_of.build(d, at, id_col="doc_id")
+    hits = text_index_of.by_index(text_index_of.TextIndex(spark, at), d, q, limit=50, id_col="doc_id", order="source")
+    return hits.select("doc_id", "source", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""SELECT doc_id, source FROM documents WHERE source = 'src3' AND lower(text) LIKE '%th%er%' ORDER BY doc_id""")
 def text_ilike_scoped(spark, sf):
     d = table(spark, sf, "documents").where("source = 'src3'")
@@ -574,6 +598,22 @@ def _spoken(spark, sf):
     return c.groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "pos", w.alias("w")))).alias("x")).select("id", F.transform("x", lambda x: x["w"]).alias("words"))
 
 
+# words of a conversation, three a second; turns stand for speakers' turns of 20 s that overlap by 2 s
+@query("""WITH w AS (SELECT conv_id, turn * 1000 + pos AS word_id, turn * 60.0 + pos * 0.3 AS s, turn * 60.0 + pos * 0.3 + 0.25 AS e FROM (
+  SELECT conv_id, turn, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> '') AS x FROM conversations))),
+t AS (SELECT conv_id, turn * 3 + k AS turn, role || k AS speaker, turn * 60.0 + k * 18.0 AS s, turn * 60.0 + k * 18.0 + 20.0 AS e FROM conversations, range(3) r(k))
+SELECT w.conv_id, w.word_id::BIGINT AS word_id, arg_min(t.speaker, t.turn) AS speaker FROM w LEFT JOIN t ON w.conv_id = t.conv_id AND (w.s + w.e) / 2 BETWEEN t.s AND t.e GROUP BY 1, 2""")
+def midpoint_speakers(spark, sf):
+    c = table(spark, sf, "conversations")
+    w = c.select("conv_id", "turn", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
+    start = F.col("turn") * 60.0 + F.col("pos") * 0.3
+    w = w.select("conv_id", (F.col("turn") * 1000 + F.col("pos")).alias("word_id"), start.alias("start"), (start + 0.25).alias("end"))
+    t = c.select("conv_id", "role", "turn", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    begins = F.col("turn") * 60.0 + F.col("k") * 18.0
+    t = t.select("conv_id", (F.col("turn") * 3 + F.col("k")).alias("turn"), begins.alias("start"), (begins + 20.0).alias("end"), F.concat("role", "k").alias("speaker"))
+    return chunking.speakers_by_midpoint(w, t, "conv_id")
+
+
 @query()
 def words_to_segments(spark, sf):
     s = _spoken(spark, sf).select("id", F.explode(chunking.to_segments("words")).alias("s"))

@@ -73,16 +73,6 @@ def test_vectors(spark):
         vector.vector_of(df, "id", 99)
 
 
-def test_recall_of_bucket_search(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    hit = 0
-    for i in range(0, 20):
-        q = vector.vector_of(v, "vec_id", i)
-        exact = {r.vec_id for r in search.similar(v, q, id_col="vec_id").collect()}
-        hit += len(exact & {r.vec_id for r in search.near_by_buckets(v, q, bits=6, flips=3, id_col="vec_id").collect()})
-    assert hit / 200 >= 0.8
-
-
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall_of_the_registered_bucket_search(spark, sf):
     v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
