@@ -164,7 +164,7 @@ class Search:
         # as many rows as queries and the short list have, which are bounded
         asked = F.broadcast(spark.createDataFrame([(k, i, self.queries[k].tolist()) for k, i in enumerate(self.ids)] if self.probed else [], f"q int, query_id {self.kind}, asked array<double>"))
         short = self.short_list().select("q", F.col("list").alias("of"), F.col("id").alias("short_id"))
-        near = self.rows.select("list", "id", "vector").join(short, (F.col("list") == F.col("of")) & (F.col("id") == F.col("short_id"))).join(asked, "q")
+        near = self.rows.select("list", "id", "vector").join(short, (F.col("list") == F.col("of")) & F.col("id").eqNullSafe(F.col("short_id"))).join(asked, "q")
         scored = near.select("query_id", "id", (dot(F.col("vector"), F.col("asked")) / norm(F.col("vector"))).alias("similarity"))
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.limit).select("query_id", "rank", "id", "similarity")
