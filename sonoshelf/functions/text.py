@@ -122,15 +122,23 @@ def sequence_order(sequence: Column) -> list[Column]:
 
 
 def snippet(text: Column, query: str | None, most: int = 200) -> Column:
-    """At most about most characters of a text, around the first match of query or from its start, cut at spaces."""
-    at = F.locate(query.lower(), F.lower(text)) if query else F.lit(0)
-    start = F.greatest(F.lit(1), F.when(at > 0, at - (most - len(query or "")) // 2).otherwise(1))
-    start = F.least(start, F.greatest(F.lit(1), F.length(text) - most + 1))
-    cut = F.substring(text, start, F.lit(most))
-    cut = F.when(start > 1, F.regexp_replace(cut, r"^\S*\s+", "")).otherwise(cut)
-    cut = F.when(start + most <= F.length(text), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
-    shown = F.concat(F.when(start > 1, "…").otherwise(""), F.trim(cut), F.when(start + most <= F.length(text), "…").otherwise(""))
-    return F.when(F.length(text) <= most, text).otherwise(shown)
+    """A text of over most characters as at most so many: around the first match of query, in any case, or from its start.
+
+    The window is cut at spaces (no other white space): its start moves behind the next space, its end to the last one.
+    Where nothing is left, such as in one long word, it is the text's first characters. An ellipsis stands for what is cut
+    at either end, and white space there goes."""
+    n, asked = F.length(text), query or ""
+    at = F.locate(asked.lower(), F.lower(text)) if asked else F.lit(0)
+    centred = F.when(at > 0, F.greatest(F.lit(0), at - 1 - int((most - len(asked)) / 2))).otherwise(0)
+    start = F.least(centred, n - most)
+    whole = F.substring(text, start + 1, F.lit(most))
+    ahead = F.when(start > 0, F.regexp_replace(whole, r"^[^ ]* *", "")).otherwise(whole)
+    cut_end = start + most < n
+    kept = F.when(cut_end, F.regexp_replace(ahead, r"[^ ]*\z", "")).otherwise(ahead)
+    nothing = kept == ""
+    trimmed = F.regexp_replace(F.when(nothing, F.substring(text, 1, most)).otherwise(kept), r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z", "")
+    shown = F.concat(F.when((start > 0) & ~nothing, "…").otherwise(""), trimmed, F.when(cut_end | nothing, "…").otherwise(""))
+    return F.when(n <= most, text).otherwise(shown)
 
 
 def around(text: Column, start: Column, end: Column, each: int = 220) -> Column:
@@ -145,28 +153,6 @@ def outer_json(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-def duration_label(seconds: Column) -> Column:
-    """HhMMmSSs of rounded seconds."""
-    s = F.round(seconds).cast("long")
-    return F.format_string("%dh%02dm%02ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
-
-
-def bytes_label(n: Column) -> Column:
-    """A size in units of 1024."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_number(n / 1024**k, 1), F.lit(f" {unit}"))).otherwise(out)
-    return out
-
-
-def count_label(n: Column) -> Column:
-    """A count as 1.2K, 3.4M, ..."""
-    out = n.cast("string")
-    for k, unit in enumerate("KMBT", 1):
-        out = F.when(n >= 1000**k, F.concat(F.format_number(n / 1000**k, 1), F.lit(unit))).otherwise(out)
-    return out
-
-
 def sanitised(text: Column, most: int = 200) -> Column:
     """Control characters as spaces, trimmed and cut."""
     return F.substring(F.trim(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")), 1, most)

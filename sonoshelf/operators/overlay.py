@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import hashlib
 from itertools import pairwise
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -116,17 +117,83 @@ def orphans(chunks: DataFrame, patches: DataFrame) -> DataFrame:
     return patches.join(chunks, ["transcript_id", "chunk_index"], "left_anti")
 
 
-def plan_edit(text: str, span: str, correction: str, sha256: str, others: list[dict], offset: int | None = None, occurrence: int | None = None) -> tuple[str | None, str]:
-    """(preview, status) of a direct edit, which must not touch a correction that would be replayed."""
-    if not span or not correction.strip() or span == correction:
-        return None, "empty"
-    if sha256 != text_hash(text):
+class EditPlan(NamedTuple):
+    """A direct edit that may be recorded: where it is, which of the equal spans it takes, the hash of the text it was
+    made for, the text after it and all other corrections, and which of those don't fit and why."""
+
+    start: int
+    end: int
+    occurrence: int
+    sha256: str
+    preview: str
+    stale: dict
+
+
+def plan_edit(text: str, edit: dict, existing: list[dict]) -> tuple[EditPlan | None, str]:
+    """(plan, status) of a direct edit of a pristine text, beside the corrections that are accepted or applied there.
+
+    edit is a patch as in replay, with an id of its own; without sha256 it is for the text as it is. It must not touch a
+    correction that is replayed on this text; one that no longer fits occupies no place. The plan's place and occurrence
+    are where the span was found, not where it was said to be."""
+    digest = text_hash(text)
+    if not (edit["correction"] or "").strip():
+        return None, "empty correction"
+    if edit.get("sha256") and edit["sha256"] != digest:
         return None, "text changed"
-    at, status = locate(text, span, offset, occurrence)
+    span = edit["span"] or ""
+    at, status = locate(text, span, _number(edit.get("offset")), _number(edit.get("occurrence")))
     if at is None:
         return None, status
-    for p in others:
-        start, _ = locate(text, p["span"], _number(p["offset"]), _number(p["occurrence"]))
-        if start is not None and start < at + len(span) and at < start + len(p["span"]):
-            return None, "overlap"
-    return text[:at] + correction + text[at + len(span) :], "ok"
+    _, applied, stale = replay(text, existing)
+    for p in existing:
+        if p["id"] in applied:
+            start, _ = locate(text, p["span"], _number(p["offset"]), _number(p["occurrence"]))
+            if start < at + len(span) and at < start + len(p["span"]):
+                return None, "overlap"
+    preview, _, _ = replay(text, [*existing, {"offset": None, "occurrence": None, **edit, "sha256": digest}])
+    return EditPlan(at, at + len(span), occurrences(text, span).index(at), digest, preview, stale), "ok"
+
+
+EDIT = "id long, transcript_id long, chunk_index int, status string, start int, occurrence int, chunk_text_sha256 string, preview string, stale map<long,string>"
+# Fixed values of a correction that a person made.
+MANUAL = {"confidence": 1.0, "model": "manual", "origin": "human", "patch_state": "accepted"}
+
+
+def planned_edits(edits: DataFrame, chunks: DataFrame, patches: DataFrame) -> DataFrame:
+    """(id, transcript_id, chunk_index, status, start, occurrence, chunk_text_sha256, preview, stale) of each edit (id,
+    transcript_id, chunk_index, span, correction, sha256, offset, occurrence) as plan_edit has it, on chunks
+    (transcript_id, chunk_index, text, and source_text where a text was corrected) under their patches. Each edit is
+    planned for itself; one without a chunk has the status "chunk gone"."""
+    by = ["transcript_id", "chunk_index"]
+    lists = patches.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*PATCH))).alias("patches"))
+    asked = edits.select(*by, F.struct(*PATCH).alias("edit"))
+    rows = asked.join(chunks.select(*by, F.coalesce("source_text", "text").alias("text")), by, "left").join(lists, by, "left")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                e = dict(r["edit"])
+                plan, status = (None, "chunk gone") if r["text"] is None else plan_edit(r["text"], e, [dict(p) for p in r["patches"]] if r["patches"] is not None else [])
+                told = (plan.start, plan.occurrence, plan.sha256, plan.preview, plan.stale) if plan else (None,) * 5
+                out.append((e["id"], r["transcript_id"], r["chunk_index"], status, *told))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDIT.split(", ")]).astype({"start": "Int32", "occurrence": "Int32"})
+
+    return rows.mapInPandas(run, EDIT)
+
+
+def record_edits(findings: DataFrame, planned: DataFrame, edits: DataFrame, chunks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(findings, chunks) after the planned edits are recorded as accepted corrections by hand, and their chunks flagged
+    to be embedded again. An edit is recorded only if its chunk's pristine text still has the hash it was planned for;
+    findings' columns that an edit has no value for are null."""
+    by = ["transcript_id", "chunk_index"]
+    now = chunks.select(*by, F.sha2(F.coalesce("source_text", "text").cast("binary"), 256).alias("chunk_text_sha256")).distinct()
+    good = planned.where("status = 'ok'").join(now, [*by, "chunk_text_sha256"], "left_semi")
+    rows = good.join(edits.select("id", "span", "correction", *[c for c in ("issue_type", "decided_by") if c in edits.columns]), "id")
+    values = {c: F.lit(v) for c, v in MANUAL.items()} | {"id": F.col("id"), "transcript_id": F.col("transcript_id"), "chunk_index": F.col("chunk_index"), "original_text": F.col("span"), "suggested_correction": F.col("correction")}
+    values |= {"anchor_offset": F.col("start"), "anchor_occurrence": F.col("occurrence"), "chunk_text_sha256": F.col("chunk_text_sha256"), "decided_at": as_of}
+    values |= {c: F.nullif(F.col(c), F.lit("")) for c in ("issue_type", "decided_by") if c in edits.columns}
+    new = rows.select(*[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in findings.dtypes])
+    flagged = chunks.join(good.select(*by).distinct().withColumn("_edited", F.lit(True)), by, "left")
+    flagged = flagged.withColumn("embedding_stale", F.coalesce("_edited", "embedding_stale")).select(chunks.columns)
+    return findings.unionByName(new), flagged

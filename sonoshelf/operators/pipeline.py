@@ -50,10 +50,35 @@ def stale_transcripts(transcripts: DataFrame, chunks: DataFrame, limit: int = 32
     return transcripts.join(chunks.where("embedding_stale"), "id", "left_semi").orderBy("created_at", "id").limit(limit)
 
 
+# Fixed values of the audit log: who writes, and (stage, event, reason) of what it tells.
+MONITOR, WORKER = "go-monitor", "go-worker"
+RETRY = ("requeue", "retry", "stale claim recovered (heartbeat expired); retryable")
+DISCARD = ("fail", "error", "max attempts reached after stale-claim recovery; discarded")
+OPERATOR = ("requeue", "retry", "operator requeue (re-transcribe)")
+NO_ATTEMPTS = "max attempts reached"
+
+
+def audit_event(told: tuple[str, str, str], host: str) -> list[Column]:
+    return [F.lit(v).alias(c) for c, v in zip(("stage", "event", "reason"), told, strict=True)] + [F.lit(host).alias("runner_host")]
+
+
 def recovered(jobs: DataFrame, as_of: Column, timeout_s: int = 1800) -> DataFrame:
-    """jobs with the status after stale claims are let go: pending again, or failed after three attempts; with stale."""
+    """jobs after stale claims are let go, with stale: those with attempts left are pending, without claimed_by and
+    claimed_at; the others failed, with an error."""
     stale = (F.col("status") == "claimed") & (seconds(as_of, F.col("updated_at")) > timeout_s)
-    return jobs.withColumn("stale", stale).withColumn("status", F.when(stale, F.when(F.col("attempts") < MOST_ATTEMPTS, "pending").otherwise("failed")).otherwise(F.col("status")))
+    free, spent = F.col("stale") & (F.col("attempts") < MOST_ATTEMPTS), F.col("stale") & (F.col("attempts") >= MOST_ATTEMPTS)
+    out = jobs.withColumn("stale", F.coalesce(stale, F.lit(False)))
+    changed = {"status": F.when(free, "pending").when(spent, "failed").otherwise(F.col("status"))}
+    changed |= {c: F.when(~free, F.col(c)) for c in ("claimed_by", "claimed_at") if c in jobs.columns}
+    changed["error"] = F.when(spent, NO_ATTEMPTS).otherwise(F.col("error") if "error" in jobs.columns else F.lit(None))
+    return out.withColumns(changed)
+
+
+def recovery_events(after: DataFrame) -> DataFrame:
+    """The audit events of what recovered has let go: (job_id, file_path, attempt, stage, event, reason, runner_host)."""
+    told = lambda what: [F.col("id").alias("job_id"), "file_path", F.col("attempts").alias("attempt"), *audit_event(what, WORKER)]
+    gone = after.where("stale")
+    return gone.where(F.col("status") == "pending").select(*told(RETRY)).unionByName(gone.where(F.col("status") == "failed").select(*told(DISCARD)))
 
 
 def claimable(jobs: DataFrame, n: int = 1) -> DataFrame:
@@ -153,12 +178,14 @@ def completed_at(history: DataFrame) -> DataFrame:
     return turned.groupBy("job").agg(F.when(last == "done", F.max(F.when((F.col("status") == "done") & ~F.col("before").eqNullSafe(F.lit("done")), F.col("at")))).alias("completed_at"))
 
 
-def requeued(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics: DataFrame, chosen: Column) -> dict[str, DataFrame]:
-    """The four tables after the chosen jobs are set back: their transcripts, chunks and metrics go."""
+def requeued(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics: DataFrame, chosen: Column, as_of: Column) -> dict[str, DataFrame]:
+    """The four tables after the chosen jobs are set back at as_of: they are pending without attempts, error or claim, and
+    their transcripts, chunks and metrics go."""
     ids = jobs.where(chosen).select("id")
     gone = transcripts.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left_semi")
-    hit = jobs.join(ids.withColumn("_hit", F.lit(True)), "id", "left")
-    reset = hit.withColumn("status", F.when(F.col("_hit"), "pending").otherwise(F.col("status"))).withColumn("attempts", F.when(F.col("_hit"), 0).otherwise(F.col("attempts"))).drop("_hit")
+    hit = jobs.join(ids.distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    values = {"status": F.lit("pending"), "attempts": F.lit(0), "error": F.lit(None), "claimed_by": F.lit(None), "claimed_at": F.lit(None), "updated_at": as_of}
+    reset = hit.withColumns({c: F.when(F.col("_hit"), v.cast(t)).otherwise(F.col(c)) for c, t in jobs.dtypes if (v := values.get(c)) is not None})
     return {
         "jobs": reset.select(jobs.columns),
         "transcripts": transcripts.join(gone.select("id"), "id", "left_anti"),
@@ -167,9 +194,9 @@ def requeued(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics
     }
 
 
-def requeue_events(jobs: DataFrame, chosen: Column, reason: str) -> DataFrame:
-    """The audit events of setting the chosen jobs back: (job_id, stage, reason, file_path)."""
-    return jobs.where(chosen).select(F.col("id").alias("job_id"), F.lit("requeued").alias("stage"), F.lit(reason).alias("reason"), "file_path")
+def requeue_events(jobs: DataFrame, chosen: Column) -> DataFrame:
+    """The audit events of setting the chosen jobs back: (job_id, file_path, stage, event, reason, runner_host)."""
+    return jobs.where(chosen).select(F.col("id").alias("job_id"), "file_path", *audit_event(OPERATOR, MONITOR))
 
 
 def by_path(part: str) -> Column:

@@ -43,9 +43,10 @@ def snapshot(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics
     judged = metrics.where("eval_finished_at is not null").select(F.col("job_id").alias("id")).distinct()
     has_chunks = transcripts.select(F.col("id").alias("transcript_id"), "job_id").join(chunks.select("transcript_id").distinct(), "transcript_id", "left_semi").select(F.col("job_id").alias("id")).distinct()
     buckets = pipeline.pipeline_buckets(jobs, judged, has_chunks).select("transcribed", "evaluated", "embedded")
-    done = transcripts.join(jobs.where("status = 'done'").select(F.col("id").alias("job_id")), "job_id", "left_semi").select("id", "job_id")
-    left = done.join(chunks.select(F.col("transcript_id").alias("id")), "id", "left_anti")
-    backlog = left.join(judged.select(F.col("id").alias("job_id"), F.lit(True).alias("_judged")), "job_id", "left").agg(F.count("*").alias("embed_backlog"), F.count_if(F.col("_judged").isNull()).alias("eval_backlog"))
+    # every transcript without chunks is to be embedded; of those, the done and unjudged ones are to be judged
+    left = transcripts.select("id", "job_id").join(chunks.select(F.col("transcript_id").alias("id")), "id", "left_anti")
+    open_ = jobs.where("status = 'done'").join(judged, "id", "left_anti").select(F.col("id").alias("job_id"), F.lit(True).alias("_open"))
+    backlog = left.join(open_, "job_id", "left").agg(F.count("*").alias("embed_backlog"), F.count_if(F.col("_open")).alias("eval_backlog"))
     covered = jobs.where("status = 'done'").join(judged, "id", "left_semi").agg(F.count("*").alias("eval_coverage_done"))
     books = jobs.groupBy(book_dir(F.col("file_path")).alias("d")).agg(F.count_if(F.col("status") != "done").alias("open")).agg(F.count("*").alias("books_total"), F.count_if(F.col("open") == 0).alias("books_fully_done"))
     last = log.where(F.col("stage") == stage).agg(F.max_by(F.coalesce(F.get_json_object("detail", "$.reason"), "reason"), "created_at").alias("_reason"))

@@ -356,9 +356,10 @@ def eta_rates_median(spark, sf):
 
 
 @query(f"""WITH {JOBS}, s AS (SELECT *, status = 'claimed' AND epoch_us(TIMESTAMP '2000-01-01 00:00:00') - epoch_us(updated_at) > 1800000000 AS stale FROM jobs)
-SELECT id, stale, CASE WHEN NOT stale THEN status WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS status FROM s""")
+SELECT id, stale, CASE WHEN NOT stale THEN status WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS status,
+  CASE WHEN NOT (stale AND attempts < 3) THEN claimed_by END AS claimed_by, CASE WHEN stale AND attempts >= 3 THEN 'max attempts reached' END AS error, updated_at FROM s""")
 def stale_claim_recovery(spark, sf):
-    return pipeline.recovered(roles.jobs(spark, sf), F.lit("2000-01-01 00:00:00").cast("timestamp")).select("id", "stale", "status")
+    return pipeline.recovered(roles.jobs(spark, sf), F.lit("2000-01-01 00:00:00").cast("timestamp")).select("id", "stale", "status", "claimed_by", "error", "updated_at")
 
 
 @query(f"WITH {JOBS} SELECT id, created_at FROM jobs WHERE status = 'pending' AND attempts < 3 ORDER BY created_at, id LIMIT 5")
@@ -432,7 +433,7 @@ def requeue_by_dir(spark, sf):
     m = roles.metrics(spark, sf)
     t = m.select(F.col("job_id").alias("id"), "job_id")
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("transcript_id"))
-    return pipeline.requeued(j, t, c, m, tx.book_dir(F.col("file_path")).isin("lib/b3", "lib/b4"))["jobs"].select("id", "status", "attempts")
+    return pipeline.requeued(j, t, c, m, tx.book_dir(F.col("file_path")).isin("lib/b3", "lib/b4"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))["jobs"].select("id", "status", "attempts")
 
 
 @query(f"""WITH {JOBS}, {EVENTS}, tok(t) AS (VALUES ('host2'), ('T1'), ('gpu')), l AS (SELECT 'runner-' || claimed_by AS name, max(updated_at) AS last_seen FROM jobs WHERE status = 'claimed' GROUP BY 1),
@@ -644,6 +645,22 @@ def overlay_replay(spark, sf):
     return out.select("transcript_id", "chunk_index", "text", F.size("applied").alias("applied"), F.size(F.map_keys("stale")).alias("stale"))
 
 
+@query()
+def manual_edits(spark, sf):
+    """The first word of each turn edited by hand, beside corrections of every seventh word, some of them for another text:
+    recorded where they fit."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").cast("int").alias("chunk_index"), "text", F.lit(None).cast("string").alias("source_text"), F.lit(False).alias("embedding_stale"))
+    w = c.select("transcript_id", "chunk_index", "text", F.posexplode(tx.words(F.col("text"))).alias("pos", "span"))
+    number = F.col("transcript_id") * 100_000 + F.col("chunk_index") * 1000 + F.col("pos")
+    w = w.select("transcript_id", "chunk_index", "pos", number.alias("id"), "span", F.upper("span").alias("correction"), F.when(number % 3 > 0, F.sha2("text", 256)).otherwise("old").alias("sha256"), F.lit(None).cast("int").alias("offset"), F.lit(0).alias("occurrence"))
+    edits, others = w.where("pos = 0").withColumn("sha256", F.lit(None).cast("string")).drop("pos"), w.where("pos % 7 = 0 and id % 2 = 0").drop("pos")
+    plan = overlay.planned_edits(edits.withColumn("occurrence", F.when(F.col("id") % 5 > 0, 0)), c, others)
+    found = spark.createDataFrame([], "id long, transcript_id long, chunk_index int, original_text string, suggested_correction string, anchor_offset int, anchor_occurrence int, model string, origin string, patch_state string, confidence double")
+    recorded, flagged = overlay.record_edits(found, plan, edits, c, F.lit("2000-01-01").cast("timestamp"))
+    out = plan.join(recorded.select("id", "original_text", "suggested_correction", "anchor_offset", "model", "origin", "patch_state", "confidence"), "id", "left")
+    return out.join(flagged.select("transcript_id", "chunk_index", "embedding_stale"), ["transcript_id", "chunk_index"]).select("id", "status", "start", "occurrence", "preview", F.size(F.map_keys("stale")).alias("stale"), "original_text", "suggested_correction", "anchor_offset", "model", "origin", "patch_state", "confidence", "embedding_stale")
+
+
 @query("""WITH l AS (SELECT event_id, user_id, ts, lag(ts) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, user_id, sum(CASE WHEN epoch_us(ts) - epoch_us(b) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM l""")
 def gap_sessions(spark, sf):

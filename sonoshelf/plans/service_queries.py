@@ -51,7 +51,7 @@ snap AS (SELECT n.*, n.runner_id IS NOT NULL AS runner_active, (SELECT count(*)
   (SELECT count(*) FROM jobs WHERE status = 'done' AND id NOT IN (SELECT id FROM ev) AND id NOT IN (SELECT transcript_id FROM k)) AS transcribed,
   (SELECT count(*) FROM jobs WHERE status = 'done' AND id IN (SELECT id FROM ev) AND id NOT IN (SELECT transcript_id FROM k)) AS evaluated,
   (SELECT count(*) FROM jobs WHERE status = 'done' AND id IN (SELECT transcript_id FROM k)) AS embedded,
-  (SELECT count(*) FROM tr JOIN jobs USING (id) WHERE status = 'done' AND id NOT IN (SELECT transcript_id FROM k)) AS embed_backlog,
+  (SELECT count(*) FROM tr WHERE id NOT IN (SELECT transcript_id FROM k)) AS embed_backlog,
   (SELECT count(*) FROM tr JOIN jobs USING (id) WHERE status = 'done' AND id NOT IN (SELECT transcript_id FROM k) AND id NOT IN (SELECT id FROM ev)) AS eval_backlog,
   (SELECT count(*) FROM jobs WHERE status = 'done' AND id IN (SELECT id FROM ev)) AS eval_coverage_done, (SELECT count(*) FROM d) AS books_total, (SELECT count(*) FROM d WHERE o = 0) AS books_fully_done,
   true AS runner_available_known, (SELECT arg_max(coalesce(detail->>'$.reason', 'busy'), created_at) FROM log WHERE stage = 'view') = 'idle' AS runner_available,
@@ -267,13 +267,34 @@ def findings_places(spark, sf):
     return g.select("original_text", "suggested_correction", "issue_type", "findings", "confidence", F.size("places").alias("places"), F.col("places")[0]["transcript_id"].alias("first_place"))
 
 
-@query(f"""WITH {JOBS}, p AS (SELECT 'path' AS why, id FROM jobs WHERE contains(lower(file_path), 'b1/t0000') UNION ALL SELECT 'failed', id FROM jobs WHERE status = 'failed' UNION ALL SELECT 'id', id FROM jobs WHERE id = 7 UNION ALL SELECT 'directory', id FROM jobs WHERE book_dir = 'lib/b3')
-SELECT why AS reason, id AS job_id, 'requeued' AS stage FROM p""")
+@query(f"""WITH {JOBS}, p AS (SELECT 'path' AS chosen, id, file_path FROM jobs WHERE contains(lower(file_path), 'b1/t0000') UNION ALL SELECT 'failed', id, file_path FROM jobs WHERE status = 'failed' UNION ALL SELECT 'id', id, file_path FROM jobs WHERE id = 7 UNION ALL SELECT 'directory', id, file_path FROM jobs WHERE book_dir = 'lib/b3')
+SELECT chosen, id AS job_id, file_path, 'requeue' AS stage, 'retry' AS event, 'operator requeue (re-transcribe)' AS reason, 'go-monitor' AS runner_host FROM p""")
 def requeue_events(spark, sf):
     j = roles.jobs(spark, sf)
     chosen = {"path": pipeline.by_path("B1/t0000"), "failed": pipeline.by_status(), "id": F.col("id") == 7, "directory": pipeline.by_directory("lib/b3")}
-    rows = [pipeline.requeue_events(j, c, why) for why, c in chosen.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).select("reason", "job_id", "stage")
+    rows = [pipeline.requeue_events(j, c).withColumn("chosen", F.lit(why)) for why, c in chosen.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def _as_of():
+    return F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+
+
+@query(f"""WITH {JOBS} SELECT id, CASE WHEN g THEN 'pending' ELSE status END AS status, CASE WHEN g THEN 0 ELSE attempts END AS attempts, CASE WHEN NOT g THEN claimed_by END AS claimed_by,
+  CASE WHEN NOT g THEN error END AS error, CASE WHEN g THEN TIMESTAMP '2000-01-01' ELSE updated_at END AS updated_at
+FROM (SELECT *, status = 'failed' OR attempts = 2 AS g, CASE WHEN status = 'failed' THEN 'error ' || id END AS error FROM jobs)""")
+def requeued_jobs(spark, sf):
+    j, m = roles.jobs(spark, sf).withColumn("error", F.when(F.col("status") == "failed", F.concat(F.lit("error "), "id"))), roles.metrics(spark, sf)
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("transcript_id"))
+    out = pipeline.requeued(j, m.select(F.col("job_id").alias("id"), "job_id"), c, m, pipeline.by_status() | (F.col("attempts") == 2), _as_of())
+    return out["jobs"].select("id", "status", "attempts", "claimed_by", "error", "updated_at")
+
+
+@query(f"""WITH {JOBS}, s AS (SELECT *, attempts < 3 AS free FROM jobs WHERE status = 'claimed' AND epoch_us(TIMESTAMP '2000-01-01 00:00:00') - epoch_us(updated_at) > 1800000000)
+SELECT id AS job_id, file_path, attempts AS attempt, CASE WHEN free THEN 'requeue' ELSE 'fail' END AS stage, CASE WHEN free THEN 'retry' ELSE 'error' END AS event,
+  CASE WHEN free THEN 'stale claim recovered (heartbeat expired); retryable' ELSE 'max attempts reached after stale-claim recovery; discarded' END AS reason, 'go-worker' AS runner_host FROM s""")
+def recovery_events(spark, sf):
+    return pipeline.recovery_events(pipeline.recovered(roles.jobs(spark, sf), _as_of()))
 
 
 def _requeue_sql(what: str) -> str:
@@ -285,7 +306,7 @@ def _requeue_sql(what: str) -> str:
 def requeue_all_tables(spark, sf):
     j, m = roles.jobs(spark, sf), roles.metrics(spark, sf)
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("transcript_id"))
-    out = pipeline.requeued(j, m.select(F.col("job_id").alias("id"), "job_id"), c, m, pipeline.by_status() | (F.col("attempts") == 2))
+    out = pipeline.requeued(j, m.select(F.col("job_id").alias("id"), "job_id"), c, m, pipeline.by_status() | (F.col("attempts") == 2), _as_of())
     n = lambda name, df: df.agg(F.count("*").alias(name))
     return n("pending", out["jobs"].where("status = 'pending'")).crossJoin(n("transcripts", out["transcripts"])).crossJoin(n("chunks", out["chunks"])).crossJoin(n("metrics", out["metrics"]))
 

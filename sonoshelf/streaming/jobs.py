@@ -74,17 +74,19 @@ def every(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
-def gated(control: Callable[[SparkSession], DataFrame], handle: Callable[[DataFrame, int], None], phase: str | None = None) -> Callable[[DataFrame, int], None]:
-    """handle behind a gate: a batch that comes while the control row (paused, phase) is paused, or in another phase, is
-    an error, so that it isn't marked as done and comes again."""
-
-    def run(df: DataFrame, batch: int) -> None:
-        row = control(df.sparkSession).limit(1).collect()
-        if row and (row[0].paused or (phase is not None and row[0].phase != phase)):
-            raise RuntimeError(f"batch {batch} waits: paused is {row[0].paused}, the phase {row[0].phase}")
-        handle(df, batch)
-
-    return run
+def is_open(control: DataFrame, phase: str | None = None) -> bool:
+    """Whether the control row (paused, phase), if there is one, lets work of a phase begin."""
+    row = control.limit(1).collect()
+    return not row or not (row[0].paused or (phase is not None and row[0].phase != phase))
+
+
+def drain_while_open(control: Callable[[], DataFrame], stream: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], checkpoint: str, phase: str | None = None) -> bool:
+    """One run over what is there if the gate is open; whether it ran. The gate is read before a run begins, so that a
+    pause starts nothing and fails nothing, and what is held back comes with the next run."""
+    if not is_open(control(), phase):
+        return False
+    drain(stream(), handle, checkpoint)
+    return True
 
 
 def best_effort(side: Callable[[DataFrame, int], None], told: Callable[[Exception], None] = lambda e: None) -> Callable[[DataFrame, int], None]:

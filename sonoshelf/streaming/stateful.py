@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from sonoshelf.operators.pipeline import MOST_ATTEMPTS
+from sonoshelf.operators.pipeline import DISCARD, MOST_ATTEMPTS, NO_ATTEMPTS, RETRY, WORKER
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
@@ -113,10 +113,6 @@ def claims(events: DataFrame) -> DataFrame:
 # ---- claims that went stale
 
 RECOVERED = "job_id long, file_path string, attempts int, beat long, claimed_by string"
-# Fixed values of the audit log.
-RETRY = ("requeue", "retry", "stale claim recovered (heartbeat expired); retryable")
-DISCARD = ("fail", "error", "max attempts reached after stale-claim recovery; discarded")
-ERROR, HOST = "max attempts reached", "go-worker"
 
 
 class Stale(StatefulProcessor):
@@ -195,12 +191,12 @@ def told(found: DataFrame) -> DataFrame:
     free = F.col("attempts") < MOST_ATTEMPTS
     none = F.lit(None).cast("string")
     job = F.struct(
-        F.lit("job").alias("record"), F.when(free, "pending").otherwise("failed").alias("status"), F.when(~free, F.col("claimed_by")).alias("claimed_by"), F.when(~free, ERROR).alias("error"),
+        F.lit("job").alias("record"), F.when(free, "pending").otherwise("failed").alias("status"), F.when(~free, F.col("claimed_by")).alias("claimed_by"), F.when(~free, NO_ATTEMPTS).alias("error"),
         none.alias("stage"), none.alias("event"), none.alias("runner_host"), none.alias("reason"),
     )
     of = lambda k: F.when(free, RETRY[k]).otherwise(DISCARD[k])
     event = F.struct(
-        F.lit("event").alias("record"), none.alias("status"), none.alias("claimed_by"), none.alias("error"), of(0).alias("stage"), of(1).alias("event"), F.lit(HOST).alias("runner_host"), of(2).alias("reason")
+        F.lit("event").alias("record"), none.alias("status"), none.alias("claimed_by"), none.alias("error"), of(0).alias("stage"), of(1).alias("event"), F.lit(WORKER).alias("runner_host"), of(2).alias("reason")
     )
     return found.withColumn("r", F.explode(F.array(job, event))).select("job_id", "file_path", "attempts", F.timestamp_micros("beat").alias("updated_at"), "r.*")
 

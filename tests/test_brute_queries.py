@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sonoshelf.functions import text as tx
 from sonoshelf.operators import evaluation
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +119,41 @@ def test_overlay_replay(spark):
     assert {(r.transcript_id, r.chunk_index): (r.text, r.applied, r.stale) for r in rows(spark, "overlay_replay")} == want
 
 
+def test_manual_edits(spark):
+    want = {}
+    for r in pd.read_parquet(f"{SF}/conversations.parquet").itertuples():
+        words = [x for x in re.split(r"\s+", r.text) if x]
+        number = [r.conv_id * 100_000 + r.turn * 1000 + k for k in range(len(words))]
+        if not words:
+            continue
+        other = [(n, w) for k, (n, w) in enumerate(zip(number, words, strict=True)) if k % 7 == 0 and n % 2 == 0]
+        span, places = words[0], [m.start() for m in re.finditer(f"(?={re.escape(words[0])})", r.text)]
+        if number[0] % 5 == 0 and len(places) > 1:
+            want[number[0]] = ("ambiguous",)
+            continue
+        fits = sorted(((r.text.find(w), r.text.find(w) + len(w), str(n), w) for n, w in other if n % 3), key=lambda x: (-x[0], -x[1], x[2]))
+        bad = {y for a, b in zip(fits, fits[1:], strict=False) if b[1] > a[0] for y in (a, b)}
+        fits, gone = [x for x in fits if x not in bad], len(bad) + sum(n % 3 == 0 for n, _ in other)
+        at, end = places[0], places[0] + len(span)
+        if any(s < end and at < e for s, e, *_ in fits):
+            want[number[0]] = ("overlap",)
+            continue
+        text = r.text
+        again = sorted([*[(r.text.find(w), r.text.find(w) + len(w), str(n), w) for n, w in other if n % 3], (at, end, str(number[0]), span)], key=lambda x: (-x[0], -x[1], x[2]))
+        bad = {y for a, b in zip(again, again[1:], strict=False) if b[1] > a[0] for y in (a, b)}
+        for s, e, _, w in again:
+            if (s, e, _, w) not in bad:
+                text = text[:s] + w.upper() + text[e:]
+        want[number[0]] = ("ok", at, 0, text, gone)
+    got = rows(spark, "manual_edits")
+    assert {r.id: (r.status, r.start, r.occurrence, r.preview, r.stale) if r.status == "ok" else (r.status,) for r in got} == want
+    assert {x[0] for x in want.values()} == {"ok", "overlap", "ambiguous"}
+    for r in got:
+        done = r.status == "ok"
+        assert r.embedding_stale == done and (r.model, r.origin, r.patch_state, r.confidence) == (("manual", "human", "accepted", 1.0) if done else (None,) * 4) and r.anchor_offset == r.start
+        assert not done or r.suggested_correction == r.original_text.upper()
+
+
 def test_token_chunks(spark):
     want = {}
     for r in pd.read_parquet(f"{SF}/conversations.parquet").itertuples():
@@ -126,14 +163,43 @@ def test_token_chunks(spark):
     assert {(r.conv_id, r.turn, r.pos): r.chunk for r in rows(spark, "token_chunks")} == want
 
 
-def test_snippets(spark):
-    texts = dict(pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].itertuples(index=False, name=None))
-    for r in rows(spark, "snippet_text"):
-        text, bare = texts[r.doc_id], r.snippet.removeprefix("…").removesuffix("…")
-        assert bare in text and len(bare) <= 120 or bare == text
-        assert r.snippet.startswith("…") <= (not text.startswith(bare)) or text.count(bare) > 1
-        if len(text) > 120:
-            assert r.snippet != text and ("the" in bare.lower() or "the" not in text.lower() or len(bare) < 120)
+SPACE = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def cut(text, query, most):
+    if len(text) <= most:
+        return text
+    at = text.lower().find(query.lower()) if query else -1
+    start = max(0, at - int((most - len(query)) / 2)) if at >= 0 else 0
+    start = min(start, len(text) - most)
+    end = start + most
+    if start:
+        while start < end and text[start] != " ":
+            start += 1
+        while start < end and text[start] == " ":
+            start += 1
+    if end < len(text):
+        while end > start and text[end - 1] != " ":
+            end -= 1
+    if start >= end:
+        start, end = 0, most
+    return "…" * (start > 0) + text[start:end].strip(SPACE) + "…" * (end < len(text))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_snippets(spark, sf):
+    at = f"/root/testdata/{sf}"
+    want = {i: cut(t, "the", 120) for i, t in pd.read_parquet(f"{at}/documents.parquet")[["doc_id", "text"]].itertuples(index=False, name=None)}
+    assert {r.doc_id: r.snippet for r in entry.queries()["snippet_text"](spark, at).collect()} == want
+
+
+@pytest.mark.parametrize("query", ["the", "", None, "B", "end", "x" * 50, "zz"])
+@pytest.mark.parametrize("most", [1, 10, 40])
+def test_odd_snippets(spark, query, most):
+    texts = ["", "a", "the end", "x" * 200, "x" * 60 + " the " + "y" * 60, "a\nb\tc " * 20, "  lead" * 10, "word " * 30 + "end", "\u3000wide\u3000" * 12, " " * 100, "é the ü " * 20, "x" * 35 + "\nthe " + "b c " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.s for r in df.select("i", tx.snippet(F.col("t"), query, most).alias("s")).collect()}
+    assert got == {i: cut(t, query or "", most) for i, t in enumerate(texts)}
 
 
 def test_eval_sample(spark):

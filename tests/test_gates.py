@@ -32,16 +32,14 @@ def stream(spark, tmp_path, rows):
     return spark.readStream.schema("transcript_id long").parquet(at)
 
 
-def test_a_paused_batch_comes_again(spark, tmp_path):
+def test_a_pause_starts_nothing_and_fails_nothing(spark, tmp_path):
     s, got = stream(spark, tmp_path, [(1,), (2,)]), []
-    control = {"row": (True, "idle")}
-    gate = jobs.gated(lambda sp: sp.createDataFrame([control["row"]], "paused boolean, phase string"), lambda df, batch: got.extend(r.transcript_id for r in df.collect()), "transcribe")
-    for row in ((True, "transcribe"), (False, "analyze")):
-        control["row"] = row
-        with pytest.raises(Exception, match="waits"):
-            jobs.drain(s, gate, str(tmp_path / "c"))
-    control["row"] = (False, "transcribe")
-    jobs.drain(s, gate, str(tmp_path / "c"))
+    take = lambda df, batch: got.extend(r.transcript_id for r in df.collect())
+    for row, runs in (((True, "transcribe"), False), ((False, "analyze"), False), ((False, "transcribe"), True)):
+        control = spark.createDataFrame([row], "paused boolean, phase string")
+        assert jobs.drain_while_open(lambda c=control: c, lambda: s, take, str(tmp_path / "c"), "transcribe") == runs
+        assert sorted(got) == ([1, 2] if runs else [])
+    assert jobs.drain_while_open(lambda: control.limit(0), lambda: s, take, str(tmp_path / "c"))  # without a row it is open
     assert sorted(got) == [1, 2]
 
 

@@ -59,11 +59,36 @@ def test_every_patch_is_applied_or_stale(text, raw):
     assert sorted([*applied, *stale]) == list(range(len(raw)))
 
 
-def test_plan_edit():
-    sha = overlay.text_hash(TEXT)
-    assert overlay.plan_edit(TEXT, "sat", "lay", sha, []) == ("the fox ran and the fox lay", "ok")
-    assert overlay.plan_edit(TEXT, "sat", "lay", "x", [])[1] == "text changed"
-    assert overlay.plan_edit(TEXT, "fox sat", "lay", sha, [patch(1, "sat", "s", TEXT)])[1] == "overlap"
+def edit(span, correction, text=TEXT, **more):
+    return patch("new", span, correction, text, sha="") | more
+
+
+def test_an_edit_is_planned_where_its_span_is():
+    text = "the signal came from auto sebo in the jungle"
+    plan, status = overlay.plan_edit(text, edit("auto sebo", "Arecibo"), [])
+    assert status == "ok" and plan == (21, 30, 0, overlay.text_hash(text), "the signal came from Arecibo in the jungle", {})
+    told = edit("fox", "dog", offset=3, occurrence=1)  # no fox at 3, so the second one
+    assert overlay.plan_edit(TEXT, told, [])[0][:3] == (20, 23, 1)
+    assert overlay.plan_edit("naïve 你好 fox", edit("fox", "dog"), [])[0][:2] == (9, 12)
+
+
+@pytest.mark.parametrize(("new", "status"), [
+    (edit("fox", "  "), "empty correction"), (edit("fox", None), "empty correction"), (edit("fox", "dog"), "ambiguous"), (edit("cat", "dog"), "not found"), (edit("", "dog"), "not found"),
+    (edit("sat", "lay", sha256="another"), "text changed"), (edit("fox sat", "lay"), "overlap"), (edit("sat", "sat"), "ok"), (edit("ran", "hid"), "ok"),
+])
+def test_what_an_edit_must_clear(new, status):
+    assert overlay.plan_edit(TEXT, new, [patch(1, "sat", "sits", TEXT)] if status == "overlap" else [])[1] == status
+
+
+def test_an_edit_is_seen_beside_the_other_corrections():
+    text = "a b c d"
+    plan, status = overlay.plan_edit(text, edit("a", "X"), [patch(1, "d", "D!", text)])
+    assert (status, plan.preview, plan.stale) == ("ok", "X b c D!", {})
+    old, gone, apart = patch(1, "a b", "!", text, sha="old"), patch(2, "zz", "y", text), patch(3, "c", "C", text)
+    plan, status = overlay.plan_edit(text, edit("a", "X"), [old, gone, apart])
+    assert (status, plan.preview, plan.stale) == ("ok", "X b C d", {1: "text changed", 2: "not found"})  # what doesn't fit occupies nothing
+    pair = [patch(1, "a b", "!", text), patch(2, "b c", "?", text)]
+    assert overlay.plan_edit(text, edit("b", "B"), pair)[1] == "ok"  # both overlap each other, so neither is replayed
 
 
 def word(w, s, e, speaker=None):

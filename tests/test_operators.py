@@ -124,8 +124,12 @@ def test_disjoint_batches_and_recovery(spark):
     a, b = pipeline.next_batch(t, e, c, want_evaluated=True), pipeline.next_batch(t, e, c, want_evaluated=False)
     assert a.intersect(b).count() == 0 and a.union(b).count() == 6
     jobs = spark.sql("select 1 id, 'claimed' status, timestamp'2024-01-01 00:00:00' updated_at, 1 attempts union all select 2, 'claimed', timestamp'2024-01-01 00:00:00', 3 union all select 3, 'claimed', timestamp'2024-01-01 00:50:00', 0")
-    got = {r.id: (r.status, r.stale) for r in pipeline.recovered(jobs, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()}
-    assert got == {1: ("pending", True), 2: ("failed", True), 3: ("claimed", False)}
+    jobs = jobs.withColumns({"claimed_by": F.lit("r"), "claimed_at": F.col("updated_at"), "file_path": F.concat(F.lit("p"), "id")})
+    after = pipeline.recovered(jobs, F.lit("2024-01-01 01:00:00").cast("timestamp"))
+    got = {r.id: (r.status, r.stale, r.claimed_by, r.claimed_at is None, r.error) for r in after.collect()}
+    assert got == {1: ("pending", True, None, True, None), 2: ("failed", True, "r", False, "max attempts reached"), 3: ("claimed", False, "r", False, None)}
+    told = {r.job_id: (r.file_path, r.attempt, r.stage, r.event, r.runner_host) for r in pipeline.recovery_events(after).collect()}
+    assert told == {1: ("p1", 1, "requeue", "retry", "go-worker"), 2: ("p2", 3, "fail", "error", "go-worker")}
 
 
 @pytest.mark.parametrize(("rates", "share", "want"), [((7.0, 0.5, 1.0), 0.5, (850.0, 1700.0)), ((7.0, 0.5, 1.0), 0.0, (850.0, None)), ((7.0, 0.5, 1.0), 2.5, (850.0, 850.0)), ((float("nan"), float("inf"), 1.0), 1.0, (100.0, 100.0))])
