@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonoshelf.operators import retention
 from sonoshelf.sources.scratch import new_folder
 from sonoshelf.streaming import stateful
+from sonoshelf.streaming.jobs import drain
+from sonoshelf.streaming.keyed_table import KeyedTable
 
 from . import roles
 from .catalogue import query, table
@@ -73,3 +76,55 @@ def settled_files(spark, sf):
     looks = e.select(F.concat(F.lit("lib/u"), "user_id", F.lit(".mp3")).alias("path"), F.col("ts").cast("timestamp").alias("at"), F.length("event_type").cast("long").alias("length"))
     out = stateful.replayed(spark, looks, new_folder(spark, "looks"), lambda s: stateful.settled_files(s, 3, 5 * 86_400, "0 seconds"))
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""WITH a AS (SELECT doc_id AS transcript_id, doc_id AS id, text, source AS speaker, doc_id % 2 = 0 AS embedding_stale FROM documents),
+n AS (SELECT doc_id AS transcript_id, 'new: ' || text AS text, CASE WHEN doc_id % 2 = 1 THEN 'told' END AS speaker FROM documents WHERE doc_id % 3 = 0)
+SELECT a.transcript_id, a.id, coalesce(n.text, a.text) AS text, coalesce(n.speaker, a.speaker) AS speaker, a.embedding_stale FROM a LEFT JOIN n USING (transcript_id)
+UNION ALL SELECT 100000000 + item_id, item_id, text, NULL, false FROM benchmark""")
+def merged_chunks(spark, sf):
+    """Documents as chunks; a stream of new texts for a third of them, and of new chunks, comes twice."""
+    d, at = table(spark, sf, "documents"), new_folder(spark, "keyed")
+    chunks = KeyedTable(at, ["transcript_id"], replace=["text"], keep_if_null=["speaker"], buckets=16)
+    chunks.create(d.select(F.col("doc_id").alias("transcript_id"), F.col("doc_id").alias("id"), "text", F.col("source").alias("speaker"), (F.col("doc_id") % 2 == 0).alias("embedding_stale")))
+    new = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("transcript_id"), (-F.col("doc_id")).alias("id"), F.concat(F.lit("new: "), "text").alias("text"), F.when(F.col("doc_id") % 2 == 1, "told").alias("speaker"), F.lit(False).alias("embedding_stale"))
+    fresh = table(spark, sf, "benchmark").select((F.col("item_id") + 100_000_000).alias("transcript_id"), F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("embedding_stale"))
+    log = new.unionByName(fresh)
+    log.write.parquet(f"{at}/log")
+    for run in ("first", "again"):
+        drain(spark.readStream.schema(log.schema).parquet(f"{at}/log"), chunks.sink(), f"{at}/{run}")
+    return chunks.read(spark)
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id, user_id FROM events, m WHERE NOT (event_type IN ('view', 'click') AND ts < now - INTERVAL 10 DAY)""")
+def retention_days(spark, sf):
+    """The log by day, from which heartbeats of over ten days before its end are pruned."""
+    e, at = table(spark, sf, "events"), new_folder(spark, "retention")
+    stage = F.when(F.col("event_type") == "view", "heartbeat").when(F.col("event_type") == "click", "runner_availability").otherwise(F.col("event_type"))
+    rows = e.select("event_id", "user_id", stage.alias("stage"), F.col("ts").alias("created_at"))
+    retention.append_events(rows, at)
+    schema = "event_id long, user_id long, stage string, created_at timestamp_ntz"
+    retention.prune(spark, at, schema, e.agg(F.max("ts")).first()[0], 10)
+    return retention.read_events(spark, at, schema).select("event_id", "user_id")
+
+
+@query("""WITH RECURSIVE o AS (SELECT 's' || (user_id % 20) AS service, ts, event_id, (event_id * 7) % 4 AS pending, (event_id * 5) % 3 AS claimed, (event_id * 11) % 3 AS run_limit, (event_id * 13) % 3 AS embed, (event_id * 17) % 2 AS eval,
+    row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT service, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, 'ready' AS phase, 0::BIGINT AS batch, NULL::VARCHAR AS told FROM (SELECT DISTINCT service FROM o)
+  UNION ALL SELECT service, n, ts, CASE WHEN next = 'ready' AND (idle OR batch >= 30) THEN 'off' WHEN next = 'ready' THEN 'transcribe' ELSE next END,
+    batch + CASE WHEN next = 'ready' AND NOT idle AND batch < 30 THEN 1 ELSE 0 END,
+    CASE WHEN next = 'ready' THEN CASE WHEN idle OR batch >= 30 THEN 'idle' ELSE 'transcribe' END WHEN next = 'analyze' AND phase = 'transcribe' THEN 'analyze' END
+  FROM (SELECT o.service, o.n, o.ts, s.phase, s.batch, o.pending = 0 AND o.claimed = 0 AS idle, CASE WHEN s.phase = 'transcribe' AND o.claimed = 0 AND (o.run_limit = 0 OR o.pending = 0) THEN 'analyze'
+    WHEN s.phase = 'analyze' AND o.embed = 0 AND o.eval = 0 THEN 'ready' ELSE s.phase END AS next FROM s JOIN o ON o.service = s.service AND o.n = s.n + 1))
+SELECT service, ts AS "at", told AS phase, CASE told WHEN 'idle' THEN 0 WHEN 'transcribe' THEN 5 END::BIGINT AS run_limit, batch FROM s WHERE told IS NOT NULL""")
+def phase_log(spark, sf):
+    """Events as status rows of twenty services that work in batches, thirty at most."""
+    e = table(spark, sf, "events")
+    n = lambda k, m: (F.col("event_id") * k) % m
+    service = F.concat(F.lit("s"), F.col("user_id") % 20).alias("service")
+    none = F.lit(None).cast("string").alias("phase")
+    status = e.select(service, F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.lit("status").alias("kind"), none, n(7, 4).alias("pending"), n(5, 3).alias("claimed"), n(11, 3).alias("run_limit"), n(13, 3).alias("embed_backlog"), n(17, 2).alias("eval_backlog"))
+    start = e.select(service).distinct().select("service", F.lit("2000-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), none)
+    log = status.unionByName(start, allowMissingColumns=True)
+    out = stateful.replayed(spark, log, new_folder(spark, "phases"), lambda s: stateful.phases(s, 5, 30, judges_first=True))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))

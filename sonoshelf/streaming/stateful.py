@@ -279,3 +279,81 @@ def replayed(spark: SparkSession, log: DataFrame, folder: str, job, files_per_ba
     q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+# ---- phases
+
+PHASES = "service string, at long, phase string, run_limit long, batch long"
+
+
+class Phases(StatefulProcessor):
+    """A service's phase and the number of its batch."""
+
+    def __init__(self, size: int, most: int, judges_first: bool):
+        self.size, self.most, self.judges_first = size, most, judges_first
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("phase", "phase string, batch long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        phase, batch = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        for r in ordered(rows, ["at", "seq"]):
+            before = phase
+            if r.kind == "start":
+                # a run that died while it analysed goes on there, without budget
+                phase, batch = ("analyze", 0) if r.phase == "analyze" else ("ready", 0)
+                if phase == "analyze":
+                    out.append((key[0], r.at, "analyze", 0, batch))
+            elif r.kind == "stop" and phase is not None:
+                phase = None
+            elif r.kind == "status":
+                if phase == "transcribe" and r.claimed == 0 and (r.run_limit == 0 or r.pending == 0):
+                    phase = "analyze"
+                    out.append((key[0], r.at, phase, UNLIMITED, batch))
+                elif phase == "analyze" and r.embed_backlog == 0 and (not self.judges_first or r.eval_backlog == 0):
+                    phase = "ready"
+                if phase == "ready":
+                    if (r.pending == 0 and r.claimed == 0) or (self.most and batch >= self.most):
+                        phase = None
+                    else:
+                        phase, batch = "transcribe", batch + 1
+                        out.append((key[0], r.at, phase, self.size, batch))
+            if phase is None and before is not None:
+                out.append((key[0], r.at, "idle", 0, batch))  # not without limit, which would let all run
+        self.state.update((phase, batch))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PHASES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def phases(log: DataFrame, size: int, most_batches: int = 0, judges_first: bool = False) -> DataFrame:
+    """(service, at, phase, run_limit, batch): what a service's control row is set to, as its log tells.
+
+    log: service, at, seq, kind; kind start (with the phase that was found), kind status (pending, claimed, run_limit,
+    embed_backlog, eval_backlog) and kind stop. From its start, work goes in batches: transcribe with a budget of size
+    runs, until nothing is claimed and the budget is spent or nothing waits; then analyze (the budget stays as it is),
+    until nothing is left to embed (nor to judge, if that comes first); then the next batch, or idle without budget, once
+    nothing waits or most_batches are done (0: any number). A stop is idle at once. A run that finds analyze goes on with
+    it. Each status row makes one step at most, but that the end of a batch and the start of the next are one."""
+    use_rocksdb(log.sparkSession)
+    number = lambda c, v=0: F.coalesce(F.col(c).cast("long"), F.lit(v)).alias(c)
+    rows = log.select("service", micros("at"), "seq", "kind", "phase", number("pending"), number("claimed"), number("run_limit", UNLIMITED), number("embed_backlog"), number("eval_backlog"))
+    out = rows.groupBy("service").transformWithStateInPandas(Phases(size, most_batches, judges_first), PHASES, "Append", "None")
+    return out.withColumn("at", F.timestamp_micros("at")).withColumn("run_limit", F.when(F.col("run_limit") != UNLIMITED, F.col("run_limit")))
+
+
+PHASE_NAMES = ("idle", "transcribe", "analyze")
+
+
+def control_row(settings: DataFrame) -> DataFrame:
+    """(service, paused, run_limit, phase, runner_version) from the log of settings (service, at, seq, name, value): the
+    last value of each name, an empty or null one being none. Unset, it is not paused, without limit and idle; a phase
+    that isn't one is an error."""
+    at = F.struct("at", "seq")
+    last = lambda name: F.max_by(F.struct(F.nullif("value", F.lit("")).alias("v")), F.when(F.col("name") == name, at))["v"]
+    row = settings.groupBy("service").agg(*[last(n).alias(n) for n in ("paused", "run_limit", "phase", "runner_version")])
+    phase = F.coalesce("phase", F.lit("idle"))
+    checked = F.when(phase.isin(*PHASE_NAMES), phase).otherwise(F.raise_error(F.concat(F.lit("no such phase: "), phase)))
+    return row.select("service", F.coalesce(F.col("paused").cast("boolean"), F.lit(False)).alias("paused"), F.col("run_limit").cast("long").alias("run_limit"), checked.alias("phase"), "runner_version")
