@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoshelf.functions.text import book_dir
+
 #: Buckets of the summary, and the floor below which findings aren't kept.
 HIGH, MEDIUM, FLOOR, PER_CHUNK = 0.8, 0.4, 0.6, 5
 # What a correction may become, by what it is, and the kinds of issues.
@@ -144,6 +146,28 @@ def mark_outcomes(found: DataFrame, outcomes: DataFrame) -> DataFrame:
     return out.withColumn("patch_state", F.when(F.col("_legal"), F.col("_state")).otherwise(F.col("patch_state"))).drop("_of", "_told", "_state", "_legal")
 
 
+def mark_applied(found: DataFrame, applied: DataFrame, as_of: Column) -> DataFrame:
+    """found after corrections were applied (id, before, after: the span's text then and now): in the state applied, with
+    both texts and the time, where the state may turn so or is so already; a repeat of an id gives the greatest texts."""
+    told = applied.groupBy(F.col("id").alias("_of")).agg(F.max(F.struct("before", "after")).alias("_told"))
+    out = found.join(told, F.col("id") == F.col("_of"), "left")
+    legal = F.col("_told").isNotNull() & F.col("patch_state").isin([*sources_of("applied"), "applied"])
+    old = lambda c, kind: F.col(c) if c in found.columns else F.lit(None).cast(kind)
+    values = {"patch_state": (F.lit("applied"), "string"), "applied_at": (as_of, "timestamp"), "applied_before_text": (F.col("_told.before"), "string"), "applied_after_text": (F.col("_told.after"), "string")}
+    changed = {c: F.when(legal, v).otherwise(old(c, kind)) for c, (v, kind) in values.items()}
+    return out.withColumns(changed).drop("_of", "_told")
+
+
+def listed(found: DataFrame, jobs: DataFrame, directory: str | None = None, limit: int | None = None) -> DataFrame:
+    """The surest findings (file_path, confidence, start_sec, and others), of one book or of all, with their job and book:
+    at most limit, 200 by default. They are cut before jobs are joined; a book's prefix reaches the reader."""
+    rows = found if directory is None else found.where(F.col("file_path").startswith(directory.rstrip("/") + "/"))
+    first = [F.desc("confidence"), F.col("file_path"), F.col("start_sec"), F.col("id")]
+    top = rows.orderBy(*first).limit(limit if limit and limit > 0 else 200)
+    of = jobs.select(F.col("id").alias("job_id"), F.col("file_path").alias("_path"))
+    return top.join(of, F.col("file_path") == F.col("_path"), "left").withColumn("book_dir", book_dir(F.col("file_path"))).drop("_path").orderBy(*first)
+
+
 def flagged(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """chunks with embedding_stale set where a finding of theirs has changed (transcript_id, chunk_index)."""
     changed = found.select("transcript_id", "chunk_index").distinct().withColumn("_hit", F.lit(True))

@@ -58,8 +58,9 @@ def snapshot(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, metrics
     return out
 
 
-def status_json(snap: DataFrame, evaluates: bool = True) -> DataFrame:
-    """The snapshot with the lifecycle as one JSON object."""
+def status_json(snap: DataFrame, evaluates: bool = True, forecast: DataFrame | None = None, servers: DataFrame | None = None) -> DataFrame:
+    """The snapshot with the lifecycle as one JSON object, and with the forecast (a row) and the servers (a row a machine:
+    server, state, detail, jobs and others), by name, where they are given."""
     stats = snap.select(
         "*", F.lit(evaluates).alias("evaluates"), F.lit(False).alias("probed"), F.lit(False).alias("probe_active"),
     ).withColumn("_bucket", F.col("evaluated")).withColumn("evaluated", F.col("eval_coverage_done"))
@@ -67,7 +68,15 @@ def status_json(snap: DataFrame, evaluates: bool = True) -> DataFrame:
     queue = F.struct("pending", "claimed", "done", "failed", "total_jobs", "done_last_hour")
     life = F.struct("phase", "activity", F.round("coverage", 6).alias("coverage"), "fully_done", "committed", "embed_backlog", "eval_backlog")
     stages = F.struct("transcribed", F.col("_bucket").alias("evaluated"), "embedded")
-    return cycle.select(F.to_json(F.struct(queue.alias("queue"), life.alias("lifecycle"), stages.alias("stages"), F.struct("books_total", "books_fully_done", "total_words").alias("library"))).alias("status"))
+    parts = [queue.alias("queue"), life.alias("lifecycle"), stages.alias("stages"), F.struct("books_total", "books_fully_done", "total_words").alias("library")]
+    if forecast is not None:
+        cycle = cycle.crossJoin(forecast.select(F.struct("chunks", "work", "calendar", F.col("calendar").isNotNull().alias("calendar_known"), "evaluated", "has_work").alias("_eta")))  # a row
+        parts.append(F.col("_eta").alias("eta"))
+    if servers is not None:
+        machines = servers.agg(F.sort_array(F.collect_list(F.struct("server", *[c for c in servers.columns if c != "server"]))).alias("_servers"))
+        cycle = cycle.crossJoin(machines)  # a row
+        parts.append(F.col("_servers").alias("servers"))
+    return cycle.select(F.to_json(F.struct(*parts)).alias("status"))
 
 
 def feeds(jobs: DataFrame, metrics: DataFrame, meta: DataFrame) -> DataFrame:
@@ -153,3 +162,23 @@ def search_context(hits: DataFrame, tracks: DataFrame, books: DataFrame) -> Data
     out = out.withColumn("book_sec", second).withColumn("_c", library.chapter_at(F.col("chapters"), second))
     out = out.withColumn("chapter_index", F.col("_c.index")).withColumn("chapter_title", F.col("_c.title")).withColumn("total_chapters", F.coalesce(F.size(F.nullif("chapters", F.array())), F.lit(0)))
     return out.withColumn("percent", (F.col("similarity") * 100).cast("int")).drop("_c", "chapters", "offset")
+
+
+def track_detail(jobs: DataFrame, transcripts: DataFrame, metrics: DataFrame, chunks: DataFrame, job_id) -> DataFrame:
+    """One row, if there is such a job: its columns, has_transcript with the transcript's and the run's columns, the
+    seconds it took, and its chunks in order (chunk_index, start_sec, end_sec, speaker, chars, stale).
+
+    jobs (id, ...), transcripts (id, job_id, ...), metrics (job_id, transcribe_started_at, transcribe_finished_at, ...),
+    chunks (transcript_id, chunk_index, start_sec, end_sec, speaker, text, embedding_stale). Every table is narrowed to
+    the job before it is joined, and the id reaches the readers of three of them."""
+    job = jobs.where(F.col("id") == job_id)
+    t = transcripts.where(F.col("job_id") == job_id).select(F.col("id").alias("transcript_id"), *[c for c in transcripts.columns if c not in ("id", *jobs.columns)])
+    m = metrics.where(F.col("job_id") == job_id)
+    took = pipeline.seconds(F.col("transcribe_finished_at"), F.col("transcribe_started_at"))
+    m = m.withColumn("processing_seconds", took).select("job_id", *[c for c in [*metrics.columns, "processing_seconds"] if c not in (*jobs.columns, *t.columns)])
+    row = F.struct("chunk_index", "start_sec", "end_sec", "speaker", F.char_length("text").alias("chars"), F.col("embedding_stale").alias("stale"))
+    own = chunks.join(F.broadcast(t.select("transcript_id").distinct()), "transcript_id", "left_semi")  # a transcript a job
+    lists = own.groupBy("transcript_id").agg(F.sort_array(F.collect_list(row)).alias("chunks"))
+    told = t.join(lists, "transcript_id", "left").withColumn("has_transcript", F.lit(True))
+    out = job.join(told, F.col("id") == F.col("job_id"), "left").drop("job_id").join(m, F.col("id") == F.col("job_id"), "left").drop("job_id")
+    return out.withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False))).withColumn("chunks", F.coalesce("chunks", F.array().cast(dict(lists.dtypes)["chunks"])))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,26 @@ def gauges(jobs: DataFrame, transcripts: DataFrame, chunks: DataFrame, log: Data
     done = transcripts.join(chunks.select("id").distinct().withColumn("_c", F.lit(1)), "id", "left").agg(F.coalesce(F.avg(F.coalesce("_c", F.lit(0))), F.lit(0.0)).alias("value"))
     hosts = log.groupBy("runner_host").agg(F.count("*").cast("double").alias("value")).select(F.lit("events"), "runner_host", "value")
     return status.union(left).union(done.select(F.lit("coverage"), F.lit(""), "value")).union(hosts)
+
+
+def monitor(snap: DataFrame, forecast: DataFrame, as_of: Column, alive_at: Column | None = None) -> DataFrame:
+    """(metric, label, value) from the status snapshot and the forecast, a row each: what a monitor alerts on.
+
+    A gauge that can't be told has no row: the age of the last activity without any, of the runner's sign of life before
+    the first, availability before it is known, work without work and calendar time without availability. Ages aren't
+    below 0."""
+    age = lambda c: F.greatest(F.lit(0.0), (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))) / 1e6)
+    one = lambda metric, value, label="": F.struct(F.lit(metric).alias("metric"), F.lit(label).alias("label"), value.cast("double").alias("value"))
+    told = [one("jobs", F.col(s), s) for s in ("pending", "claimed", "done", "failed")] + [
+        one("embed_backlog", F.col("embed_backlog")), one("eval_coverage", F.when(F.col("done") > 0, F.col("eval_coverage_done") / F.col("done")).otherwise(0.0)),
+        one("heartbeat_age_seconds", age(F.col("latest_activity"))), one("alive_age_seconds", age(alive_at if alive_at is not None else F.lit(None).cast("timestamp"))),
+        one("runner_available", F.when(F.col("runner_available_known"), F.col("runner_available").cast("int"))),
+        one("eta_work_seconds", F.when(F.col("has_work"), F.col("work"))), one("eta_calendar_seconds", F.col("calendar")),
+    ]
+    known = {"heartbeat_age_seconds": F.col("latest_activity"), "alive_age_seconds": alive_at if alive_at is not None else F.lit(None)}
+    rows = snap.crossJoin(forecast.select("work", "calendar", "has_work"))  # a row each
+    rows = rows.select(F.explode(F.array(*told)).alias("g"), *[v.isNotNull().alias(f"_{k}") for k, v in known.items()])
+    seen = F.col("g.value").isNotNull()
+    for k in known:
+        seen = seen & ((F.col("g.metric") != k) | F.col(f"_{k}"))
+    return rows.where(seen).select("g.*")
