@@ -10,9 +10,7 @@ tokens of their own, so no token reaches over the edge of a text. Inside roles a
 Turns are grouped by conversation. Since the marks cut the text before anything else is looked at, a conversation of
 over ``TURNS`` turns is dealt by the places of its turns into parts of so many, which are rendered and encoded each
 for itself with the same ids; no task gathers more turns than that. Digests over such a conversation need all its text
-in order, so its parts stream, sorted, through one task that holds a part at a time. Rendered texts of over
-``PIECE_CHARS`` are encoded in pieces, cut before a space between two word characters, where the vocabulary's rules
-always cut.
+in order, so its parts stream, sorted, through one task that holds a part at a time.
 
 Defined results: null roles and texts count as empty; a null conversation is one of its own; null turns come first;
 rows that repeat a turn are turns of their own, ordered by role, then by the SHA-256 of their text; conversations
@@ -25,18 +23,22 @@ import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunk_ids import KnownIds
 from .common import BROADCAST_ROWS, bound_batches, held_by_worker, stow
 from .positions import numbered
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLES = ("assistant",)
-TURNS, PIECE_CHARS = 256, 1 << 20
+#: Turns of a part, and strings kept from batch to batch.
+TURNS, KNOWN = 256, 300_000
 ROW = "conv_id {conv}, part long, parts long, text string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 DIGEST = "conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TURN = re.compile(rf"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(END)}", re.DOTALL)
@@ -77,7 +79,10 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 class Encoder:
-    """A byte-level vocabulary with the marks as tokens of their own."""
+    """A byte-level vocabulary with the marks as tokens of their own.
+
+    Texts are cut before a space between two word characters, where the vocabulary's rules always cut, and each different
+    string of a batch is encoded once; those met last are kept. A token's offsets follow from the bytes that it stands for."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -87,20 +92,31 @@ class Encoder:
         if self.tokenizer.normalizer is not None or any(not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("needs a vocabulary that takes texts as they are, with added tokens that begin with <|")
         self.tokenizer.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, SEP, END)])
-        self.cut = re.compile(r"(?<=\w) (?=\w)")
-
-    def encode(self, text: str, piece_chars: int = PIECE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and ends of the tokens, by code point."""
-        ids, spans, at = [], [], 0
-        while at < len(text):
-            found = self.cut.search(text, at + piece_chars)
-            end = found.start() if found else len(text)
-            told = self.tokenizer.encode(text[at:end], add_special_tokens=False)
-            ids.append(np.array(told.ids, np.int32))
-            spans.append(np.array(told.offsets, np.int32).reshape(-1, 2) + at)
-            at = end
-        spans = np.concatenate(spans) if spans else np.empty((0, 2), np.int32)
-        return np.concatenate(ids) if ids else np.empty(0, np.int32), spans[:, 0], spans[:, 1]
+        # a token's string has one character for each byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.cut = re.compile(r"(?<=\w)(?= \w)")
+        self.known = KnownIds(self._learn, KNOWN)
+
+    def _learn(self, strings: list[str]) -> pa.ListArray:
+        return pa.array([x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)], pa.list_(pa.int32()))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, starts and ends of the tokens of each text, by code point."""
+        split = [self.cut.split(t) for t in texts]
+        codes, keys = pd.factorize(np.array(list(chain.from_iterable(split)), object))
+        ids, sizes = self.known.in_order(pa.array(keys, pa.string()), codes)
+        last = np.cumsum([0, *map(len, split)])
+        tokens = np.concatenate([[0], np.cumsum(sizes)])[last]
+        return [self._placed(t, ids[a:b]) for t, a, b in zip(texts, tokens[:-1], tokens[1:], strict=True)]
+
+    def _placed(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum(self.bytes[ids])
+        starts = ends - self.bytes[ids]
+        if not text.isascii() and len(ids):
+            # characters that have begun up to each byte; tokens that share a character both have it
+            begun = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)
+            starts, ends = begun[starts] - 1, begun[ends - 1]
+        return ids.astype(np.int32), starts.astype(np.int32), ends.astype(np.int32)
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -150,11 +166,9 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held_by_worker(("chat", tokenizer_path), lambda: Encoder(tokenizer_path))
         for batch in batches:
-            out = []
-            for told in batch.column("turns"):
-                text, spans = render([(t["role"], t["text"]) for t in told.as_py()], loss_roles)
-                ids, starts, ends = encoder.encode(text)
-                out.append((text, ids, starts, ends, loss_mask(starts, ends, spans)))
+            told = [render([(t["role"], t["text"]) for t in turns.as_py()], loss_roles) for turns in batch.column("turns")]
+            placed = encoder.encode([text for text, _ in told]) if told else []
+            out = [(text, ids, starts, ends, loss_mask(starts, ends, spans)) for (text, spans), (ids, starts, ends) in zip(told, placed, strict=True)]
             kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "part", "parts")] + columns, ["conv_id", "part", "parts", "text", "ids", "starts", "ends", "loss"])

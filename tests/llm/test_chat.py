@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sonoshelf.llm import chat
@@ -44,11 +44,12 @@ def test_escapes_are_reversible_and_leave_no_mark(text):
     assert chat.unescape(told) == text and "<|" not in told
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a<|b"]), st.one_of(st.sampled_from([x or "" for x in ODD]), st.text(max_size=30))), max_size=6))
 def test_tokens_turns_and_masks(encoder, turns):
     text, spans = chat.render(turns)
     assert chat.parse(text) == turns
-    ids, starts, ends = encoder.encode(text)
+    ((ids, starts, ends),) = encoder.encode([text])
     assert encoder.tokenizer.decode(ids.tolist(), skip_special_tokens=False) == text
     mask = chat.loss_mask(starts, ends, spans)
     assert chat.masked_text(text, starts, ends, mask) == "".join(t for r, t in turns if r == "assistant")
@@ -56,12 +57,13 @@ def test_tokens_turns_and_masks(encoder, turns):
     assert mask.tolist() == [any(s < b and e > a for a, b in spans) for s, e in zip(starts, ends)]
 
 
-def test_pieces_have_the_ids_of_the_whole(encoder):
+def test_ids_and_offsets_are_those_of_the_library(encoder):
     r = random.Random(5)
-    text, _ = chat.render([("user", " ".join(r.choice(["word", "wörd's", "12", "_x", "  ", "\n", "..", "<|im_end|>", "你好"]) for _ in range(400))) for _ in range(5)])
-    whole = encoder.encode(text)
-    for size in (1, 7, 100):
-        assert all(np.array_equal(a, b) for a, b in zip(encoder.encode(text, size), whole))
+    words = ["word", "wörd's", "12", "_x", "  ", "\n", "..", "<|im_end|>", "你好", "🤦🏼‍♂️", "\x1c", "e\u0301", "<|endoftext|>", "ﬃ", "don't"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(300))) for _ in range(40)] + [""] + ["".join(r.choice(words) for _ in range(50)) for _ in range(40)]
+    for got, text in zip(encoder.encode(texts), texts, strict=True):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False)
+        assert got[0].tolist() == want.ids and list(zip(got[1].tolist(), got[2].tolist(), strict=True)) == want.offsets
 
 
 def test_parse_refuses_what_was_not_rendered():
@@ -69,7 +71,7 @@ def test_parse_refuses_what_was_not_rendered():
         chat.parse(f"x{chat.START}user{chat.SEP}a{chat.END}")
 
 
-@pytest.mark.parametrize("turns", [2, 5, 256])
+@pytest.mark.parametrize("turns", [2, 256])
 def test_conversations_are_those_of_brute_force(spark, turns):
     r = random.Random(turns)
     rows = [(r.choice([0, 0, 0, 1, 2, None]), r.choice([None, *range(40)]), r.choice(["user", "assistant", "system", None]), r.choice(ODD)) for _ in range(120)]

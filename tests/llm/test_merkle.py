@@ -60,7 +60,7 @@ def told(df):
     return sorted(map(tuple, df.drop("path").collect()), key=repr)
 
 
-@pytest.mark.parametrize(("fanout", "levels"), [(3, 1), (3, 2), (3, 7), (2, 1), (5, 1)])
+@pytest.mark.parametrize(("fanout", "levels"), [(3, 1), (3, 7), (2, 2)])
 def test_manifest_is_that_of_a_plain_tree(spark, fanout, levels):
     r = random.Random(levels)
     rows = []
@@ -83,7 +83,7 @@ def test_every_size_of_the_last_run(n):
         assert merkle.fold(node, merkle.path_in(levels, k, 3)) == root
 
 
-@pytest.mark.parametrize("parts", [1, 2, 3, 4, 7, 9, 10, 14, 26, 27, 28, 40])
+@pytest.mark.parametrize("parts", [1, 2, 4, 9, 14, 28, 40])
 def test_butterfly_brings_each_block_its_upper_proof(spark, parts):
     nodes = [H(str(i)) for i in range(parts)]
     df = spark.createDataFrame([("s", i, parts, x) for i, x in enumerate(nodes)] + [("one", 0, 1, nodes[0])], "tree string, part long, parts long, root string")
