@@ -146,7 +146,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, files: int | N
         files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     out = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(tokenizer_path), FILE_SCHEMA)
     (
-        out.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_STRIDE))
+        # a task's rows count from its start, so they stay in one file
+        out.write.option("maxRecordsPerFile", 0).option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_STRIDE))
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
     )
 

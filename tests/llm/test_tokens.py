@@ -115,6 +115,18 @@ def test_op5_has_the_ids_of_the_file_as_loaded(spark, tmp_path):
         start += len(ids)
 
 
+def test_starts_hold_where_the_session_limits_records_of_a_file(spark, docs):
+    at = [new_path(spark, "tokens") for _ in range(2)]
+    token_files.write_tokens(docs, at[0], WORDS, files=2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        token_files.write_tokens(docs, at[1], WORDS, files=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    plain, limited = [sorted((r.doc_id, r.start) for r in token_files.read_tokens(spark, x).collect()) for x in at]
+    assert plain == limited
+
+
 def test_a_filter_on_the_id_reaches_the_orc_reader(spark, docs):
     at = new_path(spark, "tokens")
     token_files.write_tokens(docs, at, WORDS, files=2)
