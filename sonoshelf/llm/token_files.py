@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_ids import KnownIds, as_lists, text_arrays
-from .common import BROADCAST_ROWS, bound_batches, held_by_worker, text_or_empty
+from .common import BROADCAST_ROWS, bound_batches, held_by_worker, text_or_empty, trim
 
 END_ID = 1
 #: Strings kept from batch to batch, text bytes a batch, and text bytes a file.
-KNOWN_CHUNKS, KNOWN_RUNS, TEXT_BYTES, FILE_BYTES = 600_000, 600_000, 12_000_000, 256 << 20
+KNOWN_CHUNKS, KNOWN_RUNS, TEXT_BYTES, FILE_BYTES = 600_000, 600_000, 8_000_000, 256 << 20
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 2000
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -130,6 +130,8 @@ def _encoder(tokenizer_path: str):
             offsets = ids.offsets.to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), ids], ["doc_id", "local_start", "n_tokens", "ids"])
             start += int(offsets[-1])
+            del texts, ids
+        trim()  # what a task's texts took, before the next one's come
 
     return encode
 
