@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_ids import KnownIds
-from .common import BROADCAST_ROWS, bound_batches, held_by_worker, stow
+from .common import BROADCAST_ROWS, bound_batches, held_by_worker, stow, trim
 from .positions import numbered
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLES = ("assistant",)
 #: Turns of a part, and strings kept from batch to batch.
-TURNS, KNOWN = 256, 300_000
+TURNS, KNOWN = 256, 100_000
 ROW = "conv_id {conv}, part long, parts long, text string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 DIGEST = "conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TURN = re.compile(rf"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(END)}", re.DOTALL)
@@ -172,6 +172,8 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
             kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "part", "parts")] + columns, ["conv_id", "part", "parts", "text", "ids", "starts", "ends", "loss"])
+            del told, placed, out, columns
+        trim()
 
     parts = in_parts(conversations, turns)
     return parts.mapInArrow(encode, ROW.format(conv=dict(parts.dtypes)["conv_id"]))
