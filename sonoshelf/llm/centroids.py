@@ -62,38 +62,49 @@ def transform(x: np.ndarray) -> np.ndarray:
 
 
 def _whole(x: np.ndarray, kind) -> np.ndarray:
-    return x.astype(np.int64) if kind != object else np.array([int(v) for v in x], object)
+    return x.astype(np.int64) if kind != object else np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
 
 
-def _tail(w: np.ndarray, step: int) -> np.ndarray:
-    return (w[:, step:] ** 2).sum(1)
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of rows, exact: by doubles where they hold every sum."""
+    if a.dtype != object and np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 1 << 53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    return a @ b.T
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, the squared distance and how many coefficient differences it took."""
-    n, k = len(x), len(centroids)
+    """The nearest centroid of each row, the squared distance and how many coefficient differences it took.
+
+    While more than a fourth of the pairs of rows and centroids is left, a step adds the coefficients of all pairs as one
+    matrix product; after that, of those that are left only."""
     w, c = transform(x), transform(centroids)
-    kind = w.dtype
-    # pairs stand by vector, then centroid
-    i, j = np.divmod(np.arange(n * k), k)
-    part, read, at = np.zeros(n * k, kind), np.zeros(n, np.int64), 0
+    kind, shape = w.dtype, (len(x), len(centroids))
+    none = np.iinfo(np.int64).max if kind != object else 1 << 200  # above any bound
+    part, alive, read, at = np.zeros(shape, kind), np.ones(shape, bool), np.zeros(len(x), np.int64), 0
     for step in STEPS:
-        part = part + ((w[i, at:step] - c[j, at:step]) ** 2).sum(1)
-        read += np.bincount(i, minlength=n) * (step - at)
+        a, b = w[:, at:step], c[:, at:step]
+        if 4 * np.count_nonzero(alive) > alive.size:
+            part = part + _squares(a)[:, None] - 2 * _products(a, b) + _squares(b)
+            read += (step - at) * shape[1]
+        else:
+            i, j = np.nonzero(alive)
+            part[i, j] += _squares(a[i] - b[j])
+            read += alive.sum(1) * (step - at)
         at = step
         if step < DIM:
-            v, u = _tail(w, step)[i], _tail(c, step)[j]
+            v, u = _squares(w[:, step:]), _squares(c[:, step:])
             # twice the root of v * u, rounded up well beyond the error of doubles
-            cross = _whole(np.ceil(2 * np.sqrt(v.astype(float)) * np.sqrt(u.astype(float)) * (1 + 1e-9) + 1), kind)
-            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            best = np.minimum.reduceat(part + v + u + cross, starts)
-            alive = (part + v + u - cross <= best[i]).astype(bool)
-            i, j, part = i[alive], j[alive], part[alive]
-    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-    least = np.minimum.reduceat(part, starts)
-    hits = np.flatnonzero((part == least[i]).astype(bool))
-    cluster = j[hits[np.unique(i[hits], return_index=True)[1]]]  # the first of the least
-    return cluster, least // DIM, read
+            cross = _whole(np.ceil(2 * np.sqrt(v.astype(float))[:, None] * np.sqrt(u.astype(float)) * (1 + 1e-9) + 1), kind)
+            middle = part + v[:, None] + u
+            best = np.where(alive, middle + cross, none).min(1)
+            alive &= (middle - cross <= best[:, None]).astype(bool)
+    part = np.where(alive, part, none)
+    cluster = part.argmin(1)  # the first of the least
+    return cluster, part[np.arange(len(x)), cluster] // DIM, read
 
 
 def scaled(vectors: pa.Array, scale: int) -> np.ndarray:
