@@ -118,7 +118,7 @@ class Search:
         centroids = np.array([r.centroid for r in spark.read.parquet(f"{path}/centroids").orderBy("list").collect()])
         asked = [r for r in asked if len(centroids) and len(r.vector) == centroids.shape[1]]
         self.ids = [r.query_id for r in asked]
-        self.queries = np.array([r.vector for r in asked], float).reshape(len(asked), -1)
+        self.queries = np.array([r.vector for r in asked], float)
         self.kind = dict(queries.dtypes)["query_id"]
         if not asked:
             self.rows, self.lists, self.probed = self.rows.where("false"), np.empty((0, 0), int), []
