@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,7 +147,7 @@ def advancing(rows: list[dict]) -> list[dict]:
     for r in rows:
         if kept and r["start"] <= kept[-1]["start"]:
             continue
-        near = (k for k in reversed(kept) if r["start"] - k["start"] <= SEAM_S)
+        near = takewhile(lambda k: r["start"] - k["start"] <= SEAM_S, reversed(kept))  # starts ascend, so no others are near
         if not any(k["word"] == r["word"] for k in near):
             kept.append(r)
     return kept
