@@ -4,7 +4,6 @@ import hashlib
 import random
 from collections import defaultdict
 
-import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
