@@ -34,14 +34,32 @@ def test_a_filter_too_small_changes_nothing(spark):
     assert exact_dedup.mark_copies(docs, max_blocks=1).where("group_size = 2").count() == 2000
 
 
-def test_several_filters_give_what_one_does(spark):
-    docs = spark.createDataFrame([(i, f"text {i % 4000}") for i in range(5000)] + [(7, "text 7")], "doc_id long, text string")
+def test_a_filter_beyond_its_bound_gives_what_one_within_does(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 4000}") for i in range(5000)] + [(7, "text 7")] + [(9000 + i, "hot") for i in range(1000)], "doc_id long, text string")
     copies = exact_dedup.Copies(docs, "doc_id", "text", "max", 1)
-    assert copies.filters == 3
-    assert copies.tested(copies.slim, F.col("h"), again=True).count() < 2200
+    assert copies.blocks == 3 and copies.marks == 1
+    assert copies.suspects().count() < 3200
     for f in (exact_dedup.decide, exact_dedup.mark_copies, exact_dedup.keep_one):
         assert sorted(map(tuple, f(docs, max_blocks=1).collect())) == sorted(map(tuple, f(docs).collect()))
-    assert exact_dedup.keep_one(docs, max_blocks=1).count() == 4000
+    assert exact_dedup.keep_one(docs, max_blocks=1).count() == 4001
+
+
+def test_a_filter_that_is_full_drops_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BITS_AN_ENTRY", 0)  # one block for all
+    docs = spark.createDataFrame([(i, f"text {i % 60_000}") for i in range(120_000)], "doc_id long, text string")
+    told = exact_dedup.decide(docs)
+    assert told.count() == 120_000 and told.where("group_size = 2 and kept = (doc_id >= 60000)").count() == 120_000
+
+
+@pytest.mark.parametrize("rows", [3000, 60_000])
+def test_texts_are_scanned_as_often_whatever_the_filters_size(spark, tmp_path, rows):
+    at = str(tmp_path / "docs")
+    spark.range(rows).selectExpr("id as doc_id", f"concat('t', id % {rows - 500}) as text").write.parquet(at)
+    docs = spark.read.parquet(at)
+    for f, scans in ((exact_dedup.keep_one, 2), (exact_dedup.mark_copies, 2), (exact_dedup.decide, 0)):
+        out = f(docs, max_blocks=1)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id") == scans
+        assert out.count() == (rows - 500 if f is exact_dedup.keep_one else rows)
 
 
 def test_columns_named_like_results_or_helpers_stay_as_they_are(spark):
@@ -71,8 +89,8 @@ def test_rows_without_copies_are_not_shuffled(spark, tmp_path):
     plan = exact_dedup.mark_copies(spark.read.parquet(at))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     union = plan[plan.index("Union") :]
-    first = union[: union.index("Scan parquet") if "Scan parquet" in union else None]
-    assert "Exchange hashpartitioning" not in first.split("BroadcastHashJoin")[0]
+    first = union[: union.index("Scan parquet [doc_id")]  # the branch up to its scan of the texts
+    assert "Exchange hashpartitioning" not in first and "BroadcastHashJoin" in first
 
 
 def test_repeated_rows_null_ids_and_an_empty_table(spark):
