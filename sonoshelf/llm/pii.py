@@ -46,6 +46,8 @@ BASE_SCORE, CONTEXT, CONTEXT_STEP = 0.6, 40, 0.2
 ADDED_THRESHOLD = 0.6
 #: Texts are cut to pieces of so many code points, so that what is near a match is found without reading up to there.
 PIECE = 1000
+#: Positions are summed in runs of so many matches.
+RUN = 200
 
 
 def _digits(m: Column) -> Column:
@@ -95,6 +97,20 @@ def _near(around: Column, words: str) -> Column:
     return F.lower(around).rlike("(?:^|[^a-z])(?:" + words.replace(" ", "|") + ")(?:$|[^a-z])")
 
 
+def _runs(lengths: Column) -> Column:
+    """Running sums of lengths that start anew after each RUN of them, as an array of arrays: an array that grows is
+    copied at each step, so it must not grow with the text."""
+    sums = lambda run: F.aggregate(run, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x))
+    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int"))
+    return F.when(F.size(lengths) > 0, F.transform(starts, lambda i: sums(F.slice(lengths, i * RUN + 1, F.lit(RUN)))))
+
+
+def _joined(runs: Column) -> Column:
+    """The running sums of all runs in one array."""
+    before = F.aggregate(runs, F.array(F.lit(0)), lambda a, run: F.array_append(a, F.element_at(a, -1) + F.element_at(run, -1)))
+    return F.flatten(F.zip_with(runs, F.slice(before, 1, F.size(runs)), lambda run, b: F.transform(run, lambda x: x + b)))
+
+
 def _checked(kind: str, rank: int, up: str, down: str) -> Column:
     """The matches of a kind that pass its check, with positions and scores."""
     ends = F.col(f"_at_{kind}")
@@ -120,19 +136,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         none = F.array().cast("array<string>")
         may = F.contains(F.col("_text"), F.lit(needs)) if needs else F.col("_text").rlike(MAY.get(kind, "[0-9]"))
         step = step.withColumn(f"_{kind}", F.when(may, F.regexp_extract_all("_text", F.lit(pattern), 0)).otherwise(none))
-    spans = []
     for kind, (pattern, *_) in KINDS.items():
-        found = F.col(f"_{kind}")
-        gaps = F.split("_text", pattern, -1)
-        # positions: of match i, all gaps up to it and all matches before it
-        ends = F.aggregate(
-            F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
-            F.array(F.lit(0)),
-            lambda a, x: F.array_append(a, F.element_at(a, -1) + x["g"] + x["m"]),
-        )
-        spans.append(F.when(F.size(found) > 0, F.slice(ends, 2, F.size(found))).alias(f"_at_{kind}"))
+        # of each match, the length of the text since the match before and its own
+        found, gaps = F.col(f"_{kind}"), F.split("_text", pattern, -1)
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        step = step.withColumn(f"_lengths_{kind}", F.when(F.size(found) > 0, lengths))
+    step = step.withColumns({f"_runs_{kind}": _runs(F.col(f"_lengths_{kind}")) for kind in KINDS})
     some = F.greatest(*[F.size(f"_{kind}") for kind in KINDS]) > 0
-    step = step.select("*", *spans, F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).alias("_pieces"))
+    ends = [_joined(F.col(f"_runs_{kind}")).alias(f"_at_{kind}") for kind in KINDS]
+    step = step.select("_text", id_col, *[f"_{kind}" for kind in KINDS], *ends, F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).alias("_pieces"))
     found = []
     for rank, (kind, (_, _, up, down)) in enumerate(KINDS.items()):
         none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>")

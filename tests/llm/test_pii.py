@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -103,5 +104,24 @@ def test_context_is_what_stands_around_a_match(spark, monkeypatch):
             assert all(x.score > 0.9 for x in r.findings)
 
 
+@pytest.mark.parametrize("n", [1, 199, 200, 201, 400, 1001])
+def test_positions_hold_across_runs(spark, n):
+    text = "".join(f"é{'z' * (i % 7)} m{i}@b.co 10.0.{i % 300}.1 " for i in range(n))
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(x.start, x.rank, x.kind, x.end) for x in row.findings] == brute(text)
+    assert all(text[x.start : x.end] == x.value for x in row.findings)
+
+
+def test_time_grows_with_the_matches_and_not_their_square(spark, tmp_path):
+    took = {}
+    for n in (1000, 20_000, 80_000):  # the first warms up
+        at = str(tmp_path / str(n))
+        spark.createDataFrame([(1, "".join(f"a{i}@b.co, " for i in range(n)))], "doc_id long, text string").write.parquet(at)
+        began = time.monotonic()
+        assert [r.n_email for r in pii.digest(pii.find(spark.read.parquet(at))).collect()] == [n]
+        took[n] = time.monotonic() - began
+    assert took[80_000] < 7 * took[20_000]
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
