@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stow
@@ -137,6 +137,11 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray, ids: np.
     return q[place < k], i[place < k], [min(max(int(f), -(1 << 63)), (1 << 63) - 1) for f in final[place < k]]
 
 
+def floor_block(query_block: str, blocks: str) -> Column:
+    """The block in which a query block gets its floors: any will do, so they are dealt over all by hash."""
+    return F.get(blocks, F.pmod(F.xxhash64(query_block), F.size(blocks)).cast("int"))
+
+
 def _matrix(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     v = np.frombuffer(row[f"{name}values"], f"i{row[f'{name}width']}").reshape(row[f"{name}rows"], row["dim"])
     return np.frombuffer(row[f"{name}ids"], np.int64), v
@@ -169,7 +174,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
                 floors -= np.abs(floors) * 2.0**-50  # at most the score itself, though it may not be a double
                 yield pa.RecordBatch.from_pydict({"q_of": pa.array([row["q_block"]], pa.int64()), "floors": pa.array([np.nan_to_num(floors, nan=-np.inf, neginf=-np.inf).tobytes()], pa.binary())})
 
-    floors = stow(met(spread.where(F.size("blocks") > 1).withColumn("block", F.get("blocks", F.lit(0))).drop("blocks")).mapInArrow(first, "q_of long, floors binary"), "floors")
+    floors = stow(met(spread.where(F.size("blocks") > 1).withColumn("block", floor_block("q_block", "blocks")).drop("blocks")).mapInArrow(first, "q_of long, floors binary"), "floors")
     spread = spread.join(floors, F.col("q_block") == F.col("q_of"), "left").drop("q_of").withColumn("block", F.explode("blocks")).drop("blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonoshelf.llm import topk
 
@@ -65,5 +66,11 @@ def test_scores_beyond_a_long_stand_at_its_ends(spark):
     assert {(r.query_id, r.rank, r.score) for r in got} == {(q, r, (1 << 63) - 1) for q in (0, 20) for r in (1, 2, 3)}
 
 
+def test_first_floors_are_dealt_over_all_blocks(spark):
+    df = spark.range(400).selectExpr("id << 32 as q_block", "array(5L, 6L, 7L, 8L, 1L << 32, 2L << 32, 3L << 32, 9L) as blocks")
+    got = [r["n"] for r in df.groupBy(topk.floor_block("q_block", "blocks").alias("block")).agg(F.count("*").alias("n")).collect()]
+    assert len(got) == 8 and max(got) < 100
+
+
 def test_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
