@@ -43,7 +43,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCOPES.remove(made)
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]  # not by value: empty ones are equal
         remove(spark, made)
 
 
@@ -63,9 +63,10 @@ def new_path(spark: SparkSession, tag: str, outlives: bool = False) -> str:
     return at
 
 
-def stow(df: DataFrame, tag: str, outlives: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts the lineage durably."""
-    spark, at = df.sparkSession, new_path(df.sparkSession, tag, outlives)
+def stow(df: DataFrame, tag: str, outlives: bool = False, at: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, at a new path unless one is given, and read it back, which cuts the
+    lineage durably."""
+    spark, at = df.sparkSession, at or new_path(df.sparkSession, tag, outlives)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -83,6 +83,15 @@ def test_what_is_written_in_a_temporary_block_is_removed(spark):
         inner.collect()
 
 
+def test_an_empty_block_inside_another_takes_nothing_from_it(spark):
+    with temporary(spark):
+        with temporary(spark):
+            pass
+        at = Path(urlparse(stow(spark.range(3), "later").inputFiles()[0]).path).parent
+        assert at.exists()
+    assert not at.exists()
+
+
 def test_rows_without_copies_are_not_shuffled(spark, tmp_path):
     at = str(tmp_path / "docs")
     spark.range(2000).selectExpr("id as doc_id", "concat('t', id) as text").write.parquet(at)
