@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sonoshelf.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
-from sonoshelf.llm.common import stow
+from sonoshelf.llm.common import new_path, remove, stow, temporary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; every stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stow(docs, f"stage{k}")
-    return docs
+    """Apply STAGES to documents; every stage's rows are written and read again. What a stage writes for itself is removed
+    at its end, and its input once its rows are written; the result reads the rows of the last stage but one."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        at = new_path(spark, f"stage{k}")
+        with temporary(spark):
+            docs = stow(stage(spark, docs, sf_dir), f"stage{k}", at=at)
+        if before:
+            remove(spark, [before])
+        before = at
+    return STAGES[-1][1](spark, docs, sf_dir)
