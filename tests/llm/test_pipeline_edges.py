@@ -1,12 +1,15 @@
 """The pipeline's stages on nulls, repeats, ties, empty and long texts, empty tables and columns with odd names."""
 
 import hashlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sonoshelf.llm import quality
+from sonoshelf.llm.common import shared_dir
 
 EXTRA = "label string, kept string, keep_id string, copy_key string, _gone string, _node string, n string, h string, size string, path string, ids string, Block string"
 
@@ -53,3 +56,12 @@ def test_an_empty_corpus(spark, docs, tmp_path):
 def test_without_labels_every_document_is_rejected(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.keep_quality(spark, docs.withColumn("quality", F.lit(1)), str(tmp_path)).collect() == []
+
+
+def test_only_what_the_result_reads_stays_behind(spark, docs, tmp_path, lenient):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(urlparse(shared_dir(spark)).path)
+    before = set(folder.iterdir())
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.name.split("-")[0] for x in set(folder.iterdir()) - before} <= {"stage3"}
