@@ -23,7 +23,12 @@ def norm(a: Column) -> Column:
 
 
 def cosine_to(column: str, query: list[float]) -> Column:
-    """Cosine similarity of each row's vector to the query; null for a zero vector or another length."""
+    """Cosine similarity of each row's vector to the query; null for a zero vector or another length. The squares are
+    summed in the same order on both sides, under one root and held to -1..1, so a vector is like itself by exactly 1."""
     q, c = F.array(*[F.lit(x) for x in query]), F.col(column)
-    size = norm(c) * F.lit(sum(x * x for x in query) ** 0.5)
-    return F.when((F.size(c) == len(query)) & (size > 0), dot(c, q) / size)
+    squares = 0.0
+    for x in query:  # not sum(), which compensates rounding
+        squares += x * x
+    size = F.sqrt(dot(c, c) * F.lit(squares))
+    cosine = F.transform(F.array(dot(c, q) / size), lambda x: F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))))[0]
+    return F.when((F.size(c) == len(query)) & (size > 0), cosine)
