@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ def _parts(total: Column) -> tuple[Column, Column, Column]:
     return F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
 
 
+def one_digit(x: Column) -> Column:
+    """x with one digit after the point, as printf has it: what counts is the exact value of the double (2.05 is a little
+    less and gives 2.0), and of two as near the even one. Spark's format_string rounds the shortest decimal text half up."""
+    a = F.abs(x.cast("double"))
+    whole = F.floor(a)
+    part = a - whole
+    k = F.floor(part * 10)
+    over = (part * 16 - (2 * k + 1)) + part * 4  # the sign of 20 * part - (2k + 1), without rounding where it is near 0
+    tenths = whole * 10 + k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    told = F.concat(F.when(x < 0, "-").otherwise(""), (tenths.cast("decimal(19,0)") * F.lit(Decimal("0.1"))).cast("string"))
+    return F.when(a < 2.0**52, told).when(a.isNotNull(), F.format_string("%.1f", x.cast("double")))
+
+
 def hms(seconds: Column) -> Column:
     """1h02m03s, 2m03s or 3s, rounded half up."""
     h, m, s = _parts(F.floor(seconds + 0.5))
@@ -34,16 +49,16 @@ def time_left(work: Column, calendar: Column, evaluated: Column) -> Column:
 def rough(seconds: Column) -> Column:
     """Under an hour, whole hours up to two days, then days with one digit."""
     hours, fine = seconds / 3600, (seconds > 0) & ~F.isnan(seconds) & (seconds < float("inf"))
-    told = F.when(hours < 1, "<1h").when(hours < 48, F.format_string("~%dh", F.floor(hours + 0.5))).otherwise(F.format_string("~%.1f days", hours / 24))
+    told = F.when(hours < 1, "<1h").when(hours < 48, F.format_string("~%dh", F.floor(hours + 0.5))).otherwise(F.concat(F.lit("~"), one_digit(seconds / 86_400), F.lit(" days")))
     return F.when(fine, told).otherwise(DASH)
 
 
 def size(n: Column) -> Column:
     """Bytes in units of 1024."""
-    out = F.format_string("%d B", n)
-    for k, unit in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}B", n / float(1024**k))).otherwise(out)
-    return out
+    value, unit = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for k, letter in enumerate("KMGTPE", 1):
+        value, unit = F.when(n >= 1024**k, n / float(1024**k)).otherwise(value), F.when(n >= 1024**k, f" {letter}B").otherwise(unit)
+    return F.coalesce(F.concat(one_digit(value), unit), F.format_string("%d B", n))
 
 
 def count(n: Column) -> Column:
@@ -53,10 +68,11 @@ def count(n: Column) -> Column:
 
 def compact(n: Column) -> Column:
     """With commas below a million, then in M, B or T with one digit; the next unit begins where that would be 1000.0."""
-    big, out = F.abs(n.cast("double")), count(n)
-    for k, unit in enumerate("MBT"):
-        out = F.when(big >= (1e6 if k == 0 else 999.95 * 1000.0 ** (k + 1)), F.format_string(f"%.1f{unit}", n / (1e6 * 1000.0**k))).otherwise(out)
-    return out
+    big, value, unit = F.abs(n.cast("double")), F.lit(None).cast("double"), F.lit(None).cast("string")
+    for k, letter in enumerate("MBT"):
+        reached = big >= (1e6 if k == 0 else 999.95 * 1000.0 ** (k + 1))
+        value, unit = F.when(reached, n / (1e6 * 1000.0**k)).otherwise(value), F.when(reached, letter).otherwise(unit)
+    return F.coalesce(F.concat(one_digit(value), unit), count(n))
 
 
 def codec(name: Column, channels: Column) -> Column:
@@ -67,4 +83,4 @@ def codec(name: Column, channels: Column) -> Column:
 
 
 def memory(used_mb: Column, total_mb: Column) -> Column:
-    return F.when(used_mb.isNull() | total_mb.isNull(), DASH).otherwise(F.format_string("%.1f / %.1f GB", used_mb / 1024.0, total_mb / 1024.0))
+    return F.when(used_mb.isNull() | total_mb.isNull(), DASH).otherwise(F.concat(one_digit(used_mb / 1024.0), F.lit(" / "), one_digit(total_mb / 1024.0), F.lit(" GB")))
