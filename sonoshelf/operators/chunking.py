@@ -1,21 +1,26 @@
 """Words to segments, segments to chunks, windows to one transcript.
 
 Cuts by characters and words are Column functions. Those whose limits start anew after each cut are folds over one
-transcript's array: Arrow UDFs from array to array, so the rows stay as parallel as the table is.
+transcript's array: Arrow UDFs from array to array, so the rows stay as parallel as the table is. Their batches are
+bounded by bytes, as a transcript may have very many words.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
-from itertools import takewhile
+from itertools import pairwise, takewhile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoshelf.functions.text import words
+from sonoshelf.session import bound_batches
 
 GAP_S, MOST_S, MOST_WORDS, TOKENS = 0.6, 30.0, 80, 512
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "sonoshelf/chunks")
@@ -101,9 +106,69 @@ def dominant(speakers: list) -> str | None:
     return max(counts, key=lambda s: (counts[s], s)) if counts else None
 
 
-@F.pandas_udf(T.ArrayType(SEGMENT))
-def to_segments(found: pd.Series) -> pd.Series:
-    return pd.Series([segments_of(list(x)) if x is not None else [] for x in found])
+def _distinct(values: pa.Array) -> tuple[list, np.ndarray]:
+    """The different values and each place's number among them, -1 for null."""
+    coded = pc.dictionary_encode(values)
+    return coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _cuts(starts: list, ends: list, words: list, speakers: list) -> tuple[list[int], list[int]]:
+    """Places of the words that stay and where among those segments begin, of one transcript's words in order of time;
+    words and speakers are numbers, an unknown speaker is negative. The rules are those of segments_of."""
+    kept, begins = [], []
+    for i, start in enumerate(starts):
+        if kept:
+            last, first = kept[-1], kept[begins[-1]]
+            if words[i] == words[last] and start < ends[last]:
+                continue
+            other = speakers[i] >= 0 and speakers[last] >= 0 and speakers[i] != speakers[last]
+            if other or start - ends[last] > GAP_S or ends[last] - starts[first] >= MOST_S or len(kept) - begins[-1] >= MOST_WORDS:
+                begins.append(len(kept))
+        else:
+            begins.append(0)
+        kept.append(i)
+    return kept, begins
+
+
+def segment_lists(found: pa.Array) -> pa.Array:
+    """segments_of for a batch of lists of words, on Arrow's columns: no word becomes an object of its own."""
+    flat, sizes = found.flatten(), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False)
+    start, end = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+    word, speaker = (_distinct(pc.struct_field(flat, c)) for c in ("word", "speaker"))
+    order = np.lexsort((end, start, np.repeat(np.arange(len(sizes)), sizes)))
+    at, kept, begins, rows = 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
+    base = 0
+    for n in sizes.tolist():
+        mine = order[at : at + n]
+        stay, cuts = _cuts(start[mine].tolist(), end[mine].tolist(), word[1][mine].tolist(), speaker[1][mine].tolist())
+        kept.append(mine[np.asarray(stay, np.int64)])
+        begins.append(np.asarray(cuts, np.int64) + base)
+        rows.append(rows[-1] + len(cuts))
+        at, base = at + n, base + len(stay)
+    kept, begins = np.concatenate(kept), np.concatenate(begins)
+    bounds = np.append(begins, len(kept)).astype(np.int32)
+    stripped = pa.array([w.strip() for w in word[0]], pa.string()).take(pa.array(word[1][kept]))
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), stripped), " ")
+    codes, names = speaker[1][kept], speaker[0]
+    said = []
+    for a, b in pairwise(bounds.tolist()):
+        only = codes[a] if (codes[a:b] == codes[a]).all() else None
+        said.append(dominant([names[k] if k >= 0 else None for k in (codes[a:b].tolist() if only is None else [only])]))
+    numbers = np.arange(len(begins)) - np.repeat(np.asarray(rows[:-1], np.int64), np.diff(rows))
+    words_of = pa.ListArray.from_arrays(pa.array(bounds), flat.take(pa.array(kept)))
+    columns = [pa.array(numbers.astype(np.int32)), pa.array(start[kept[bounds[:-1]]]), pa.array(end[kept[bounds[1:] - 1]]), text, pa.array(said, pa.string()), words_of]
+    return pa.ListArray.from_arrays(pa.array(np.asarray(rows, np.int32)), pa.StructArray.from_arrays(columns, SEGMENT.names))
+
+
+@F.arrow_udf(T.ArrayType(SEGMENT))
+def _to_segments(found: pa.Array) -> pa.Array:
+    return segment_lists(found)
+
+
+def to_segments(found: Column | str) -> Column:
+    """Segments of an array of words, as segments_of has them; none of a null one."""
+    bound_batches()
+    return _to_segments(found)
 
 
 def pack_segments(segments: list[dict], size: int = TOKENS, tokens=simple_tokens) -> list[dict]:
@@ -127,9 +192,22 @@ def pack_segments(segments: list[dict], size: int = TOKENS, tokens=simple_tokens
     return out
 
 
-@F.pandas_udf(T.ArrayType(CHUNK))
-def to_chunks(segments: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([pack_segments(list(x), int(n)) if x is not None else [] for x, n in zip(segments, size, strict=True)])
+@F.arrow_udf(T.ArrayType(CHUNK))
+def _to_chunks(segments: pa.Array, size: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("speaker", pa.string())]))
+    return pa.array((pack_segments(x.as_py() or [], n.as_py()) for x, n in zip(segments, size, strict=True)), kind)
+
+
+def to_chunks(segments: Column | str, size: Column) -> Column:
+    """Chunks of an array of segments; their words stay behind."""
+    bound_batches()
+    return _to_chunks(without_words(segments), size)
+
+
+def without_words(segments: Column | str) -> Column:
+    """What chunks are made of."""
+    column = F.col(segments) if isinstance(segments, str) else segments
+    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["speaker"].alias("speaker")))
 
 
 def chunk_rows(transcripts: DataFrame, size: int = TOKENS) -> DataFrame:

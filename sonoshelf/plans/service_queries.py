@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sonoshelf.functions import text as tx
 from sonoshelf.operators import evaluation, findings, library, pipeline, runs, search, service, vector
+from sonoshelf.sources.scratch import new_folder
 
 from . import roles
 from .catalogue import query, table
@@ -363,7 +364,10 @@ def judge_run(spark, sf):
 def process_transcripts(spark, sf):
     from sonoshelf.operators import chunking
 
-    t = _spoken(spark, sf).select("id", chunking.to_segments("words").alias("segments"))
+    made = _spoken(spark, sf).select("id", chunking.without_words(chunking.to_segments("words")).alias("segments"))
+    at = new_folder(spark, "segments")  # read by each step, made once
+    made.write.parquet(at)
+    t = spark.read.schema(made.schema).parquet(at)
     found = evaluation.judge(chunking.chunk_rows(t, 200).withColumn("start_sec", F.col("start"))).withColumn("patch_state", F.lit("accepted"))
     out = evaluation.processed(t, found, size=200)
     done = out["outcomes"].groupBy("state").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("state", "n"))).alias("outcomes"))

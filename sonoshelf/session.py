@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch, or one row if that has more; the operations for training text set the same.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches() -> None:
+    """Bound the Arrow batches of the active session by bytes, not by rows alone."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def local_session(cores: str = "8", app: str = "sonoshelf", memory: str = "12g") -> SparkSession:
     """A local session with AQE, UTC and as many shuffle partitions as cores."""
     spark = (
