@@ -12,6 +12,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -115,52 +116,77 @@ def claims(events: DataFrame) -> DataFrame:
 RECOVERED = "job_id long, file_path string, attempts int, beat long, claimed_by string"
 
 
+#: Jobs are dealt by hash over so many keys of state; a checkpoint holds to its number.
+SHARDS = 1024
+KINDS = {"claim": 0, "beat": 1, "end": 2}
+HELD = pa.schema([("job_id", pa.int64()), ("beat", pa.int64()), ("attempts", pa.int32()), ("file_path", pa.string()), ("claimed_by", pa.string())])
+
+
 class Stale(StatefulProcessor):
-    """One job's claim: its last beat and a timer for when it goes stale."""
+    """The open claims of a shard of jobs, each with its last beat, and one timer for when the first goes stale. They are
+    one value, read and written once a batch: a state per job costs several calls to the JVM for each."""
 
     def __init__(self, timeout_s: int):
         self.timeout = timeout_s * MICROS
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.claim = handle.getValueState("claim", "beat long, attempts int, file_path string, claimed_by string, timer long")
+        self.claims = handle.getValueState("claims", "held binary, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, out = (self.claim.get() if self.claim.exists() else None), []
-        timer = held[4] if held else None
-        for r in ordered(rows, ["at", "seq"]):
-            if held and r.at - held[0] > self.timeout:
-                out.append(self._row(key, held))
-                held = None
-            if r.kind == "claim":
-                held = (r.at, int(r.attempts), r.file_path, r.claimed_by)
-            elif r.kind == "beat" and held:
-                held = (max(held[0], r.at), *held[1:4])
-            elif r.kind == "end":
-                held = None
+        held, timer = self._held()
+        told = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+        out = []
+        for job, at, kind, attempts, path, by in zip(*[told[c].tolist() for c in ("job_id", "at", "kind", "attempts", "file_path", "claimed_by")], strict=True):
+            have = held.get(job)
+            if have and at - have[0] > self.timeout:
+                out.append(self._row(job, held.pop(job)))
+                have = None
+            if kind == KINDS["claim"]:
+                held[job] = (at, attempts, path, by)
+            elif kind == KINDS["beat"] and have:
+                held[job] = (max(have[0], at), *have[1:])
+            elif kind == KINDS["end"]:
+                held.pop(job, None)
         self._keep(held, timer)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.claim.get() if self.claim.exists() else None
-        if held and held[4] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.claim.clear()
-            yield self._frame([self._row(key, held)])
+        held, now = self._held()[0], timerValues.getCurrentWatermarkInMs()
+        over = [job for job, h in held.items() if self._due(h[0]) <= now]
+        out = [self._row(job, held.pop(job)) for job in over]
+        self._keep(held, None)  # the one that fired is gone
+        yield self._frame(out)
+
+    def _due(self, beat: int) -> int:
+        return (beat + self.timeout) // 1000 + 1
+
+    def _held(self) -> tuple[dict, int | None]:
+        if not self.claims.exists():
+            return {}, None
+        raw, timer = self.claims.get()
+        t = pa.ipc.open_stream(raw).read_all()
+        return {job: tuple(rest) for job, *rest in zip(*[c.to_pylist() for c in t.columns], strict=True)}, timer
 
-    def _keep(self, held: tuple | None, timer: int | None) -> None:
-        due = (held[0] + self.timeout) // 1000 + 1 if held else None
+    def _keep(self, held: dict, timer: int | None) -> None:
+        due = self._due(min(h[0] for h in held.values())) if held else None
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
-        if held:
-            if timer != due:
-                self.handle.registerTimer(due)
-            self.claim.update((*held[:4], due))
-        elif self.claim.exists():
-            self.claim.clear()
+        if not held:
+            if self.claims.exists():
+                self.claims.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        columns = [list(held), *map(list, zip(*held.values(), strict=True))]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD) as w:
+            w.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, HELD, strict=True)], schema=HELD))
+        self.claims.update((sink.getvalue().to_pybytes(), due))
 
     @staticmethod
-    def _row(key, held: tuple) -> tuple:
-        return int(key[0]), held[2], held[1], held[0], held[3]
+    def _row(job: int, held: tuple) -> tuple:
+        return job, held[2], held[1], held[0], held[3]
 
     @staticmethod
     def _frame(rows: list) -> pd.DataFrame:
@@ -179,10 +205,12 @@ def recoveries(events: DataFrame, timeout_s: int = 1800, late: str = "5 minutes"
     its end or after its recovery change nothing, nor do late ones that are older than the last. Rows that come more than
     ``late`` after the newest row are left out, and a silence is told of that much later."""
     use_rocksdb(events.sparkSession)
-    timed = events.withWatermark("at", late)
-    rows = timed.select("job_id", "at", micros("at").alias("us"), "seq", "kind", F.coalesce("attempts", F.lit(0)).alias("attempts"), "file_path", "claimed_by")
-    rows = rows.select("job_id", F.col("us").alias("at"), F.col("at").alias("event_time"), "seq", "kind", "attempts", "file_path", "claimed_by")
-    found = rows.groupBy("job_id").transformWithStateInPandas(Stale(timeout_s), RECOVERED, "Append", "EventTime")
+    timed = events.where("job_id is not null").withWatermark("at", late)
+    kind = F.when(F.col("kind") == "claim", KINDS["claim"]).when(F.col("kind") == "beat", KINDS["beat"]).when(F.col("kind") == "end", KINDS["end"]).otherwise(-1).alias("kind")
+    rows = timed.select("job_id", "at", micros("at").alias("us"), "seq", kind, F.coalesce("attempts", F.lit(0)).alias("attempts"), "file_path", "claimed_by")
+    shard = F.pmod(F.xxhash64("job_id"), F.lit(SHARDS)).alias("shard")
+    rows = rows.select(shard, "job_id", F.col("us").alias("at"), F.col("at").alias("event_time"), "seq", "kind", "attempts", "file_path", "claimed_by")
+    found = rows.groupBy("shard").transformWithStateInPandas(Stale(timeout_s), RECOVERED, "Append", "EventTime")
     return told(found)
 
 
