@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sonoshelf.operators.pipeline import upsert
-
-BUCKETS = 256
+#: A directory's rows are dealt over at most so many tasks.
+BUCKETS, SALTS = 256, 16
 
 
 class KeyedTable:
@@ -29,14 +28,19 @@ class KeyedTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.key)
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with bucket and salt, dealt over tasks by both: rows of one key are in one task."""
+        salt = F.pmod(F.shiftright(F.xxhash64(*self.key), 32), F.lit(SALTS)).cast("int")
+        return rows.withColumns({"bucket": self.bucket(), "salt": salt}).repartition("bucket", "salt")
+
+    def _write(self, dealt: DataFrame, mode: str) -> None:
+        """Write rows that are dealt and in order of their buckets."""
         dealt.write.option("partitionOverwriteMode", mode).mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows")
 
     def create(self, rows: DataFrame) -> None:
         """Begin anew with these rows, one a key."""
         rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/schema")
-        self._write(rows, "static")
+        self._write(self._dealt(rows).sortWithinPartitions("bucket", *self.key).drop("salt"), "static")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All rows with their bucket, by which a reader may prune."""
@@ -49,19 +53,26 @@ class KeyedTable:
     def merge(self, batch: DataFrame, order: list[str] | None = None, insert: bool = True) -> None:
         """Merge a batch. Of its rows with one key the last by ``order`` counts; rows with a null in their key go. Without
         insert, only keys that are there are touched."""
-        spark = batch.sparkSession
+        spark, order = batch.sparkSession, order or []
         old = self.rows(spark)
-        new = batch.dropna(subset=self.key)
-        last = Window.partitionBy(*self.key).orderBy(*[F.col(c).desc_nulls_last() for c in order or []], *[F.col(c).desc_nulls_last() for c in batch.columns if c not in (order or []) and c not in self.key])
-        new = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        kinds, given = [(c, t) for c, t in old.dtypes if c != "bucket"], dict(batch.dtypes)
+        by = [*order, *[c for c in batch.columns if c not in order and c not in self.key]]
+        kept = {f"_by{k}": c for k, c in enumerate(by) if (c, given[c]) not in kinds}  # what orders rows as it came
+        new = batch.dropna(subset=self.key).select(*[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in kinds], *[F.col(c).alias(k) for k, c in kept.items()], F.lit(True).alias("_new"))
         touched = [r.b for r in new.select(self.bucket().alias("b")).distinct().collect()]  # at most a row a bucket
         if not touched:
             return
-        mine = old.where(F.col("bucket").isin(touched)).drop("bucket")
-        if not insert:
-            new = new.join(mine.select(*self.key), self.key, "left_semi")
-        new = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in mine.dtypes])
-        self._write(upsert(mine, new, self.key, self.replace, self.keep_if_null), "dynamic")
+        mine = old.where(F.col("bucket").isin(touched)).drop("bucket").withColumn("_new", F.lit(False))
+        # rows are dealt once, as they will lie; a key's new rows come in order, and its old one is the last
+        last = Window.partitionBy("bucket", *self.key, "salt").orderBy(F.desc("_new"), *[F.col(next((k for k, v in kept.items() if v == c), c)).desc_nulls_last() for c in by])
+        whole = last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        there = ~F.last("_new").over(whole)
+        before = {c: F.when(there, F.last(c).over(whole)) for c, _ in kinds if c not in self.key and c not in self.replace}
+        pick = {c: F.coalesce(F.col(c), v) if c in self.keep_if_null else F.coalesce(v, F.col(c)) for c, v in before.items()}
+        rows = self._dealt(mine.unionByName(new, allowMissingColumns=True))
+        rows = rows.select("bucket", F.row_number().over(last).alias("_n"), there.alias("_there"), *[pick.get(c, F.col(c)).alias(c) for c, _ in kinds])
+        rows = rows.where("_n = 1" if insert else "_n = 1 and _there")
+        self._write(rows.select(*[c for c, _ in kinds], "bucket"), "dynamic")
 
     def sink(self, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
         return lambda df, batch: self.merge(df, order)
