@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,54 +42,147 @@ def ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator:
 
 CLAIMED = "shard long, job_id long, file_path string, claimed_by string, at long, attempts int, left long"
 UNLIMITED = -1
+#: Jobs are dealt by hash over so many keys of state; a checkpoint holds to its number.
+SHARDS = 1024
+
+
+STATUSES = {"pending": 0, "done": 1}
+NEWS = "shard long, at long, seq long, job_id long, file_path string, created_at long, attempts int, takes boolean"
+KNOWN = pa.schema([("shard", pa.int64()), ("job_id", pa.int64()), ("at", pa.int64()), ("seq", pa.int64()), ("takes", pa.bool_())])
+QUEUED = pa.schema([("job_id", pa.int64()), ("at", pa.int64()), ("seq", pa.int64()), ("created_at", pa.int64()), ("attempts", pa.int32()), ("takes", pa.bool_()), ("file_path", pa.string())])
+#: Rows of a queue in one value of state, and of its log that are objects at a time.
+PART = 100_000
+CLAIMED_SINCE, UNTOLD = -2, -1
+
+
+def packed(columns: list, schema: pa.Schema) -> bytes:
+    """Columns as one value of state."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as w:
+        w.write_batch(pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+class News(StatefulProcessor):
+    """The jobs that fall to one of SHARDS keys, each with the last row that told of it: rows that are no later are left
+    out, and so are those that change nothing for a queue, as the job could not be taken before and can't be now."""
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "jobs binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = {}
+        if self.known.exists():
+            known = {(s, j): (a, q, t) for s, j, a, q, t in zip(*[c.to_pylist() for c in unpacked(self.known.get()[0]).columns], strict=True)}
+        told = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+        mask, over = [], {}
+        for shard, job, at, seq, status, attempts in zip(*[told[c].tolist() for c in ("shard", "job_id", "at", "seq", "status", "attempts")], strict=True):
+            have, takes = known.get((shard, job)), status == STATUSES["pending"] and attempts < MOST_ATTEMPTS
+            new = have is None or (at, seq) > have[:2]
+            mask.append(new and (takes or (have is not None and have[2])))
+            if new:
+                known[shard, job] = (at, seq, takes)
+                over[shard, job] = status == STATUSES["done"]
+        for job, done in over.items():
+            if done:
+                del known[job]  # ended for good
+        if known:
+            self.known.update((packed([*map(list, zip(*[(*k, *v) for k, v in known.items()], strict=True))], KNOWN),))
+        elif self.known.exists():
+            self.known.clear()
+        news = told[np.asarray(mask, bool)]
+        takes = (news["status"] == STATUSES["pending"]) & (news["attempts"] < MOST_ATTEMPTS)
+        yield news.assign(takes=takes)[[c.split()[0] for c in NEWS.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
 class Claims(StatefulProcessor):
-    """The queue of one shard: its jobs, each with the time of the last row that told of it, and its gate."""
+    """The queue of one shard: jobs that can be taken, the times of claims that no later row has told of, and the gate.
+    Rows are columns; polls and jobs meet in one pass in order of time, over a heap of places in the queue's order."""
 
     def init(self, handle) -> None:
-        self.jobs = handle.getMapState("jobs", "job_id long", "at long, seq long, pending boolean, created long, attempts int, file_path string")
-        self.gate = handle.getValueState("gate", "paused boolean, run_limit long")
+        self.queue = handle.getMapState("queue", "part int", "jobs binary")
+        self.gate = handle.getValueState("gate", "paused boolean, run_limit long, parts int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        told = list(ordered(rows, ["at", "seq"]))
-        paused, left = self.gate.get() if self.gate.exists() else (False, UNLIMITED)
-        # no more of the stored queue can be taken or passed over in this batch
-        need, changed, out, some = len(told), {}, [], self.jobs.exists()
-        stored = ((v[3], k[0], v[0], v[1]) for k, v in self.jobs.iterator() if v[2] and v[4] < MOST_ATTEMPTS) if any(r.kind == "poll" for r in told) else ()
-        queue = heapq.nsmallest(need, stored)
-        for r in told:
-            if r.kind == "control":
-                paused, left = bool(r.paused), int(r.run_limit)
-            elif r.kind == "job":
-                have = changed.get(r.job_id) or (self.jobs.getValue((r.job_id,)) if some and self.jobs.containsKey((r.job_id,)) else None)
-                if have is None or (r.at, r.seq) > tuple(have[:2]):
-                    now = (r.at, r.seq, r.status == "pending", r.created_at, int(r.attempts), r.file_path)
-                    changed[r.job_id] = now
-                    if now[2] and now[4] < MOST_ATTEMPTS:
-                        heapq.heappush(queue, (now[3], r.job_id, r.at, r.seq))
-            elif not paused and left != 0:
-                job = self._oldest(queue, changed)
-                if job is not None:
-                    have = changed.get(job) or self.jobs.getValue((job,))
-                    left -= left > 0
-                    changed[job] = (r.at, r.seq, False, have[3], have[4] + 1, have[5])
-                    out.append((int(key[0]), job, have[5], r.runner, r.at, have[4] + 1, left))
-        for job, v in changed.items():
-            self.jobs.updateValue((job,), v)
-        for r in told:
-            if r.kind == "job" and r.status == "done" and tuple(changed.get(r.job_id, ())[:2]) == (r.at, r.seq):
-                self.jobs.removeKey((r.job_id,))  # ended for good
-        self.gate.update((paused, left))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CLAIMED.split(", ")])
+        paused, left, parts = self.gate.get() if self.gate.exists() else (False, UNLIMITED, 0)
+        told, jobs = self._columns(rows)
+        stored = [unpacked(self.queue.getValue((k,))[0]) for k in range(parts)]
+        have = pa.concat_tables([*stored, jobs]).combine_chunks()
+        job, at, seq, created, attempts, takes = (have.column(c).to_numpy() for c in QUEUED.names[:6])
+        n = have.num_rows - jobs.num_rows
+        ids, code = np.unique(job, return_inverse=True)
+        places = np.lexsort((seq, at, job, created))  # the queue's order
+        rank = np.empty(len(places), np.int64)
+        rank[places] = np.arange(len(places))
+        latest, since = np.full(len(ids), UNTOLD, np.int64), np.zeros((len(ids), 2), np.int64)
+        latest[code[:n]] = np.where(takes[:n], np.arange(n), CLAIMED_SINCE)
+        since[code[:n], 0], since[code[:n], 1] = at[:n], seq[:n]
+        heap = np.sort(rank[:n][takes[:n]]).tolist()
+        order = np.lexsort((told["seq"], told["at"]))
+        for part in range(0, len(order), PART):
+            out = []
+            some = order[part : part + PART]
+            for r, t, s, kind, i in zip(some.tolist(), *[told[c][some].tolist() for c in ("at", "seq", "kind", "job")], strict=True):
+                if kind == 0:
+                    i += n
+                    c = code[i]
+                    if latest[c] == UNTOLD or (t, s) > (since[c, 0], since[c, 1]):
+                        latest[c], since[c] = i, (t, s)
+                        if takes[i]:
+                            heapq.heappush(heap, int(rank[i]))
+                elif kind == 2:
+                    paused, left = bool(told["paused"][r]), int(told["run_limit"][r])
+                elif not paused and left != 0:
+                    while heap:
+                        i = places[heapq.heappop(heap)]
+                        if latest[code[i]] == i:
+                            left -= left > 0
+                            latest[code[i]], since[code[i]] = CLAIMED_SINCE, (t, s)
+                            out.append((i, r, t, left))
+                            break
+            if out:
+                took, by, when, rest = (list(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame({
+                    "shard": int(key[0]), "job_id": job[took], "file_path": have.column("file_path").take(pa.array(took)).to_pandas(), "claimed_by": told["runner"].take(pa.array(by)).to_pandas(),
+                    "at": when, "attempts": attempts[took] + 1, "left": rest,
+                })
+        self._keep(have, ids, latest, since, takes, parts, paused, left)
 
     @staticmethod
-    def _oldest(queue: list, changed: dict) -> int | None:
-        while queue:
-            _, job, at, seq = heapq.heappop(queue)
-            if job not in changed or (changed[job][2] and changed[job][:2] == (at, seq)):
-                return job
-        return None
+    def _columns(rows: Iterator[pd.DataFrame]) -> tuple[dict, pa.Table]:
+        """All rows as columns, with the number of a job's row among those of jobs; and the jobs' rows."""
+        got, runner, jobs = [], [], [QUEUED.empty_table()]
+        for f in rows:
+            mine = f["kind"] == 0
+            got.append({c: f[c].to_numpy() for c in ("at", "seq", "kind", "paused", "run_limit")})
+            runner.append(pa.array(f["runner"], pa.string()))
+            jobs.append(pa.table([pa.array(f.loc[mine, c], t) for c, t in zip(QUEUED.names, QUEUED.types, strict=True)], schema=QUEUED))
+        told = {c: np.concatenate([g[c] for g in got]) for c in got[0]}
+        told["job"] = np.cumsum(told["kind"] == 0) - 1
+        told["runner"] = pa.chunked_array(runner, pa.string())
+        return told, pa.concat_tables(jobs)
+
+    def _keep(self, have, ids, latest, since, takes, parts: int, paused: bool, left: int) -> None:
+        waiting = np.sort(latest[latest >= 0])
+        waiting = waiting[takes[waiting]]
+        claimed = np.flatnonzero(latest == CLAIMED_SINCE)
+        none = [0] * len(claimed)
+        tables = [have.take(pa.array(waiting)), pa.table([pa.array(c, t) for c, t in zip([ids[claimed], since[claimed, 0], since[claimed, 1], none, none, [False] * len(claimed), [None] * len(claimed)], QUEUED.types, strict=True)], schema=QUEUED)]
+        whole, now = pa.concat_tables(tables).combine_chunks(), 0
+        for k in range(0, whole.num_rows, PART):
+            part = whole.slice(k, PART).combine_chunks()
+            self.queue.updateValue((now,), (packed([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns], QUEUED),))
+            now += 1
+        for k in range(now, parts):
+            self.queue.removeKey((k,))
+        self.gate.update((paused, left, now))
 
     def close(self) -> None:
         pass
@@ -103,11 +197,17 @@ def claims(events: DataFrame) -> DataFrame:
     limit). A budget holds for a shard: a queue of one shard keeps it exactly, several get shares. A row that is no later
     than what is known of its job, such as a repeat of one that was claimed since, changes nothing."""
     use_rocksdb(events.sparkSession)
-    rows = events.select(
-        "shard", micros("at"), "seq", "kind", F.coalesce("job_id", F.lit(0)).alias("job_id"), "file_path", micros("created_at"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
-        "status", "runner", F.coalesce("paused", F.lit(False)).alias("paused"), F.coalesce(F.col("run_limit").cast("long"), F.lit(UNLIMITED)).alias("run_limit"),
+    null = lambda t: F.lit(None).cast(t)
+    status = F.when(F.col("status") == "pending", STATUSES["pending"]).when(F.col("status") == "done", STATUSES["done"]).otherwise(-1).alias("status")
+    deal = F.pmod(F.xxhash64("shard", "job_id"), F.lit(SHARDS)).alias("deal")
+    jobs = events.where("kind = 'job'").select(deal, "shard", micros("at"), F.col("seq").cast("long").alias("seq"), F.coalesce("job_id", F.lit(0)).cast("long").alias("job_id"), "file_path", micros("created_at"), F.coalesce("attempts", F.lit(0)).cast("int").alias("attempts"), status)
+    news = jobs.groupBy("deal").transformWithStateInPandas(News(), NEWS, "Append", "None")
+    news = news.select("shard", "at", "seq", F.lit(0).alias("kind"), "job_id", "file_path", "created_at", "attempts", "takes", null("string").alias("runner"), F.lit(False).alias("paused"), F.lit(UNLIMITED).cast("long").alias("run_limit"))
+    others = events.where("kind in ('poll', 'control')").select(
+        "shard", micros("at"), F.col("seq").cast("long").alias("seq"), F.when(F.col("kind") == "poll", 1).otherwise(2).alias("kind"), F.lit(0).cast("long").alias("job_id"), null("string").alias("file_path"), F.lit(0).cast("long").alias("created_at"), F.lit(0).alias("attempts"),
+        F.lit(False).alias("takes"), "runner", F.coalesce("paused", F.lit(False)).alias("paused"), F.coalesce(F.col("run_limit").cast("long"), F.lit(UNLIMITED)).alias("run_limit"),
     )
-    out = rows.groupBy("shard").transformWithStateInPandas(Claims(), CLAIMED, "Append", "None")
+    out = news.unionByName(others).groupBy("shard").transformWithStateInPandas(Claims(), CLAIMED, "Append", "None")
     return out.withColumn("claimed_at", F.timestamp_micros("at")).withColumn("left", F.when(F.col("left") != UNLIMITED, F.col("left"))).drop("at")
 
 
@@ -116,8 +216,6 @@ def claims(events: DataFrame) -> DataFrame:
 RECOVERED = "job_id long, file_path string, attempts int, beat long, claimed_by string"
 
 
-#: Jobs are dealt by hash over so many keys of state; a checkpoint holds to its number.
-SHARDS = 1024
 KINDS = {"claim": 0, "beat": 1, "end": 2}
 HELD = pa.schema([("job_id", pa.int64()), ("beat", pa.int64()), ("attempts", pa.int32()), ("file_path", pa.string()), ("claimed_by", pa.string())])
 
