@@ -53,8 +53,9 @@ def word_count(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the lower-case words, each with two spaces before it and one after."""
-    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    """Distinct trigrams of the lower-case words, each with two spaces before it and one after. A word that comes again
+    is cut once."""
+    parts = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != ""))
     padded = F.transform(parts, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
