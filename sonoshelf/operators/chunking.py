@@ -69,9 +69,14 @@ def chunk_uuid(transcript: str, index: int, namespace: uuid.UUID = NAMESPACE) ->
     return str(uuid.uuid5(namespace, f"{transcript}/{index}"))
 
 
-@F.pandas_udf(T.StringType())
-def chunk_id(transcript: pd.Series, index: pd.Series) -> pd.Series:
-    return pd.Series([chunk_uuid(str(t), int(i)) for t, i in zip(transcript, index, strict=True)])
+def chunk_id(transcript: Column, index: Column | str) -> Column:
+    """chunk_uuid as a Column, so that rows needn't reach Python for it: the SHA-1 of namespace and name, with the marks of
+    version 5. An unknown transcript is called None."""
+    name = F.concat(F.coalesce(transcript, F.lit("None")), F.lit("/"), (F.col(index) if isinstance(index, str) else index).cast("string"))
+    digest = F.sha1(F.concat(F.lit(NAMESPACE.bytes), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(digest, start, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
 def clean_words(found: list[dict]) -> list[dict]:
@@ -130,8 +135,9 @@ def _cuts(starts: list, ends: list, words: list, speakers: list) -> tuple[list[i
     return kept, begins
 
 
-def segment_lists(found: pa.Array) -> pa.Array:
-    """segments_of for a batch of lists of words, on Arrow's columns: no word becomes an object of its own."""
+def segment_lists(found: pa.Array, words: bool = True) -> pa.Array:
+    """segments_of for a batch of lists of words, on Arrow's columns: no word becomes an object of its own. Without words
+    it is what chunks are made of."""
     flat, sizes = found.flatten(), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False)
     start, end = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
     word, speaker = (_distinct(pc.struct_field(flat, c)) for c in ("word", "speaker"))
@@ -155,9 +161,10 @@ def segment_lists(found: pa.Array) -> pa.Array:
         only = codes[a] if (codes[a:b] == codes[a]).all() else None
         said.append(dominant([names[k] if k >= 0 else None for k in (codes[a:b].tolist() if only is None else [only])]))
     numbers = np.arange(len(begins)) - np.repeat(np.asarray(rows[:-1], np.int64), np.diff(rows))
-    words_of = pa.ListArray.from_arrays(pa.array(bounds), flat.take(pa.array(kept)))
-    columns = [pa.array(numbers.astype(np.int32)), pa.array(start[kept[bounds[:-1]]]), pa.array(end[kept[bounds[1:] - 1]]), text, pa.array(said, pa.string()), words_of]
-    return pa.ListArray.from_arrays(pa.array(np.asarray(rows, np.int32)), pa.StructArray.from_arrays(columns, SEGMENT.names))
+    columns = [pa.array(numbers.astype(np.int32)), pa.array(start[kept[bounds[:-1]]]), pa.array(end[kept[bounds[1:] - 1]]), text, pa.array(said, pa.string())]
+    if words:
+        columns.append(pa.ListArray.from_arrays(pa.array(bounds), flat.take(pa.array(kept))))
+    return pa.ListArray.from_arrays(pa.array(np.asarray(rows, np.int32)), pa.StructArray.from_arrays(columns, SEGMENT.names[: len(columns)]))
 
 
 @F.arrow_udf(T.ArrayType(SEGMENT))
@@ -192,18 +199,33 @@ def pack_segments(segments: list[dict], size: int = TOKENS, tokens=simple_tokens
     return out
 
 
-@F.arrow_udf(T.ArrayType(CHUNK))
-def _to_chunks(segments: pa.Array, size: pa.Array) -> pa.Array:
+def _chunk_lists(segments: pa.Array, size: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("speaker", pa.string())]))
     return pa.array((pack_segments(x.as_py() or [], n.as_py()) for x, n in zip(segments, size, strict=True)), kind)
 
 
+@F.arrow_udf(T.ArrayType(CHUNK))
+def _to_chunks(segments: pa.Array, size: pa.Array) -> pa.Array:
+    return _chunk_lists(segments, size)
+
+
+@F.arrow_udf(T.ArrayType(CHUNK))
+def _words_to_chunks(found: pa.Array, size: pa.Array) -> pa.Array:
+    return _chunk_lists(segment_lists(found, words=False), size)
+
+
 def to_chunks(segments: Column | str, size: Column) -> Column:
     """Chunks of an array of segments; their words stay behind."""
     bound_batches()
     return _to_chunks(without_words(segments), size)
 
 
+def words_to_chunks(found: Column | str, size: Column) -> Column:
+    """to_chunks of to_segments in one worker, so segments don't go from it to the JVM and to another."""
+    bound_batches()
+    return _words_to_chunks(found, size)
+
+
 def without_words(segments: Column | str) -> Column:
     """What chunks are made of."""
     column = F.col(segments) if isinstance(segments, str) else segments
@@ -211,8 +233,10 @@ def without_words(segments: Column | str) -> Column:
 
 
 def chunk_rows(transcripts: DataFrame, size: int = TOKENS) -> DataFrame:
-    """(transcript_id, chunk_index, id, start, end, text, speaker) of transcripts (id, segments)."""
-    c = transcripts.select(F.col("id").alias("transcript_id"), F.explode(to_chunks("segments", F.lit(size))).alias("c")).select("transcript_id", "c.*")
+    """(transcript_id, chunk_index, id, start, end, text, speaker) of transcripts (id, segments), or of (id, words)."""
+    bound_batches(transcripts.sparkSession)
+    made = to_chunks("segments", F.lit(size)) if "segments" in transcripts.columns else words_to_chunks("words", F.lit(size))
+    c = transcripts.select(F.col("id").alias("transcript_id"), F.explode(made).alias("c")).select("transcript_id", "c.*")
     return c.withColumn("id", chunk_id(F.col("transcript_id").cast("string"), "chunk_index"))
 
 

@@ -364,12 +364,14 @@ def judge_run(spark, sf):
 def process_transcripts(spark, sf):
     from sonoshelf.operators import chunking
 
-    made = _spoken(spark, sf).select("id", chunking.without_words(chunking.to_segments("words")).alias("segments"))
-    at = new_folder(spark, "segments")  # read by each step, made once
-    made.write.parquet(at)
-    t = spark.read.schema(made.schema).parquet(at)
-    found = evaluation.judge(chunking.chunk_rows(t, 200).withColumn("start_sec", F.col("start"))).withColumn("patch_state", F.lit("accepted"))
-    out = evaluation.processed(t, found, size=200)
+    def kept(df, tag):  # read by several steps, made once
+        at = new_folder(spark, tag)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    made = kept(chunking.chunk_rows(_spoken(spark, sf), 200), "chunks")
+    found = kept(evaluation.judge(made.withColumn("start_sec", F.col("start"))).withColumn("patch_state", F.lit("accepted")), "findings")
+    out = evaluation.processed_chunks(made, found)
     done = out["outcomes"].groupBy("state").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("state", "n"))).alias("outcomes"))
     chunks = out["chunks"].select("transcript_id", "chunk_index", F.length("source_text").alias("before"), F.length("text").alias("after"), F.size("embedding").alias("dims"))
     return chunks.crossJoin(done.select(F.coalesce(F.element_at("outcomes", "applied"), F.lit(0)).alias("applied")))

@@ -9,11 +9,11 @@ from pyspark.sql import SparkSession
 BATCH_BYTES = 2 << 20
 
 
-def bound_batches() -> None:
-    """Bound the Arrow batches of the active session by bytes, not by rows alone."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Bound the Arrow batches of a session by bytes, not by rows alone. Who has a DataFrame gives its session: a thread
+    needn't have an active one, nor need the active one be that of the rows. Without one it is the active or shared one."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def local_session(cores: str = "8", app: str = "sonoshelf", memory: str = "12g") -> SparkSession:
