@@ -9,6 +9,7 @@ from sonoshelf.functions import text as tx
 from sonoshelf.operators import chunking, findings, library, overlay, pipeline, search, vector
 from sonoshelf.operators import text_index as text_index_of
 from sonoshelf.operators import vector_index as vector_index_of
+from sonoshelf.session import bound_batches
 from sonoshelf.sources.scratch import new_folder
 
 from . import roles
@@ -617,13 +618,14 @@ def midpoint_speakers(spark, sf):
 
 @query()
 def words_to_segments(spark, sf):
+    bound_batches(spark)
     s = _spoken(spark, sf).select("id", F.explode(chunking.to_segments("words")).alias("s"))
     return s.select(F.col("id").alias("conv_id"), F.col("s.id").alias("segment"), F.round("s.start", 3).alias("start"), F.round("s.end", 3).alias("end"), "s.text", "s.speaker")
 
 
 @query()
 def segment_chunks(spark, sf):
-    c = chunking.chunk_rows(_spoken(spark, sf).select("id", chunking.to_segments("words").alias("segments")), 200)
+    c = chunking.chunk_rows(_spoken(spark, sf), 200)
     return c.select("transcript_id", "chunk_index", "id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text", "speaker")
 
 

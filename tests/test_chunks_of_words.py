@@ -47,6 +47,8 @@ def test_batches_are_bounded_in_a_thread_and_in_another_session(spark):
         lambda s: chunking.chunk_rows(s.createDataFrame([], f"id long, words {WORDS}"), 40),
         lambda s: evaluation.judge(s.createDataFrame([], rows)),
         lambda s: evaluation.embedded(s.createDataFrame([], rows)),
+        lambda s: __spark_entry__.queries()["words_to_segments"](s, "/root/testdata/sf0.001"),
+        lambda s: __spark_entry__.queries()["segment_chunks"](s, "/root/testdata/sf0.001"),
     ]
     failed = []
 
