@@ -43,12 +43,15 @@ def test_ids_of_chunks_are_those_of_the_kernel(spark):
 def test_batches_are_bounded_in_a_thread_and_in_another_session(spark):
     """A thread of Python has no active session in the JVM; rows may be of another session than the active one."""
     rows = "transcript_id long, chunk_index int, id string, start_sec double, text string"
+    segments = f"id long, segments array<struct<words:{WORDS}>>"
     steps = [
         lambda s: chunking.chunk_rows(s.createDataFrame([], f"id long, words {WORDS}"), 40),
+        lambda s: evaluation.resegmented(s.createDataFrame([], segments)),
         lambda s: evaluation.judge(s.createDataFrame([], rows)),
         lambda s: evaluation.embedded(s.createDataFrame([], rows)),
         lambda s: __spark_entry__.queries()["words_to_segments"](s, "/root/testdata/sf0.001"),
         lambda s: __spark_entry__.queries()["segment_chunks"](s, "/root/testdata/sf0.001"),
+        lambda s: __spark_entry__.queries()["resegment_backfill"](s, "/root/testdata/sf0.001"),
     ]
     failed = []
 
